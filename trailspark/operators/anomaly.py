@@ -70,12 +70,7 @@ def multi_ip_lists(events: DataFrame, more_than: int = 2, page_size: int = IP_PA
     An actor with at most ``page_size`` addresses has one row; one with more has several
     rows (``page``) that together hold every address.
     """
-    # Counting survivors first keeps the many actors with one address out of the lists.
-    addresses = _actor_addresses(events)
-    survivors = count_by(addresses, "actor", name="n").where(F.col("n") > more_than)
-    kept = addresses.join(survivors.select(F.col("actor").alias("_actor")),
-                          F.col("actor").eqNullSafe(F.col("_actor")), "left_semi")
-    lists = paged_lists(kept, "actor", "actor_ip", page_size)
+    lists = paged_lists(_actor_addresses(events), "actor", "actor_ip", page_size, more_than)
     return lists.select("actor", F.col("total").alias("unique_ips"), "page", F.col("items").alias("ip_list"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +14,12 @@ RAW_SCHEMA = T.StructType([
     T.StructField("raw", T.StringType()),
 ])
 
-_FILE = F.col("_metadata.file_path")
-_PROVENANCE = (
-    F.col("_metadata.file_name").alias("_source_file"),
-    F.col("_metadata.file_size").alias("_source_bytes"),
-)
+_FILE = "_metadata.file_path"
+_BLANK = r"^\s*$"
+
+
+def _provenance() -> list[Column]:
+    return [F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_size").alias("_source_bytes")]
 
 
 def _text(spark: SparkSession, paths: str | Sequence[str], whole: bool) -> DataFrame:
@@ -30,21 +31,24 @@ def _text(spark: SparkSession, paths: str | Sequence[str], whole: bool) -> DataF
 def line_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One record per non-blank line; large files split over many tasks."""
     lines = _text(spark, paths, whole=False)
-    return lines.where(~F.col("value").rlike(r"^\s*$")).select(*_PROVENANCE, F.col("value").alias("raw"))
+    return lines.where(~F.col("value").rlike(_BLANK)).select(*_provenance(), F.col("value").alias("raw"))
 
 
-def _array_elements(documents: DataFrame) -> DataFrame:
-    """One record per array element; a document that is no array gives itself, to be rejected.
+def document_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """One record per file."""
+    return _text(spark, paths, whole=True).select(*_provenance(), F.col("value").alias("raw"))
 
-    The document is parsed inside brackets so that text after the array is noticed.
+
+def array_elements(documents: DataFrame) -> DataFrame:
+    """One record per element of the JSON array in each record.
+
+    The array is parsed inside brackets, so text after it is noticed. A record that is no
+    array is passed on as it is, to be rejected later.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<array<string>>")
+    wrapped = F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<array<string>>")
     elements = F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
-    return (
-        documents.select("*", *_PROVENANCE)
-        .select("_source_file", "_source_bytes", F.coalesce(elements, F.array("value")).alias("elements"))
-        .select("_source_file", "_source_bytes", F.explode("elements").alias("raw"))
-    )
+    listed = documents.withColumn("elements", F.coalesce(elements, F.array("raw")))
+    return listed.select("_source_file", "_source_bytes", F.explode("elements").alias("raw"))
 
 
 def array_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -53,12 +57,7 @@ def array_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     A JSON array cannot be split, so one task reads one file, at most 2 GB. Larger exports
     have to be line-delimited.
     """
-    return _array_elements(_text(spark, paths, whole=True))
-
-
-def document_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One record per file."""
-    return _text(spark, paths, whole=True).select(*_PROVENANCE, F.col("value").alias("raw"))
+    return array_elements(document_records(spark, paths))
 
 
 def array_files(lines: DataFrame) -> list[str]:
@@ -69,8 +68,8 @@ def array_files(lines: DataFrame) -> list[str]:
     """
     position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     first = (
-        lines.select(_FILE.alias("file"), F.col("value").rlike(r"^\s*\[").alias("opens"), position.alias("position"),
-                     F.col("value").rlike(r"^\s*$").alias("blank"))
+        lines.select(F.col(_FILE).alias("file"), F.col("value").rlike(r"^\s*\[").alias("opens"), position.alias("position"),
+                     F.col("value").rlike(_BLANK).alias("blank"))
         .where(~F.col("blank"))
         .groupBy("file")
         .agg(F.min_by("opens", "position").alias("is_array"))
@@ -97,6 +96,10 @@ def raw_records(spark: SparkSession, paths: str | Sequence[str], layout: str = "
     if not arrays:
         return line_records(spark, paths)
     # Path conditions prune the file listing: no file is read in the wrong layout.
-    as_lines = lines.where(~_FILE.isin(arrays) & ~F.col("value").rlike(r"^\s*$"))
-    documents = _text(spark, paths, whole=True).where(_FILE.isin(arrays))
-    return as_lines.select(*_PROVENANCE, F.col("value").alias("raw")).unionByName(_array_elements(documents))
+    as_lines = lines.where(~F.col(_FILE).isin(arrays) & ~F.col("value").rlike(_BLANK))
+    documents = _text(spark, paths, whole=True).where(F.col(_FILE).isin(arrays))
+
+    def records(text: DataFrame) -> DataFrame:
+        return text.select(*_provenance(), F.col("value").alias("raw"))
+
+    return records(as_lines).unionByName(array_elements(records(documents)))
