@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.functions.timecols import NTZ, instant_to_jst
@@ -15,57 +15,73 @@ _LOCAL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
 
 
-def parse_record(raw: Column) -> Column:
-    """Variant array of the JSON values in one record text, null if malformed.
+def parse_objects(raw: Column, fields: str) -> Column:
+    """Array of the JSON objects in a text, cut down to ``fields`` (a DDL list).
 
-    The text is parsed inside brackets because a bare parse stops after the first value
-    and would accept ``{"a":1} trailing``. A good record has exactly one element.
+    The text is parsed inside brackets because a bare parse stops after the first value and
+    would accept ``{"a":1} trailing``. A good record has exactly one element. A ``variant``
+    field is SQL NULL if its key is missing and variant null if its value is null; any other
+    type cannot tell the two apart.
     """
-    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-
-
-def member_of(record: Column, key: str) -> Column:
-    """Variant under ``key``: SQL NULL if the key is missing, variant null if it is null."""
-    return F.try_variant_get(record, f'$[0]["{key}"]', "variant")
+    return F.from_json(
+        F.concat(F.lit("["), raw, F.lit("]")), f"array<struct<{fields}>>", {"allowSingleQuotes": "false"}
+    )
 
 
-def text_of(record: Column, key: str) -> Column:
-    return F.try_variant_get(record, f'$[0]["{key}"]', "string")
+def only_object(objects: Column) -> Column:
+    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
 
 
-def text_or_default(record: Column, key: str, default: str) -> Column:
-    """The default replaces a missing key only; an explicit null stays null."""
-    return F.when(member_of(record, key).isNull(), F.lit(default)).otherwise(text_of(record, key))
+def is_json(raw: Column) -> Column:
+    """Whether a text is JSON values at all; for naming the fault of rejected records."""
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull()
 
 
-def is_object(raw: Column, record: Column) -> Column:
-    return record.isNotNull() & raw.rlike(r"^\s*\{") & F.try_variant_get(record, "$[1]", "variant").isNull()
+def text_or_default(member: Column, default: str) -> Column:
+    """Text of a variant field. The default replaces a missing key only; null stays null."""
+    return F.when(member.isNull(), F.lit(default)).otherwise(F.try_variant_get(member, "$", "string"))
 
 
-def event_time(stamp: Column) -> Column:
-    """Zone-less UTC+9 time of a raw timestamp value, null if it is none.
+def with_event_time(df: DataFrame, stamp: str, name: str) -> DataFrame:
+    """Adds the zone-less UTC+9 time of a raw timestamp value, null if it is none.
 
     Numbers (and digit-only strings) are epoch milliseconds or seconds; other strings are
-    ISO-8601, taken as UTC when they carry no zone.
+    ISO-8601, taken as UTC when they carry no zone. Each step is a column of its own: steps
+    used more than once would otherwise be repeated inside one huge expression.
     """
-    kind = F.schema_of_variant(stamp)
-    text = F.try_variant_get(stamp, "$", "string")
-    number = F.when(
-        kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"),
-        F.try_variant_get(stamp, "$", "decimal(38,9)"),
-    ).when((kind == "STRING") & text.rlike(_NUMBER), F.trim(text).try_cast("decimal(38,9)"))
-    micros = F.when(number > MILLISECOND_LIMIT, F.try_multiply(number, F.lit(1_000))).otherwise(
-        F.try_multiply(number, F.lit(1_000_000))
-    )
-    micros = F.round(micros).try_cast("bigint")
-    micros = F.coalesce(
-        micros,
-        F.when((kind == "STRING") & text.rlike(_ZONED), F.unix_micros(text.try_cast("timestamp"))),
-    )
-    utc_text = F.when((kind == "STRING") & text.rlike(_LOCAL), text.try_cast(NTZ))
-    return F.coalesce(
-        F.when(micros.between(_FIRST_MICRO, _LAST_MICRO), instant_to_jst(micros)),
-        utc_text + F.make_dt_interval(F.lit(0), F.lit(9)),
+    value, kind, text = F.col(stamp), F.col("_kind"), F.col("_text")
+    whole, number, micros = F.col("_whole"), F.col("_number"), F.col("_micros")
+    is_text = kind == "STRING"
+    fraction = (kind == "DOUBLE") | kind.startswith("DECIMAL")
+
+    def scaled(value: Column) -> Column:
+        return F.try_multiply(value, F.when(value > MILLISECOND_LIMIT, F.lit(1_000)).otherwise(F.lit(1_000_000)))
+
+    return (
+        df.withColumn("_kind", F.schema_of_variant(value))
+        .withColumn("_text", F.when(is_text, F.try_variant_get(value, "$", "string")))
+        .withColumn("_whole", F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")))
+        .withColumn(
+            "_number",
+            F.when(fraction, F.try_variant_get(value, "$", "decimal(38,9)"))
+            .when(text.rlike(_NUMBER), F.trim(text).try_cast("decimal(38,9)")),
+        )
+        .withColumn(
+            "_micros",
+            F.coalesce(
+                scaled(whole),
+                F.round(scaled(number)).try_cast("bigint"),
+                F.when(text.rlike(_ZONED), F.unix_micros(text.try_cast("timestamp"))),
+            ),
+        )
+        .withColumn(
+            name,
+            F.coalesce(
+                F.when(micros.between(_FIRST_MICRO, _LAST_MICRO), instant_to_jst(micros)),
+                F.when(text.rlike(_LOCAL), text.try_cast(NTZ)) + F.make_dt_interval(F.lit(0), F.lit(9)),
+            ),
+        )
+        .drop("_kind", "_text", "_whole", "_number", "_micros")
     )
 
 

@@ -123,8 +123,7 @@ def is_late_night(c: Column) -> Column:
 
 def instant_to_jst(micros: Column) -> Column:
     """Microseconds since 1970 UTC to a zone-less UTC+9 timestamp."""
-    seconds = (micros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
-    return ntz("1970-01-01 09:00:00") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return ntz("1970-01-01 09:00:00") + F.lit(dt.timedelta(microseconds=1)) * micros
 
 
 def wall_clock_micros(c: Column) -> Column:

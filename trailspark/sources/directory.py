@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailspark.functions import parsing as p
-from trailspark.schema import MEMBER_SCHEMA, SEAT_DOCUMENT_SCHEMA, SEAT_SCHEMA, UNKNOWN
+from trailspark.schema import SEAT_DOCUMENT_SCHEMA, SEAT_SCHEMA, UNKNOWN
 from trailspark.sources.text import document_records, line_records, raw_records
 
 
 def parse_members(raw: DataFrame) -> DataFrame:
     """Members from raw JSON records; a record that is no JSON object stops the load."""
-    checked = raw.withColumn("record", p.parse_record(F.col("raw")))
-    record = F.when(p.is_object(F.col("raw"), F.col("record")), F.col("record")).otherwise(
-        F.raise_error(F.concat(F.lit("not a member record: "), F.col("raw"))).cast("variant")
+    member = F.col("member")
+    fault = F.raise_error(F.concat(F.lit("not a member record: "), F.col("raw")))
+    fields = "login: string, id: bigint, type: variant, site_admin: variant"
+    parsed = raw.withColumn("objects", p.parse_objects(F.col("raw"), fields)).withColumn(
+        "member", p.only_object(F.col("objects"))
+    )
+    login = F.when(member.isNull(), fault.cast("string")).otherwise(member["login"])
+    admin = F.try_variant_get(member["site_admin"], "$", "boolean")
+    return parsed.select(
+        login.alias("login"),
+        member["id"].alias("id"),
+        p.text_or_default(member["type"], "User").alias("type"),
+        F.when(member["site_admin"].isNull(), F.lit(False)).otherwise(admin).alias("site_admin"),
     )
-    record_column = F.col("member")
-    no_admin = p.member_of(record_column, "site_admin").isNull()
-    admin = F.try_variant_get(record_column, '$[0]["site_admin"]', "boolean")
-    return checked.select(record.alias("member")).select(
-        p.text_of(record_column, "login").alias("login"),
-        F.try_variant_get(record_column, '$[0]["id"]', "bigint").alias("id"),
-        p.text_or_default(record_column, "type", "User").alias("type"),
-        F.when(no_admin, F.lit(False)).otherwise(admin).alias("site_admin"),
-    ).select(*MEMBER_SCHEMA.names)
 
 
 def load_members(spark: SparkSession, paths: str | Sequence[str], layout: str = "array") -> DataFrame:
@@ -61,7 +62,9 @@ def read_seat_documents(spark: SparkSession, paths: str | Sequence[str], layout:
 
 def flatten_seats(documents: DataFrame) -> DataFrame:
     """One row per seat of all documents."""
-    seat = documents.select(F.inline("seats"))
+    # An expression, not the bare column: Spark would filter on a bare column's size below
+    # the parsing and so parse every document twice.
+    seat = documents.select(F.inline(F.coalesce("seats", F.array())))
     return seat.select(
         F.col("assignee.login").alias("login"),
         F.col("assignee.id").alias("user_id"),

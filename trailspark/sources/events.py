@@ -18,6 +18,11 @@ MALFORMED = "malformed_json"
 NOT_OBJECT = "not_an_object"
 BAD_TIME = "bad_timestamp"
 
+_FIELDS = (
+    "`@timestamp`: variant, timestamp: variant, action: variant, actor: variant, org: variant, repo: string, "
+    "user: string, team: string, actor_ip: string, country_code: string, actor_is_bot: string"
+)
+
 
 class LoadedEvents(NamedTuple):
     """Good rows, and the records that could not be used with the reason."""
@@ -26,47 +31,44 @@ class LoadedEvents(NamedTuple):
     rejects: DataFrame
 
 
-def parse_events(raw: DataFrame) -> DataFrame:
-    """Typed columns plus ``raw`` and ``reject_reason`` (null for good rows).
+def parse_events(raw: DataFrame) -> LoadedEvents:
+    """Typed events from raw records (columns ``_source_file``, ``_source_bytes``, ``raw``).
 
-    ``raw`` has the columns ``_source_file``, ``_source_bytes`` and ``raw``. Only built-in
-    expressions are used; each record is parsed once.
+    Only built-in expressions; each record is parsed once per result. The rows come out of
+    a generator that gives no row for the other kind of record. A filter in its place, and
+    every later filter, would be pushed below the parsing and parse again.
     """
     record = F.col("record")
-    stamp = p.member_of(record, "@timestamp")
     parsed = (
-        raw.withColumn("record", p.parse_record(F.col("raw")))
+        raw.withColumn("objects", p.parse_objects(F.col("raw"), _FIELDS))
+        .withColumn("record", p.only_object(F.col("objects")))
         # The second key counts only if the first is missing, not if it is null.
-        .withColumn("stamp", F.coalesce(stamp, p.member_of(record, "timestamp")))
-        .withColumn("date_jst", p.event_time(F.col("stamp")))
-    )
-    reason = (
-        F.when(record.isNull(), F.lit(MALFORMED))
-        .when(~p.is_object(F.col("raw"), record), F.lit(NOT_OBJECT))
-        .when(F.col("date_jst").isNull(), F.lit(BAD_TIME))
+        .withColumn("stamp", F.coalesce("record.@timestamp", "record.timestamp"))
     )
-    return parsed.select(
+    # Only records that gave no object are parsed again, to tell why.
+    reason = F.when(
+        record.isNull(), F.when(p.is_json(F.col("raw")), F.lit(NOT_OBJECT)).otherwise(F.lit(MALFORMED))
+    ).when(F.col("date_jst").isNull(), F.lit(BAD_TIME))
+    judged = p.with_event_time(parsed, "stamp", "date_jst").withColumn("reject_reason", reason)
+    event = F.struct(
         "date_jst",
-        *[p.text_or_default(record, key, UNKNOWN).alias(key) for key in ("action", "actor", "org")],
-        *[p.text_of(record, key).alias(key) for key in ("repo", "user", "team", "actor_ip", "country_code")],
-        F.try_variant_get(record, '$[0]["actor_is_bot"]', "boolean").alias("actor_is_bot"),
+        *[p.text_or_default(record[key], UNKNOWN).alias(key) for key in ("action", "actor", "org")],
+        *[record[key].alias(key) for key in ("repo", "user", "team", "actor_ip", "country_code")],
+        record["actor_is_bot"].try_cast("boolean").alias("actor_is_bot"),
         "_source_file",
         "_source_bytes",
-        "raw",
-        reason.alias("reject_reason"),
     )
-
-
-def split_rejects(parsed: DataFrame) -> LoadedEvents:
+    reject = F.struct("_source_file", "raw", "reject_reason")
+    is_good = F.col("reject_reason").isNull()
     return LoadedEvents(
-        parsed.where(F.col("reject_reason").isNull()).select(*EVENT_SCHEMA.names),
-        parsed.where(F.col("reject_reason").isNotNull()).select("_source_file", "raw", "reject_reason"),
+        judged.select(F.inline(F.when(is_good, F.array(event)))),
+        judged.select(F.inline(F.when(~is_good, F.array(reject)))),
     )
 
 
 def load_events(spark: SparkSession, paths: str | Sequence[str], layout: str = "auto") -> LoadedEvents:
     """Load exported audit logs: any mix of JSON arrays and line-delimited JSON."""
-    return split_rejects(parse_events(raw_records(spark, paths, layout)))
+    return parse_events(raw_records(spark, paths, layout))
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:

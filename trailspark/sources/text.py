@@ -46,9 +46,10 @@ def array_elements(documents: DataFrame) -> DataFrame:
     array is passed on as it is, to be rejected later.
     """
     wrapped = F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<array<string>>")
-    elements = F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
-    listed = documents.withColumn("elements", F.coalesce(elements, F.array("raw")))
-    return listed.select("_source_file", "_source_bytes", F.explode("elements").alias("raw"))
+    elements = F.when(F.size("wrapped") == 1, F.get("wrapped", F.lit(0)))
+    return documents.withColumn("wrapped", wrapped).select(
+        "_source_file", "_source_bytes", F.explode(F.coalesce(elements, F.array("raw"))).alias("raw")
+    )
 
 
 def array_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
