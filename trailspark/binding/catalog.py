@@ -925,8 +925,7 @@ def c6_dormant_trend(m: Model) -> DataFrame:
 
 
 def _event_stream(m: Model) -> DataFrame:
-    source = m.table("events")
-    reader = m.spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet")
+    reader = m.spark.readStream.schema(b.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet")
     return b.bind_events(reader.parquet(m.sf_dir))
 
 

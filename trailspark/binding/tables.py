@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import timecols as t
-from trailspark.schema import SEAT_SCHEMA
 
 AS_OF = "2024-02-01 00:00:00"
 PERIOD_MONTHS = 3
@@ -15,56 +14,65 @@ BULK_THRESHOLD = 1
 DATE_RANGE = ("2023-09-05", "2024-01-20")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+}
+
+_EVENT_COLUMNS = (
+    "ts - make_dt_interval(30 * if(user_id % 4 = 1, k % 12, k % 6)) + INTERVAL 9 HOURS AS date_jst",
+    """CASE event_type
+         WHEN 'click' THEN 'git.clone'
+         WHEN 'view' THEN 'git.fetch'
+         WHEN 'purchase' THEN
+           CASE k % 20 WHEN 0 THEN 'repo.destroy' WHEN 1 THEN 'protected_branch.destroy' ELSE 'pull_request.create' END
+         WHEN 'signup' THEN
+           CASE k % 20 WHEN 0 THEN 'org.promote_member_to_owner' WHEN 1 THEN 'deploy_key.create'
+                       ELSE 'org.invite_member' END
+         ELSE CASE k % 20 WHEN 0 THEN 'hook.create' ELSE 'git.push' END
+       END AS action""",
+    """CASE WHEN event_type = 'error' AND k = 99 THEN NULL
+            WHEN user_id % 10 = 3 THEN 'user-' || user_id || '[bot]'
+            ELSE 'user-' || user_id END AS actor""",
+    "'org-' || (user_id % 3) AS org",
+    "CASE WHEN k % 4 <> 0 THEN 'repo-' || (k % 40) END AS repo",
+    "CASE WHEN event_type = 'signup' THEN 'user-' || k END AS user",
+    "CASE WHEN k % 6 = 0 THEN 'team-' || (k % 5) END AS team",
+    """CASE WHEN k % 7 = 0 THEN NULL WHEN user_id % 5 = 0 THEN '10.0.0.' || (k % 4)
+            ELSE '10.0.1.' || (user_id % 200) END AS actor_ip""",
+    """CASE WHEN k % 5 = 0 THEN NULL WHEN k % 17 = 1 THEN 'RU' WHEN k % 19 = 1 THEN 'CN'
+            ELSE 'JP' END AS country_code""",
+    "user_id % 10 = 3 AS actor_is_bot",
+    "'audit-' || (user_id % 7) || '.ndjson' AS _source_file",
+    "user_id % 7 * 1000 + 500 AS _source_bytes",
+    "event_id",
+)
+_MEMBER_COLUMNS = (
+    "'user-' || c_custkey AS login", "c_custkey AS id", "'User' AS type", "c_custkey % 50 = 0 AS site_admin",
+)
+_SEAT_COLUMNS = (
+    "'user-' || o_custkey AS login",
+    "o_custkey AS user_id",
+    "o_orderpriority AS org_name",
+    "o_orderdate AS created_at",
+    "if(o_orderstatus <> 'P', o_orderdate + INTERVAL '8200 09' DAY TO HOUR, NULL) AS last_activity_at",
+    "if(o_orderstatus <> 'P', 'editor-' || (o_orderkey % 4), NULL) AS last_activity_editor",
+    "if(o_orderkey % 9 = 0, TIMESTAMP_NTZ'2024-03-01', NULL) AS pending_cancellation_date",
+)
 
 
-def _days(n: Column) -> Column:
-    return F.make_dt_interval(n)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with its declared schema: opening it reads no file."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bind_events(source: DataFrame) -> DataFrame:
     """Event rows in the canonical schema, plus ``event_id``."""
-    k, user, kind = F.col("k"), F.col("user_id"), F.col("event_type")
-    months_back = F.when(user % 4 == 1, k % 12).otherwise(k % 6)
-    rare = F.when(k % 20 == 0, 0).when(k % 20 == 1, 1)
-    action = (
-        F.when(kind == "click", "git.clone")
-        .when(kind == "view", "git.fetch")
-        .when(kind == "purchase",
-              F.when(rare == 0, "repo.destroy").when(rare == 1, "protected_branch.destroy")
-              .otherwise("pull_request.create"))
-        .when(kind == "signup",
-              F.when(rare == 0, "org.promote_member_to_owner").when(rare == 1, "deploy_key.create")
-              .otherwise("org.invite_member"))
-        .otherwise(F.when(rare == 0, "hook.create").otherwise("git.push"))
-    )
-    login = F.concat(F.lit("user-"), user.cast("string"))
-    return (
-        source.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .select(
-            (F.col("ts") - _days(months_back * 30) + F.make_dt_interval(F.lit(0), F.lit(9))).alias("date_jst"),
-            action.alias("action"),
-            F.when((kind == "error") & (k == 99), F.lit(None))
-            .when(user % 10 == 3, F.concat(login, F.lit("[bot]")))
-            .otherwise(login)
-            .alias("actor"),
-            F.concat(F.lit("org-"), (user % 3).cast("string")).alias("org"),
-            F.when(k % 4 != 0, F.concat(F.lit("repo-"), (k % 40).cast("string"))).alias("repo"),
-            F.when(kind == "signup", F.concat(F.lit("user-"), k.cast("string"))).alias("user"),
-            F.when(k % 6 == 0, F.concat(F.lit("team-"), (k % 5).cast("string"))).alias("team"),
-            F.when(k % 7 == 0, F.lit(None))
-            .when(user % 5 == 0, F.concat(F.lit("10.0.0."), (k % 4).cast("string")))
-            .otherwise(F.concat(F.lit("10.0.1."), (user % 200).cast("string")))
-            .alias("actor_ip"),
-            F.when(k % 5 == 0, F.lit(None)).when(k % 17 == 1, F.lit("RU")).when(k % 19 == 1, F.lit("CN"))
-            .otherwise(F.lit("JP")).alias("country_code"),
-            (user % 10 == 3).alias("actor_is_bot"),
-            F.concat(F.lit("audit-"), (user % 7).cast("string"), F.lit(".ndjson")).alias("_source_file"),
-            (user % 7 * 1000 + 500).cast("bigint").alias("_source_bytes"),
-            "event_id",
-        )
-    )
+    return source.selectExpr("*", "cast(get_json_object(props, '$.k') AS int) AS k").selectExpr(*_EVENT_COLUMNS)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,28 +80,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 10 != 7)
-    return source.select(
-        F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("login"),
-        F.col("c_custkey").alias("id"),
-        F.lit("User").alias("type"),
-        (F.col("c_custkey") % 50 == 0).alias("site_admin"),
-    )
+    return table(spark, sf_dir, "customer").where("c_custkey % 10 <> 7").selectExpr(*_MEMBER_COLUMNS)
 
 
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seats with their order key."""
-    source = table(spark, sf_dir, "orders").where(F.col("o_custkey") % 3 != 0)
-    used = F.col("o_orderstatus") != "P"
-    return source.select(
-        F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("login"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderpriority").alias("org_name"),
-        F.col("o_orderdate").alias("created_at"),
-        F.when(used, F.col("o_orderdate") + F.make_dt_interval(F.lit(8200), F.lit(9))).alias("last_activity_at"),
-        F.when(used, F.concat(F.lit("editor-"), (F.col("o_orderkey") % 4).cast("string"))).alias("last_activity_editor"),
-        F.when(F.col("o_orderkey") % 9 == 0, t.ntz("2024-03-01")).alias("pending_cancellation_date"),
-    ).select(*SEAT_SCHEMA.names)
+    return table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").selectExpr(*_SEAT_COLUMNS)
 
 
 def raw_event_lines(source: DataFrame) -> DataFrame:
