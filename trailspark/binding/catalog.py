@@ -65,6 +65,15 @@ class Model:
     def summary(self) -> DataFrame:
         return dormancy.member_summary(self.events, self.members, self.seats, b.AS_OF, b.PERIOD_MONTHS)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Members with event counts; all that counting reports need."""
+        return dormancy.join_activity(self.members, self.activity)
+
+    @cached_property
+    def counted_dormant(self) -> DataFrame:
+        return dormancy.dormant_members(self.counts, b.DORMANT_THRESHOLD)
+
     @cached_property
     def dormant(self) -> DataFrame:
         return dormancy.dormant_members(self.summary, b.DORMANT_THRESHOLD)
@@ -285,7 +294,7 @@ def x12_x13_last_activity(m: Model) -> DataFrame:
     WHEN audit_event_count <= 18 THEN '低活動' ELSE '要観察' END AS status FROM summary)""")
 def x15_x16_dormancy_labels(m: Model) -> DataFrame:
     count = F.col("audit_event_count")
-    return m.summary.select(
+    return m.counts.select(
         "login",
         labels.dormancy_status(count, b.DORMANT_THRESHOLD).alias("status"),
         labels.activity_flag(count, b.DORMANT_THRESHOLD).alias("flag"),
@@ -429,7 +438,7 @@ def f12_present_values(m: Model) -> DataFrame:
 
 @query("SELECT login, audit_event_count FROM dormant")
 def f14_dormant_members(m: Model) -> DataFrame:
-    return m.dormant.select("login", "audit_event_count")
+    return m.counted_dormant.select("login", "audit_event_count")
 
 
 @query("""
@@ -491,7 +500,7 @@ def j04_former_users(m: Model) -> DataFrame:
   SELECT login, user_id, org_name, created_at, last_activity_at, last_activity_editor, pending_cancellation_date
   FROM latest WHERE login IN (SELECT login FROM dormant)""")
 def j05_dormant_seats(m: Model) -> DataFrame:
-    return dormancy.dormant_seats(m.dormant, m.latest)
+    return dormancy.dormant_seats(m.counted_dormant, m.latest)
 
 
 # ---------------------------------------------------------------- aggregations
@@ -650,7 +659,7 @@ def a16_member_activity(m: Model) -> DataFrame:
     count(*) FILTER (WHERE audit_event_count BETWEEN 19 AND 36) AS watch_needed,
     count(*) FILTER (WHERE audit_event_count <= 36) / count(*) * 100 AS dormant_ratio FROM summary""")
 def a17_dormancy_kpis(m: Model) -> DataFrame:
-    return dormancy.dormancy_kpis(m.summary, b.DORMANT_THRESHOLD)
+    return dormancy.dormancy_kpis(m.counts, b.DORMANT_THRESHOLD)
 
 
 @query("""
@@ -664,7 +673,7 @@ def a18_bot_human_split(m: Model) -> DataFrame:
 
 @query("SELECT status, count(*) AS count FROM dormant GROUP BY 1")
 def a19_status_counts(m: Model) -> DataFrame:
-    return dormancy.status_counts(m.dormant)
+    return dormancy.status_counts(m.counted_dormant)
 
 
 @query("SELECT month, total_events, dormant_events FROM trend")
@@ -679,14 +688,14 @@ _PROFILE_SQL = """
 
 @query(_PROFILE_SQL.format("holders", "used") + " FROM latest WHERE login IN (SELECT login FROM dormant)")
 def a21_seat_usage(m: Model) -> DataFrame:
-    return dormancy.seat_usage(m.dormant, m.latest)
+    return dormancy.seat_usage(m.counted_dormant, m.latest)
 
 
 @query("""
   SELECT last_activity_editor, count(*) AS count FROM latest
   WHERE login IN (SELECT login FROM dormant) AND last_activity_editor IS NOT NULL GROUP BY 1""")
 def a22_editor_distribution(m: Model) -> DataFrame:
-    return dormancy.editor_distribution(m.dormant, m.latest)
+    return dormancy.editor_distribution(m.counted_dormant, m.latest)
 
 
 @query("""
@@ -701,7 +710,7 @@ def a22_editor_distribution(m: Model) -> DataFrame:
     CASE WHEN audit_event_count <= 36 THEN '休眠' ELSE 'アクティブ' END AS status, count(*) AS members
   FROM summary, width5 GROUP BY 1, 2, 3""")
 def a23_activity_histogram(m: Model) -> DataFrame:
-    return dormancy.activity_histogram(m.summary, b.DORMANT_THRESHOLD)
+    return dormancy.activity_histogram(m.counts, b.DORMANT_THRESHOLD)
 
 
 @query("""

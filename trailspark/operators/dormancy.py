@@ -167,7 +167,8 @@ def monthly_trend(
 ) -> DataFrame:
     """Per month of the period: events of all members, and of the dormant ones.
 
-    One scan: events per actor and month give the actors' totals as well.
+    One scan: the rows per actor and month, at most one per month of an actor, give the
+    actor's total over a window.
     """
     months = (
         in_period(events, as_of, period_months)
@@ -175,18 +176,13 @@ def monthly_trend(
         .groupBy("actor", "month")
         .agg(F.count("*").alias("n"))
     )
+    total = F.sum("n").over(Window.partitionBy("actor"))
     logins = members.select("login").distinct()
-    per_actor = months.groupBy(F.col("actor").alias("login")).agg(F.sum("n").alias("total"))
-    dormant = per_actor.join(logins, "login", "left_semi").select(
-        "login", (F.col("total") <= threshold).alias("is_dormant")
-    )
     return (
-        months.join(dormant, months["actor"] == dormant["login"])
+        months.withColumn("dormant_n", F.when(total <= threshold, F.col("n")).otherwise(0))
+        .join(logins, F.col("actor") == F.col("login"), "left_semi")
         .groupBy("month")
-        .agg(
-            F.sum("n").alias("total_events"),
-            F.sum(F.when(F.col("is_dormant"), F.col("n")).otherwise(0)).alias("dormant_events"),
-        )
+        .agg(F.sum("n").alias("total_events"), F.sum("dormant_n").alias("dormant_events"))
         .orderBy("month")
     )
 
