@@ -15,26 +15,34 @@ _LOCAL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
 
 
-def parse_objects(raw: Column, fields: str) -> Column:
-    """Array of the JSON objects in a text, cut down to ``fields`` (a DDL list).
+def closed(raw: Column) -> Column:
+    """A text as the first of two elements of a JSON array, the second being null.
 
-    The text is parsed inside brackets because a bare parse stops after the first value and
-    would accept ``{"a":1} trailing``. A good record has exactly one element. A ``variant``
-    field is SQL NULL if its key is missing and variant null if its value is null; any other
-    type cannot tell the two apart.
+    A bare parse stops after the first value and would accept ``{"a":1} trailing``. Inside
+    an array, anything after the value breaks the array or changes its length, even a
+    closing bracket.
     """
-    return F.from_json(
-        F.concat(F.lit("["), raw, F.lit("]")), f"array<struct<{fields}>>", {"allowSingleQuotes": "false"}
-    )
+    return F.concat(F.lit("["), raw, F.lit(",null]"))
+
+
+def only(elements: Column) -> Column:
+    """The value of a ``closed`` text; null if the text was not exactly one value."""
+    is_one = (F.size(elements) == 2) & F.get(elements, F.lit(1)).isNull()
+    return F.when(is_one, F.get(elements, F.lit(0)))
 
 
-def only_object(objects: Column) -> Column:
-    return F.when(F.size(objects) == 1, F.get(objects, F.lit(0)))
+def parse_objects(raw: Column, fields: str) -> Column:
+    """The JSON object in a text, cut down to ``fields`` (a DDL list), ready for ``only``.
+
+    A ``variant`` field is SQL NULL if its key is missing and variant null if its value is
+    null; any other type cannot tell the two apart.
+    """
+    return F.from_json(closed(raw), f"array<struct<{fields}>>", {"allowSingleQuotes": "false"})
 
 
 def is_json(raw: Column) -> Column:
     """Whether a text is JSON values at all; for naming the fault of rejected records."""
-    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull()
+    return F.try_variant_get(F.try_parse_json(closed(raw)), "$[1]", "variant").isNotNull()
 
 
 def text_or_default(member: Column, default: str) -> Column:

@@ -19,7 +19,7 @@ def parse_members(raw: DataFrame) -> DataFrame:
     fault = F.raise_error(F.concat(F.lit("not a member record: "), F.col("raw")))
     fields = "login: string, id: bigint, type: variant, site_admin: variant"
     parsed = raw.withColumn("objects", p.parse_objects(F.col("raw"), fields)).withColumn(
-        "member", p.only_object(F.col("objects"))
+        "member", p.only(F.col("objects"))
     )
     login = F.when(member.isNull(), fault.cast("string")).otherwise(member["login"])
     admin = F.try_variant_get(member["site_admin"], "$", "boolean")
@@ -41,12 +41,9 @@ def parse_seat_documents(raw: DataFrame) -> DataFrame:
 
     The declared schema keeps columns typed even if every value in a file is null.
     """
-    documents = F.from_json(
-        F.concat(F.lit("["), "raw", F.lit("]")), T.ArrayType(SEAT_DOCUMENT_SCHEMA), {"mode": "FAILFAST"}
-    )
-    one = F.when(F.size("documents") == 1, F.get("documents", F.lit(0))).otherwise(
-        F.raise_error(F.concat(F.lit("not one seat document: "), "_source_file")).cast(SEAT_DOCUMENT_SCHEMA)
-    )
+    documents = F.from_json(p.closed(F.col("raw")), T.ArrayType(SEAT_DOCUMENT_SCHEMA), {"mode": "FAILFAST"})
+    fault = F.raise_error(F.concat(F.lit("not one seat document: "), "_source_file")).cast(SEAT_DOCUMENT_SCHEMA)
+    one = F.coalesce(p.only(F.col("documents")), fault)
     return (
         raw.select("_source_file", documents.alias("documents"))
         .select("_source_file", one.alias("document"))

@@ -41,7 +41,7 @@ def parse_events(raw: DataFrame) -> LoadedEvents:
     record = F.col("record")
     parsed = (
         raw.withColumn("objects", p.parse_objects(F.col("raw"), _FIELDS))
-        .withColumn("record", p.only_object(F.col("objects")))
+        .withColumn("record", p.only(F.col("objects")))
         # The second key counts only if the first is missing, not if it is null.
         .withColumn("stamp", F.coalesce("record.@timestamp", "record.timestamp"))
     )

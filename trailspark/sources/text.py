@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailspark.functions.parsing import closed, only
+
 RAW_SCHEMA = T.StructType([
     T.StructField("_source_file", T.StringType()),
     T.StructField("_source_bytes", T.LongType()),
@@ -19,13 +21,15 @@ _BLANK = r"^\s*$"
 
 
 def _provenance() -> list[Column]:
-    return [F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_size").alias("_source_bytes")]
+    # Spark gives the name percent-encoded; a plus sign in it is a plus sign.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return [name.alias("_source_file"), F.col("_metadata.file_size").alias("_source_bytes")]
 
 
 def _text(spark: SparkSession, paths: str | Sequence[str], whole: bool) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("recursiveFileLookup", True)
-    return (reader.option("wholetext", True) if whole else reader.option("lineSep", "\n")).text(paths)
+    return reader.text(paths, wholetext=True) if whole else reader.text(paths, lineSep="\n")
 
 
 def line_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -42,14 +46,11 @@ def document_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
 def array_elements(documents: DataFrame) -> DataFrame:
     """One record per element of the JSON array in each record.
 
-    The array is parsed inside brackets, so text after it is noticed. A record that is no
-    array is passed on as it is, to be rejected later.
+    A record that is no array is passed on as it is, to be rejected later.
     """
-    wrapped = F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<array<string>>")
-    elements = F.when(F.size("wrapped") == 1, F.get("wrapped", F.lit(0)))
-    return documents.withColumn("wrapped", wrapped).select(
-        "_source_file", "_source_bytes", F.explode(F.coalesce(elements, F.array("raw"))).alias("raw")
-    )
+    parsed = documents.withColumn("parsed", F.from_json(closed(F.col("raw")), "array<array<string>>"))
+    elements = F.coalesce(only(F.col("parsed")), F.array("raw"))
+    return parsed.select("_source_file", "_source_bytes", F.explode(elements).alias("raw"))
 
 
 def array_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
