@@ -71,8 +71,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bind_events(source: DataFrame) -> DataFrame:
-    """Event rows in the canonical schema, plus ``event_id``."""
-    return source.selectExpr("*", "cast(get_json_object(props, '$.k') AS int) AS k").selectExpr(*_EVENT_COLUMNS)
+    """Event rows in the canonical schema, plus ``event_id``.
+
+    The number in ``props`` comes out of a generator: as a plain column, every filter on a
+    derived column would be pushed below it and read the JSON text again per use.
+    """
+    number = "explode(array(cast(get_json_object(props, '$.k') AS int))) AS k"
+    return source.selectExpr("*", number).selectExpr(*_EVENT_COLUMNS)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +98,7 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
     The form depends on ``event_id``: epoch milliseconds or seconds, ISO text with and
     without zone, the second timestamp key; missing and null keys; broken records.
     """
-    n = F.col("event_id")
-    local = F.col("date_jst") - F.make_dt_interval(F.lit(0), F.lit(9))
-    micros = t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000
+    n, micros, utc_text = F.col("event_id"), F.col("_micros"), F.col("_utc_text")
 
     def iso(time: Column) -> Column:
         return F.replace(time.cast("string"), F.lit(" "), F.lit("T"))
@@ -109,15 +112,16 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
     def text(key: str) -> Column:
         return pair(key, quoted(F.col(key)))
 
-    millis = F.floor(micros / 1000).cast("string")
-    seconds = (micros / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)").cast("string")
+    millis = F.expr("_micros div 1000").cast("string")
+    fraction = F.lpad((micros % 1_000_000).cast("string"), 6, "0")
+    seconds = F.concat(F.expr("_micros div 1000000").cast("string"), F.lit("."), fraction)
     stamp = (
         F.when(n % 101 == 0, F.lit('"@timestamp":"not a date"'))
         .when(n % 103 == 0, F.lit('"@timestamp":null,"timestamp":1700000000'))
         .when(n % 6 == 0, pair("@timestamp", millis))
         .when(n % 6 == 1, pair("@timestamp", seconds))
-        .when(n % 6 == 2, pair("@timestamp", quoted(iso(local))))
-        .when(n % 6 == 3, pair("@timestamp", quoted(F.concat(iso(local), F.lit("Z")))))
+        .when(n % 6 == 2, pair("@timestamp", quoted(utc_text)))
+        .when(n % 6 == 3, pair("@timestamp", quoted(F.concat(utc_text, F.lit("Z")))))
         .when(n % 6 == 4, pair("@timestamp", quoted(F.concat(iso(F.col("date_jst")), F.lit("+09:00")))))
         .otherwise(pair("timestamp", millis))
     )
@@ -132,7 +136,11 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
         .when(n % 109 == 0, F.lit("17"))
         .otherwise(F.concat(F.lit("{"), body, F.lit("}")))
     )
-    return source.select("_source_file", "_source_bytes", raw.alias("raw"))
+    return (
+        source.withColumn("_micros", t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000)
+        .withColumn("_utc_text", iso(F.col("date_jst") - F.make_dt_interval(F.lit(0), F.lit(9))))
+        .select("_source_file", "_source_bytes", raw.alias("raw"))
+    )
 
 
 def raw_member_records(source: DataFrame) -> DataFrame:
