@@ -180,24 +180,24 @@ def s05_load_members(m: Model) -> DataFrame:
       ELSE o_orderdate + to_days(8200) + INTERVAL 9 HOUR END AS last_activity_at,
     CASE WHEN o_orderstatus <> 'P' THEN 'editor-' || (o_orderkey % 4) END AS last_activity_editor,
     CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2024-03-01' END AS pending_cancellation_date
-  FROM orders WHERE (o_orderkey // 1000) % 10 <> 3""")
+  FROM orders WHERE o_orderpriority <> '5-LOW'""")
 def s06_load_seats(m: Model) -> DataFrame:
     documents = directory.parse_seat_documents(b.raw_seat_documents(m.table("orders")))
     return directory.flatten_seats(documents)
 
 
 @query("""
-  SELECT 'seats-' || (o_orderkey // 1000) || '.json' AS _source_file,
-    CASE WHEN (o_orderkey // 1000) % 10 = 3 THEN 'unknown' ELSE min(o_orderpriority) END AS org_name,
-    CASE WHEN (o_orderkey // 1000) % 10 = 3 THEN 0 ELSE count(*) END AS seat_count
-  FROM orders GROUP BY o_orderkey // 1000""")
+  SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown' ELSE o_orderpriority END AS org_name,
+    count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS seat_count
+  FROM orders GROUP BY 1""")
 def s07_seat_file_summary(m: Model) -> DataFrame:
-    return directory.seat_file_summary(directory.parse_seat_documents(b.raw_seat_documents(m.table("orders"))))
+    documents = directory.parse_seat_documents(b.raw_seat_documents(m.table("orders")))
+    return directory.seat_file_summary(documents).groupBy("org_name").agg(F.sum("seat_count").alias("seat_count"))
 
 
 @query("""
   SELECT 'timestamp_ntz' AS activity_type, 'string' AS editor_type, count(*) AS seats, 0::BIGINT AS used
-  FROM orders WHERE (o_orderkey // 1000) % 10 <> 3""")
+  FROM orders WHERE o_orderpriority <> '5-LOW'""")
 def s08_typed_null_columns(m: Model) -> DataFrame:
     unused = m.table("orders").withColumn("o_orderstatus", F.lit("P"))
     seats = directory.flatten_seats(directory.parse_seat_documents(b.raw_seat_documents(unused)))

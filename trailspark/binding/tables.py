@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.functions import timecols as t
+from trailspark.operators.lists import paged_lists
 
 AS_OF = "2024-02-01 00:00:00"
 PERIOD_MONTHS = 3
 DORMANT_THRESHOLD = 36
 BULK_THRESHOLD = 1
 DATE_RANGE = ("2023-09-05", "2024-01-20")
+PAGE_SIZE = 1_000
+EMPTY_ORG = "5-LOW"
 
 
 SCHEMAS = {
@@ -126,19 +129,18 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
         .otherwise(pair("timestamp", millis))
     )
     actor = F.when(n % 13 == 0, F.lit('"actor":null')).when(n % 11 != 0, text("actor"))
-    body = F.concat_ws(
-        ",", stamp, F.when(n % 17 != 0, text("action")), actor, text("org"), text("repo"), text("user"),
-        text("team"), text("actor_ip"), text("country_code"), pair("actor_is_bot", F.col("actor_is_bot").cast("string")),
-    )
+    rest = F.to_json(F.struct("org", "repo", "user", "team", "actor_ip", "country_code", "actor_is_bot"))
+    body = F.concat_ws(",", stamp, F.when(n % 17 != 0, text("action")), actor, F.substring(rest, 2, 1_000))
     raw = (
-        F.when(n % 97 == 0, F.concat(F.lit("{"), body))
-        .when(n % 107 == 0, F.concat(F.lit("{"), body, F.lit("} x")))
+        F.when(n % 97 == 0, F.regexp_replace("_body", r"\}$", ""))
+        .when(n % 107 == 0, F.concat(F.col("_body"), F.lit(" x")))
         .when(n % 109 == 0, F.lit("17"))
-        .otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+        .otherwise(F.col("_body"))
     )
     return (
         source.withColumn("_micros", t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000)
         .withColumn("_utc_text", iso(F.col("date_jst") - F.make_dt_interval(F.lit(0), F.lit(9))))
+        .withColumn("_body", F.concat(F.lit("{"), body))
         .select("_source_file", "_source_bytes", raw.alias("raw"))
     )
 
@@ -172,45 +174,41 @@ def seat_time_text(time: Column, form: Column) -> Column:
 
 
 def raw_seat_documents(source: DataFrame) -> DataFrame:
-    """Orders as raw seat documents of up to 1,000 order keys each, some empty."""
+    """Orders as raw seat documents of about 1,000 seats each; those of one organisation are empty."""
     key = F.col("o_orderkey")
     used = F.col("o_orderstatus") != "P"
     seat = F.struct(
-        F.col("o_orderpriority").alias("a"),
-        key.alias("b"),
-        F.struct(
-            seat_time_text(F.col("o_orderdate"), key % 4).alias("created_at"),
-            F.when(key % 9 == 0, F.lit("2024-03-01")).alias("pending_cancellation_date"),
-            F.when(used, seat_time_text(F.col("o_orderdate") + F.make_dt_interval(F.lit(8200), F.lit(9)), key % 3))
-            .otherwise(F.when(key % 2 == 0, F.lit(""))).alias("last_activity_at"),
-            F.when(used, F.concat(F.lit("editor-"), (key % 4).cast("string"))).alias("last_activity_editor"),
-            F.struct(F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("login"),
-                     F.col("o_custkey").alias("id")).alias("assignee"),
-            F.struct(F.col("o_orderpriority").alias("login"), F.lit(1).alias("id")).alias("organization"),
-        ).alias("seat"),
+        seat_time_text(F.col("o_orderdate"), key % 4).alias("created_at"),
+        F.when(key % 9 == 0, F.lit("2024-03-01")).alias("pending_cancellation_date"),
+        F.when(used, seat_time_text(F.col("o_orderdate") + F.make_dt_interval(F.lit(8200), F.lit(9)), key % 3))
+        .otherwise(F.when(key % 2 == 0, F.lit(""))).alias("last_activity_at"),
+        F.when(used, F.concat(F.lit("editor-"), (key % 4).cast("string"))).alias("last_activity_editor"),
+        F.struct(F.concat(F.lit("user-"), F.col("o_custkey").cast("string")).alias("login"),
+                 F.col("o_custkey").alias("id")).alias("assignee"),
+        F.struct(F.col("o_orderpriority").alias("login"), F.lit(1).alias("id")).alias("organization"),
     )
-    part = F.expr("o_orderkey div 1000")
-    listed = source.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(seat)).alias("rows"))
-    seats_of = F.when(F.col("part") % 10 == 3, F.slice("rows", 1, 0)).otherwise(F.col("rows"))
+    pages = paged_lists(source.select("o_orderpriority", seat.alias("seat")), "o_orderpriority", "seat", PAGE_SIZE)
+    items = F.when(F.col("o_orderpriority") == EMPTY_ORG, F.slice("items", 1, 0)).otherwise(F.col("items"))
     document = F.to_json(
-        F.struct(F.size("rows").alias("total_seats"), F.transform(seats_of, lambda row: row["seat"]).alias("seats")),
-        {"ignoreNullFields": "false"},
+        F.struct(F.size("items").alias("total_seats"), items.alias("seats")), {"ignoreNullFields": "false"}
     )
-    return listed.select(
-        F.concat(F.lit("seats-"), F.col("part").cast("string"), F.lit(".json")).alias("_source_file"),
+    return pages.select(
+        F.concat_ws("-", "o_orderpriority", F.col("page").cast("string")).alias("_source_file"),
         F.length(document).cast("bigint").alias("_source_bytes"),
         document.alias("raw"),
     )
 
 
 def raw_event_arrays(source: DataFrame) -> DataFrame:
-    """Events as raw JSON arrays of up to 1,000 event ids and one file each."""
+    """Events as raw JSON arrays of about 1,000 events each."""
     record = F.to_json(F.struct(
-        F.floor((t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000) / 1000).alias("@timestamp"),
-        "action", "actor", "org", "repo", "actor_ip",
+        F.expr("_micros div 1000").alias("@timestamp"), "action", "actor", "org", "repo", "actor_ip",
         F.struct(F.col("country_code"), F.lit("}],[{").alias("country_name")).alias("actor_location"),
     ))
-    part = F.expr("event_id div 1000")
-    packed = source.groupBy("_source_file", "_source_bytes", part).agg(F.collect_list(record).alias("rows"))
-    document = F.concat(F.lit("[\n"), F.array_join("rows", ",\n"), F.lit("\n]"))
-    return packed.select("_source_file", "_source_bytes", document.alias("raw"))
+    records = source.withColumn("_micros", t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000).select(
+        "_source_file", record.alias("record")
+    )
+    document = F.concat(F.lit("[\n"), F.array_join("items", ",\n"), F.lit("\n]"))
+    return paged_lists(records, "_source_file", "record", PAGE_SIZE).select(
+        "_source_file", F.length(document).cast("bigint").alias("_source_bytes"), document.alias("raw")
+    )

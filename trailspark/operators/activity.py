@@ -32,41 +32,62 @@ def file_counts(events: DataFrame) -> DataFrame:
     return count_by(events, "_source_file", name="event_count").orderBy("_source_file")
 
 
+def _value_counts(events: DataFrame, *columns: str) -> DataFrame:
+    """One row per column and different value (null is one): ``kind``, ``value``, ``n``, times.
+
+    One pass for several columns. Each event gives one row per column, but those combine in
+    the task that reads them, so the shuffle carries values, not events or combinations.
+    """
+    entries = [F.struct(F.lit(name).alias("kind"), F.col(name).alias("value")) for name in columns]
+    return (
+        events.select("date_jst", F.inline(F.array(*entries)))
+        .groupBy("kind", "value")
+        .agg(F.count("*").alias("n"), F.min("date_jst").alias("first"), F.max("date_jst").alias("last"))
+    )
+
+
+def _totals(kind: str) -> dict:
+    is_kind = F.col("kind") == kind
+    return {
+        "event_count": F.coalesce(F.sum(F.when(is_kind, F.col("n"))), F.lit(0)),
+        "first_event": F.min("first"),
+        "last_event": F.max("last"),
+    }
+
+
+def _different(kind: str):
+    return F.count_if(F.col("kind") == kind)
+
+
 def dataset_summary(events: DataFrame) -> DataFrame:
     """One row: events, files, bytes, time range, different actors and actions.
 
-    A null actor or action counts as one more value. The events shrink to one row per file,
-    actor and action first; the distinct counts run on those, so they never multiply event
-    rows.
+    A null actor or action counts as one more value. Files are told apart by name and size.
     """
-    combos = events.groupBy("_source_file", "_source_bytes", "actor", "action").agg(
-        F.count("*").alias("n"), F.min("date_jst").alias("first"), F.max("date_jst").alias("last")
-    )
-    # One row per file, actor or action value, told apart by `kind`.
-    parts = combos.select(
-        "n", "first", "last",
-        F.explode(F.array(
-            _part("file", F.col("_source_file"), F.col("_source_bytes")),
-            _part("actor", F.col("actor")),
-            _part("action", F.col("action")),
-        )).alias("part"),
-    )
-    values = parts.groupBy("part").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    kind, is_file = F.col("part.kind"), F.col("part.kind") == "file"
-    return values.agg(
-        F.coalesce(F.sum(F.when(is_file, F.col("n"))), F.lit(0)).alias("event_count"),
-        F.count_if(is_file).alias("file_count"),
-        F.coalesce(F.sum("part.bytes"), F.lit(0)).alias("total_bytes"),
-        F.min("first").alias("first_event"),
-        F.max("last").alias("last_event"),
-        F.count_if(kind == "actor").alias("unique_actors"),
-        F.count_if(kind == "action").alias("unique_actions"),
+    named = events.withColumn("_file", F.concat_ws("\n", F.col("_source_bytes").cast("string"), "_source_file"))
+    totals = _totals("actor")
+    size = F.substring_index(F.col("value"), "\n", 1).try_cast("bigint")
+    return _value_counts(named, "_file", "actor", "action").agg(
+        totals["event_count"].alias("event_count"),
+        _different("_file").alias("file_count"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "_file", size)), F.lit(0)).alias("total_bytes"),
+        totals["first_event"].alias("first_event"),
+        totals["last_event"].alias("last_event"),
+        _different("actor").alias("unique_actors"),
+        _different("action").alias("unique_actions"),
     )
 
 
-def _part(kind: str, value, size=None):
-    size = F.lit(None) if size is None else size
-    return F.struct(F.lit(kind).alias("kind"), value.alias("value"), size.cast("bigint").alias("bytes"))
+def event_profile(events: DataFrame) -> DataFrame:
+    """One row: events, first and last date, different actions and actors."""
+    totals = _totals("actor")
+    return _value_counts(events, "actor", "action").agg(
+        totals["event_count"].alias("event_count"),
+        F.to_date(totals["first_event"]).alias("first_date"),
+        F.to_date(totals["last_event"]).alias("last_date"),
+        _different("action").alias("unique_actions"),
+        _different("actor").alias("unique_actors"),
+    )
 
 
 def data_span(events: DataFrame) -> DataFrame:

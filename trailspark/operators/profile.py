@@ -9,25 +9,15 @@ from pyspark.sql import functions as F
 
 from trailspark.functions import timecols as t
 from trailspark.functions.labels import in_category, is_suspicious_country
-from trailspark.operators.activity import count_by, dataset_summary, ranked
+from trailspark.operators.activity import count_by, event_profile, ranked
 from trailspark.schema import PROFILE_RISK_ACTIONS, SUSPICIOUS_COUNTRIES
 
+__all__ = ["anomaly_indicators", "category_coverage", "event_profile", "top_values"]
+
 # Login prefixes of the actor categories.
 ACTOR_CATEGORIES = {"low_activity": "low-", "former": "former-"}
 
 
-def event_profile(events: DataFrame) -> DataFrame:
-    """One row: events, first and last date, different actions and actors."""
-    summary = dataset_summary(events)
-    return summary.select(
-        "event_count",
-        F.to_date("first_event").alias("first_date"),
-        F.to_date("last_event").alias("last_date"),
-        "unique_actions",
-        "unique_actors",
-    )
-
-
 def top_values(events: DataFrame, column: str, n: int = 10) -> DataFrame:
     """Most frequent values of a column, null included."""
     return ranked(count_by(events, column), "count", column, n=n)
