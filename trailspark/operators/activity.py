@@ -32,61 +32,56 @@ def file_counts(events: DataFrame) -> DataFrame:
     return count_by(events, "_source_file", name="event_count").orderBy("_source_file")
 
 
-def _value_counts(events: DataFrame, *columns: str) -> DataFrame:
-    """One row per column and different value (null is one): ``kind``, ``value``, ``n``, times.
-
-    One pass for several columns. Each event gives one row per column, but those combine in
-    the task that reads them, so the shuffle carries values, not events or combinations.
-    """
-    entries = [F.struct(F.lit(name).alias("kind"), F.col(name).alias("value")) for name in columns]
-    return (
-        events.select("date_jst", F.inline(F.array(*entries)))
-        .groupBy("kind", "value")
-        .agg(F.count("*").alias("n"), F.min("date_jst").alias("first"), F.max("date_jst").alias("last"))
-    )
+def _different(name: str):
+    """Number of different values, null being one of them."""
+    has_null = F.max(F.when(F.col(name).isNull(), 1).otherwise(0))
+    return F.count_distinct(name) + F.coalesce(has_null, F.lit(0))
 
 
-def _totals(kind: str) -> dict:
-    is_kind = F.col("kind") == kind
-    return {
-        "event_count": F.coalesce(F.sum(F.when(is_kind, F.col("n"))), F.lit(0)),
-        "first_event": F.min("first"),
-        "last_event": F.max("last"),
-    }
+def _event_totals(events: DataFrame) -> DataFrame:
+    """One row: events, time range, different actors and actions.
 
-
-def _different(kind: str):
-    return F.count_if(F.col("kind") == kind)
+    The distinct counts run over one row per actor and action, not over events.
+    """
+    pairs = events.groupBy("actor", "action").agg(
+        F.count("*").alias("n"), F.min("date_jst").alias("first"), F.max("date_jst").alias("last")
+    )
+    return pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("event_count"),
+        F.min("first").alias("first_event"),
+        F.max("last").alias("last_event"),
+        _different("actor").alias("unique_actors"),
+        _different("action").alias("unique_actions"),
+    )
 
 
 def dataset_summary(events: DataFrame) -> DataFrame:
     """One row: events, files, bytes, time range, different actors and actions.
 
-    A null actor or action counts as one more value. Files are told apart by name and size.
+    A null actor or action counts as one more value. Files are told apart by name and size
+    and come from a scan of their own, which reads no column of the other and keeps the
+    shuffles free of file and actor combinations.
     """
-    named = events.withColumn("_file", F.concat_ws("\n", F.col("_source_bytes").cast("string"), "_source_file"))
-    totals = _totals("actor")
-    size = F.substring_index(F.col("value"), "\n", 1).try_cast("bigint")
-    return _value_counts(named, "_file", "actor", "action").agg(
-        totals["event_count"].alias("event_count"),
-        _different("_file").alias("file_count"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "_file", size)), F.lit(0)).alias("total_bytes"),
-        totals["first_event"].alias("first_event"),
-        totals["last_event"].alias("last_event"),
-        _different("actor").alias("unique_actors"),
-        _different("action").alias("unique_actions"),
+    files = events.select("_source_file", "_source_bytes").distinct()
+    file_totals = files.agg(F.struct(
+        F.count("*").alias("file_count"), F.coalesce(F.sum("_source_bytes"), F.lit(0)).alias("total_bytes")
+    ))
+    return (
+        _event_totals(events)
+        .withColumn("files", file_totals.scalar())
+        .select("event_count", "files.file_count", "files.total_bytes", "first_event", "last_event",
+                "unique_actors", "unique_actions")
     )
 
 
 def event_profile(events: DataFrame) -> DataFrame:
     """One row: events, first and last date, different actions and actors."""
-    totals = _totals("actor")
-    return _value_counts(events, "actor", "action").agg(
-        totals["event_count"].alias("event_count"),
-        F.to_date(totals["first_event"]).alias("first_date"),
-        F.to_date(totals["last_event"]).alias("last_date"),
-        _different("action").alias("unique_actions"),
-        _different("actor").alias("unique_actors"),
+    return _event_totals(events).select(
+        "event_count",
+        F.to_date("first_event").alias("first_date"),
+        F.to_date("last_event").alias("last_date"),
+        "unique_actions",
+        "unique_actors",
     )
 
 
