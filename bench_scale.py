@@ -72,7 +72,7 @@ def main() -> None:
 
     raw, store = f"{folder}/raw", f"{folder}/store"
     timed("write_json", lambda: sinks.write_ndjson(exported(multiplied(spark, sf_dir, copies)), raw))
-    timed("load_and_store", lambda: event_source.write_events(event_source.load_events(spark, raw, "lines").events, store))
+    timed("load_and_store", lambda: event_source.ingest_events(spark, raw, store, "lines"))
     events = event_source.read_events(spark, store)
     members, seats = b.members(spark, sf_dir), b.seats(spark, sf_dir)
     args = (events, members, seats, b.AS_OF, b.PERIOD_MONTHS, b.DORMANT_THRESHOLD)

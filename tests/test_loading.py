@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trailspark.session import scratch_path
 from trailspark.sources import directory, sinks, text
-from trailspark.sources.events import load_events, read_events, write_events
+from trailspark.sources.events import ingest_events, load_events, read_events, read_rejects, write_events
 from trailspark.operators import activity, filters
 
 
@@ -159,6 +159,21 @@ def test_store_round_trip_prunes_folders(spark, tmp_path):
     assert "GreaterThanOrEqual(date_jst" in plan
 
 
+def test_ingest_keeps_events_and_rejects_in_one_store(spark, tmp_path):
+    lines = [event(actor="a"), event(actor="b", **{"@timestamp": "2025-02-01"}), '{"actor": "c"}', "{bad"]
+    write(tmp_path / "logs", "x.ndjson", "\n".join(lines))
+    path = write(tmp_path / "logs", "y.json", "[" + event(actor="d") + "]")
+    store = scratch_path(spark, "ingest")
+    ingest_events(spark, path, store)
+    ingest_events(spark, str(tmp_path / "logs" / "y.json"), store, layout="array")
+    expected = load_events(spark, path)
+    stored = read_events(spark, store)
+    assert sorted(row.actor for row in stored.collect()) == ["a", "b", "d", "d"]
+    assert set(stored.drop("event_date").collect()) == set(expected.events.collect())
+    assert set(read_rejects(spark, store).collect()) == set(expected.rejects.collect())
+    assert read_rejects(spark, store).count() == 2
+
+
 def test_members(spark, tmp_path):
     members = [
         {"login": "a", "id": 1, "type": "Bot", "site_admin": True, "url": "x"},

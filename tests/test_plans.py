@@ -10,7 +10,7 @@ from trailspark.session import scratch_path
 from trailspark.sources import events as event_source
 
 QUERIES = entry.queries()
-EAGER = {"s03_multi_file_load", "s09_csv_export", "s10_seat_documents", "e1_bulk_operation_stream",
+EAGER = {"s03_multi_file_load", "s03_ingested_store", "s09_csv_export", "s10_seat_documents", "e1_bulk_operation_stream",
          "e2_critical_event_stream"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas",
              "PythonUDF", "Scan ExistingRDD", "LocalTableScan")

@@ -159,6 +159,18 @@ def s03_multi_file_load(m: Model) -> DataFrame:
     return loaded.select("date_jst", "action", "actor", "org", "repo", "actor_ip")
 
 
+@query(f"""
+  SELECT date_trunc('millisecond', date_jst) AS date_jst, date_jst::DATE AS event_date, org, repo, actor_ip
+  FROM ev WHERE NOT {_BROKEN} AND NOT {_NO_TIME} AND {IN_RANGE}""")
+def s03_ingested_store(m: Model) -> DataFrame:
+    lines, store = m.scratch("event-lines"), m.scratch("event-store")
+    b.raw_event_lines(m.events).select("raw").write.text(lines)
+    event_source.ingest_events(m.spark, lines, store, layout="lines")
+    stored = filters.in_date_range(event_source.read_events(m.spark, store), b.DATE_RANGE)
+    return stored.select(F.date_trunc("millisecond", F.col("date_jst")).cast(t.NTZ).alias("date_jst"),
+                         "event_date", "org", "repo", "actor_ip")
+
+
 @query("SELECT _source_file, count(*) AS event_count FROM ev GROUP BY 1")
 def s04_file_counts(m: Model) -> DataFrame:
     return activity.file_counts(m.events)

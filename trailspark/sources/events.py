@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,13 +31,8 @@ class LoadedEvents(NamedTuple):
     rejects: DataFrame
 
 
-def parse_events(raw: DataFrame) -> LoadedEvents:
-    """Typed events from raw records (columns ``_source_file``, ``_source_bytes``, ``raw``).
-
-    Only built-in expressions; each record is parsed once per result. The rows come out of
-    a generator that gives no row for the other kind of record. A filter in its place, and
-    every later filter, would be pushed below the parsing and parse again.
-    """
+def _judged(raw: DataFrame) -> DataFrame:
+    """Raw records with the parsed ``record``, its time and the ``reject_reason`` (null if good)."""
     record = F.col("record")
     parsed = (
         raw.withColumn("objects", p.parse_objects(F.col("raw"), _FIELDS))
@@ -49,19 +44,33 @@ def parse_events(raw: DataFrame) -> LoadedEvents:
     reason = F.when(
         record.isNull(), F.when(p.is_json(F.col("raw")), F.lit(NOT_OBJECT)).otherwise(F.lit(MALFORMED))
     ).when(F.col("date_jst").isNull(), F.lit(BAD_TIME))
-    judged = p.with_event_time(parsed, "stamp", "date_jst").withColumn("reject_reason", reason)
-    event = F.struct(
-        "date_jst",
+    return p.with_event_time(parsed, "stamp", "date_jst").withColumn("reject_reason", reason)
+
+
+def _event_columns() -> list[Column]:
+    record = F.col("record")
+    return [
+        F.col("date_jst"),
         *[p.text_or_default(record[key], UNKNOWN).alias(key) for key in ("action", "actor", "org")],
         *[record[key].alias(key) for key in ("repo", "user", "team", "actor_ip", "country_code")],
         record["actor_is_bot"].try_cast("boolean").alias("actor_is_bot"),
-        "_source_file",
-        "_source_bytes",
-    )
-    reject = F.struct("_source_file", "raw", "reject_reason")
+        F.col("_source_file"),
+        F.col("_source_bytes"),
+    ]
+
+
+def parse_events(raw: DataFrame) -> LoadedEvents:
+    """Typed events from raw records (columns ``_source_file``, ``_source_bytes``, ``raw``).
+
+    Only built-in expressions; each record is parsed once per result. The rows come out of
+    a generator that gives no row for the other kind of record. A filter in its place, and
+    every later filter, would be pushed below the parsing and parse again.
+    """
+    judged = _judged(raw)
     is_good = F.col("reject_reason").isNull()
+    reject = F.struct("_source_file", "raw", "reject_reason")
     return LoadedEvents(
-        judged.select(F.inline(F.when(is_good, F.array(event)))),
+        judged.select(F.inline(F.when(is_good, F.array(F.struct(*_event_columns()))))),
         judged.select(F.inline(F.when(~is_good, F.array(reject)))),
     )
 
@@ -71,7 +80,20 @@ def load_events(spark: SparkSession, paths: str | Sequence[str], layout: str = "
     return parse_events(raw_records(spark, paths, layout))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+def ingest_events(
+    spark: SparkSession, paths: str | Sequence[str], store: str, layout: str = "auto", mode: str = "append"
+) -> None:
+    """Load exports into a store in one pass, rejects included (see ``read_rejects``)."""
+    judged = _judged(raw_records(spark, paths, layout))
+    reason = F.col("reject_reason")
+    is_good = reason.isNull()
+    # A reject has no date and keeps its text; its other event columns are not read.
+    time = F.when(is_good, F.col("date_jst")).alias("date_jst")
+    rows = judged.select(time, *_event_columns()[1:], F.when(~is_good, F.col("raw")).alias("raw"), reason)
+    write_events(rows, store, mode)
+
+
+def write_events(events: DataFrame, store: str, mode: str = "append") -> None:
     """Store events as Parquet, one folder per UTC+9 date.
 
     The rebalance hint brings the rows of a date together and lets Spark split a date that
@@ -82,11 +104,21 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
         .hint("rebalance", "event_date")
         .write.partitionBy("event_date")
         .mode(mode)
-        .parquet(path)
+        .parquet(store)
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, store: str, fields: list[T.StructField]) -> DataFrame:
+    return spark.read.schema(T.StructType([*fields, T.StructField("event_date", T.DateType())])).parquet(store)
+
+
+def read_events(spark: SparkSession, store: str) -> DataFrame:
     """Stored events; a date range on them (``filters.in_date_range``) prunes folders."""
-    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return _read(spark, store, EVENT_SCHEMA.fields).where(F.col("event_date").isNotNull())
+
+
+def read_rejects(spark: SparkSession, store: str) -> DataFrame:
+    """Records an ingest could not use: they are in the folder without date."""
+    names = ("_source_file", "raw", "reject_reason")
+    stored = _read(spark, store, [T.StructField(name, T.StringType()) for name in names])
+    return stored.where(F.col("event_date").isNull()).drop("event_date")
