@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from trailspark.llm import simhash
+from trailspark.llm import classifier, merkle, simhash, urltree
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op6_quality_classifier": classifier.op6_quality_classifier,
+    "op9_document_fingerprints": merkle.op9_document_fingerprints,
+    "op10_url_filters": urltree.op10_url_filters,
 }
 ORACLES: dict[str, str] = {}
