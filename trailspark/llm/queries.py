@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trailspark.llm import classifier, linededup, merkle, simhash, urltree
+from trailspark.llm import classifier, decontaminate, linededup, merkle, simhash, urltree
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op6_quality_classifier": classifier.op6_quality_classifier,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
