@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from trailspark.llm import classifier, decontaminate, linededup, merkle, simhash, urltree
+import corpus_pipeline
+from trailspark.llm import bestfit, classifier, decontaminate, linededup, merkle, simhash, urltree
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op6_quality_classifier": classifier.op6_quality_classifier,
+    "op8_best_fit_packing": bestfit.op8_best_fit_packing,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
     "op10_url_filters": urltree.op10_url_filters,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
