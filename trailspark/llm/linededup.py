@@ -16,14 +16,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import same_document, stored, table, text_key
+from trailspark.llm.common import NO_ID, same_document, smaller_before, stored, table, text_key
 
 MIN_WORDS = 50  # a run is deleted from this many words on
 CHUNK = 1 << 16  # ranks of the suffix array one task looks at
-NO_ID = -(1 << 63)  # stands for a null doc_id
 
 _AT = ["doc", "key", "pos"]
 
@@ -38,20 +37,6 @@ def corpus_lines(docs: DataFrame) -> DataFrame:
     return rows.select(*_AT, (F.col("n_lines") - F.col("pos")).alias("rest"), F.xxhash64("line").alias("id"), F.xxhash64(F.lit("2"), "line").alias("id2"))
 
 
-def smaller_before(counts: DataFrame, by: list[str], order: str, bucket: Column) -> DataFrame:
-    """Adds ``before``: the sum of n over smaller ``order`` values of the same ``by`` group.
-
-    Sums run over buckets first, then inside each, so that a large group is many tasks' work.
-    """
-    binned = counts.withColumn("_bin", bucket)
-    sums = binned.groupBy(*by, "_bin").agg(F.sum("n").alias("_n"))
-    over_bins = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*by, "_bin", F.coalesce(F.sum("_n").over(over_bins), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*by, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = binned.withColumn("_inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return inner.join(sums, [*by, "_bin"]).withColumn("before", F.col("_base") + F.col("_inner")).drop("_bin", "_base", "_inner")
-
-
 def suffix_array(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the suffixes whose first line is repeated: (final, towers).
 
