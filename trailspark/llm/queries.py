@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from trailspark.llm import bestfit, classifier, decontaminate, linededup, merkle, simhash, urltree
+from trailspark.llm import (
+    bestfit, chat, classifier, decontaminate, licenses, linededup, merkle, pii, simhash, urltree,
+)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_pii_pseudonyms": pii.op3_pii_pseudonyms,
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op6_quality_classifier": classifier.op6_quality_classifier,
+    "op7_license_scans": licenses.op7_license_scans,
     "op8_best_fit_packing": bestfit.op8_best_fit_packing,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
     "op10_url_filters": urltree.op10_url_filters,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+#: The others hold a permutation by key, a fitted model, graph components, alignments, 64-bit
+#: hashes or a search that depends on its own results: tests/llm compares them with brute force.
+ORACLES = {"op5_chat_formatting": chat.OP5_SQL}
