@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import keyed, stored, table
+from trailspark.llm.common import NO_ID, keyed, stored, table
 
 #: Up to three words without a sentence end, then one word; never over a line break.
 LEAF = r"(?:\S*[^\s.!?][ \t\x0B\f\r]+){0,3}\S+"
@@ -109,21 +109,21 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     order. A single document is its own successor. No rows give no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    whole = keyed(docs, text.alias("text")).dropDuplicates(["doc_id", "_key"])
-    order = successors(docs)
+    # Ids without nulls: one exchange of the texts then serves the repeats and both joins.
+    numbered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    whole = keyed(numbered, text.alias("text")).dropDuplicates(["doc_id", "_key"])
+    order = successors(numbered)
     to = order.select(
         F.col("doc_id").alias("to_id"), F.col("_key").alias("to_key"), "next_id", "next_key",
         F.expr("cast(n div 2 AS int)").alias("taken"), F.expr("cast(n - n div 2 AS int)").alias("left_over"),
     )
-    shipped = whole.join(
-        to, whole["doc_id"].eqNullSafe(to["next_id"]) & (whole["_key"] == to["next_key"])
-    ).select(
+    shipped = whole.join(to, (F.col("doc_id") == F.col("next_id")) & (F.col("_key") == F.col("next_key"))).select(
         "to_id", "to_key", "left_over", F.expr("left(text, taken)").alias("head"),
         root_hash(F.col("text")).alias("next_root"), leaves(F.col("text")).alias("next_leaves"),
     )
-    both = whole.join(
-        shipped, whole["doc_id"].eqNullSafe(shipped["to_id"]) & (whole["_key"] == shipped["to_key"])
-    ).select("doc_id", "text", F.concat(F.expr("left(text, left_over)"), F.col("head")).alias("edited"), "next_root", "next_leaves")
+    both = whole.join(shipped, (F.col("doc_id") == F.col("to_id")) & (F.col("_key") == F.col("to_key"))).select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.concat(F.expr("left(text, left_over)"), F.col("head")).alias("edited"), "next_root", "next_leaves",
+    )
     trees = both.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         root_hash(F.col("text")).alias("root"), leaves(F.col("text")).alias("own"),
