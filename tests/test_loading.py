@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trailspark.session import scratch_path
 from trailspark.sources import directory, sinks, text
-from trailspark.sources.events import ingest_events, load_events, read_events, read_rejects, write_events
+from trailspark.sources.events import ingest_events, load_events, parse_events, read_events, read_rejects, write_events
 from trailspark.operators import activity, filters
 
 
@@ -58,6 +58,43 @@ def test_layout_can_be_named(spark, tmp_path):
         load_events(spark, path, "csv")
 
 
+def test_files_of_one_name_are_several(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for folder in ("a", "b"):
+        write(tmp_path / "logs" / folder, "audit log.ndjson", event(actor=folder))
+    events = load_events(spark, str(tmp_path / "logs")).events
+    summary = activity.dataset_summary(events).first()
+    size = len(event(actor="a"))
+    assert (summary.file_count, summary.total_bytes) == (2, 2 * size)
+    counts = activity.file_counts(events).collect()
+    assert [(row["_source_path"].split("/")[-2:], row["_source_file"], row.event_count) for row in counts] == [
+        (["a", "audit log.ndjson"], "audit log.ndjson", 1), (["b", "audit log.ndjson"], "audit log.ndjson", 1),
+    ]
+
+
+def test_array_lines_split_over_tasks(spark, tmp_path):
+    elements = [event(actor=f"a{n:05d}") for n in range(3000)]
+    path = write(tmp_path / "logs", "big.json", "[\n" + ",\n".join(elements) + "\n]\n")
+    write(tmp_path / "logs", "tight.json", "[" + event(actor="x") + ",\n" + event(actor="y") + "]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        records = text.raw_records(spark, path, "array_lines")
+        assert records.rdd.getNumPartitions() > 3
+        result = load_events(spark, path, "array_lines")
+        assert sorted(row.actor for row in result.events.collect()) == [f"a{n:05d}" for n in range(3000)] + ["x", "y"]
+        assert result.rejects.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_document_too_large_for_a_row_is_rejected_by_name(spark, tmp_path):
+    write(tmp_path / "logs", "small.json", "[" + event() + "]")
+    path = write(tmp_path / "logs", "large.json", "[" + ",".join([event()] * 50) + "]")
+    result = parse_events(text.raw_records(spark, path, "auto", max_bytes=1000))
+    assert result.events.count() == 1
+    assert [(r["_source_file"], r.raw, r.reject_reason) for r in result.rejects.collect()] == [("large.json", None, "file_too_large")]
+
+
 def test_same_event_in_two_files_stays_twice(spark, tmp_path):
     write(tmp_path / "logs", "a.ndjson", event())
     path = write(tmp_path / "logs", "b.ndjson", event())
@@ -159,6 +196,18 @@ def test_store_round_trip_prunes_folders(spark, tmp_path):
     assert "GreaterThanOrEqual(date_jst" in plan
 
 
+def test_time_range_prunes_folders(spark, tmp_path):
+    lines = [event(**{"@timestamp": f"2025-01-{day:02d}T16:00:00Z"}) for day in range(1, 11)]
+    path = write(tmp_path / "logs", "x.ndjson", "\n".join(lines))
+    store = scratch_path(spark, "store")
+    write_events(load_events(spark, path).events, store)
+    some = filters.in_time_range(read_events(spark, store), "2025-01-03 01:00:00", "2025-01-04 00:59:59")
+    assert [row.date_jst for row in some.collect()] == [dt.datetime(2025, 1, 3, 1)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    bounds = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "event_date" in bounds and ">=" in bounds and "<=" in bounds
+
+
 def test_ingest_keeps_events_and_rejects_in_one_store(spark, tmp_path):
     lines = [event(actor="a"), event(actor="b", **{"@timestamp": "2025-02-01"}), '{"actor": "c"}', "{bad"]
     write(tmp_path / "logs", "x.ndjson", "\n".join(lines))
@@ -228,10 +277,12 @@ def test_seat_documents_page_large_organisations(spark):
                                         "last_activity_at timestamp_ntz, last_activity_editor string, "
                                         "pending_cancellation_date timestamp_ntz")
     documents = sinks.seat_documents(seats, page_size=50)
-    sizes = {}
+    found = {}
     for row in documents.collect():
-        sizes.setdefault(row.org_name, []).append(row.total_seats)
-    assert sum(sizes["big"]) == 1000 and len(sizes["big"]) > 5 and sizes["small"] == [1]
+        found.setdefault(row.org_name, []).append((row.total_seats, row.page, len(row.seats)))
+    big = found["big"]
+    assert {total for total, _, _ in big} == {1000} and sum(n for _, _, n in big) == 1000
+    assert len(big) > 5 and len({page for _, page, _ in big}) == len(big) and found["small"] == [(1, 0, 1)]
     path = scratch_path(spark, "seats")
     sinks.write_seat_documents(seats, path, page_size=50)
     back = directory.load_seats(spark, path, layout="lines")

@@ -9,6 +9,7 @@ from trailspark.functions import labels
 from trailspark.operators import activity, anomaly, dormancy, filters, profile, series
 from trailspark.operators.lists import paged_lists
 from trailspark.plans import reports
+from trailspark.streaming import detections
 from trailspark.schema import CRITICAL_ACTIONS, EVENT_SCHEMA, HIGH_RISK_ACTIONS, SEAT_SCHEMA
 
 NOON = dt.datetime(2024, 1, 3, 12)  # a Wednesday
@@ -106,9 +107,9 @@ def test_rankings(spark):
 
 
 def test_summary_counts_null_as_a_value(spark):
-    df = events(spark, {"actor": "a", "action": "x", "_source_file": "f", "_source_bytes": 10},
-                {"actor": None, "action": "x", "_source_file": "f", "_source_bytes": 10},
-                {"actor": None, "action": "y", "_source_file": "g", "_source_bytes": 5, "date_jst": AS_OF})
+    df = events(spark, {"actor": "a", "action": "x", "_source_path": "d/f", "_source_bytes": 10},
+                {"actor": None, "action": "x", "_source_path": "d/f", "_source_bytes": 10},
+                {"actor": None, "action": "y", "_source_path": "e/f", "_source_bytes": 5, "date_jst": AS_OF})
     assert values(activity.dataset_summary(df)) == [(3, 2, 15, NOON, AS_OF, 2, 2)]
     assert values(activity.data_span(df)) == [(NOON.date(), AS_OF.date(), 28)]
     assert values(profile.event_profile(df)) == [(3, NOON.date(), AS_OF.date(), 2, 2)]
@@ -130,7 +131,7 @@ def test_addresses(spark):
     df = events(spark, *rows, *times(4, actor="two", actor_ip=None))
     assert values(anomaly.multi_ip_actors(df)) == [("three", 3), (None, 3)]
     lists = sorted(values(anomaly.multi_ip_lists(df)), key=str)
-    assert lists == [("three", 3, 0, ["1", "2", "3"]), (None, 3, 0, ["a", "b", "c"])]
+    assert lists == [("three", 3, "1"), ("three", 3, "2"), ("three", 3, "3"), (None, 3, "a"), (None, 3, "b"), (None, 3, "c")]
 
 
 def test_long_lists_are_paged_and_whole(spark):
@@ -270,8 +271,23 @@ def test_seat_usage(spark):
     (0, 99, 10, 10), (0, 5_000_000, 30, 200_000),
 ])
 def test_histogram_step(spark, low, high, bins, step):
-    found = spark.range(1).select(dormancy.histogram_step(F.lit(low), F.lit(high), bins)).first()[0]
-    assert found == pytest.approx(step)
+    ends = spark.range(1).select(F.lit(low).alias("smallest"), F.lit(high).alias("largest"))
+    assert dormancy.histogram_step(ends, bins).first()[0] == pytest.approx(step)
+
+
+def test_histogram_step_stays_small(spark):
+    ends = spark.range(5).agg(F.min("id").alias("smallest"), F.max("id").alias("largest"))
+    plan = dormancy.histogram_step(ends, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG10") + plan.count("log10") <= 3 and plan.count("CASE WHEN") <= 12
+
+
+def test_empty_risk_lists_find_nothing(spark):
+    df = events(spark, *times(2, actor="a", action=CRITICAL_ACTIONS[0]), *times(1, actor="a", action=HIGH_RISK_ACTIONS[0]))
+    assert filters.critical_events(df, []).count() == 0 and filters.high_risk_events(df, []).count() == 0
+    row = anomaly.risk_summary(df, critical_actions=[], high_risk_actions=[]).first()
+    assert (row.critical_events, row.high_risk_events) == (0, 0)
+    assert filters.with_actions(df, []).count() == 3
+    assert detections.critical_event_stream(df, []).count() == 0
 
 
 def test_histogram(spark):

@@ -39,5 +39,5 @@ def test_known_counts(spark, name):
 
 def test_known_dormancy(spark):
     row = QUERIES["a17_dormancy_kpis"](spark, "/root/testdata/sf0.001").first()
-    assert (row.complete_dormant, row.low_activity, row.watch_needed) == (123, 1, 9)
+    assert (row.complete_dormant, row.low_activity, row.watch_needed) == (138, 1, 9)
     assert row.total_members - row.dormant_count == 2

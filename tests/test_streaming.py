@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import pytest
+
+from trailspark.binding.catalog import QUERIES
 from trailspark.schema import EVENT_SCHEMA
 from trailspark.session import scratch_path
 from trailspark.streaming import detections
@@ -30,17 +33,48 @@ class Job:
         return [tuple(row) for row in self.spark.read.schema(stream.schema).parquet(self.sink).collect()]
 
 
-def test_bulk_hours_come_out_once_when_closed(spark):
-    job = Job(spark, lambda events: detections.bulk_operation_stream(events, 2, "1 hour"))
+def test_bulk_counts_are_complete_over_batches_and_restarts(spark):
+    source, counts, checkpoint = (scratch_path(spark, name) for name in ("in", "counts", "state"))
+
+    def run(*rows):
+        append(spark, source, *rows)
+        detections.count_stream(spark.readStream.schema(EVENT_SCHEMA).parquet(source), counts, checkpoint).awaitTermination()
+        return {tuple(row) for row in detections.bulk_alerts(spark, counts, 2).collect()}
+
     nine = dt.datetime(2024, 1, 3, 9)
-    # Three events at nine, but the hour is still open.
-    assert job.run(at(9), at(9, 59), at(9, 30), at(9, 30, actor="b"), at(10, 30)) == []
-    # A restart, one more event within the allowed delay, and a later one that closes the hour.
-    assert job.run(at(9, 45), at(11, 0)) == [("a", "x", nine, 4)]
-    # Ten o'clock closes with too few events; the late event for nine is dropped.
-    assert job.run(at(9, 50), at(13, 0)) == [("a", "x", nine, 4)]
-    again = job.run(*[at(13, minute, action=None) for minute in range(3)], at(16))
-    assert set(again) == {("a", "x", nine, 4), ("a", None, dt.datetime(2024, 1, 3, 13), 3)}
+    assert run(at(9), at(9, 59), at(9, 30, actor="b"), at(10, 30)) == set()
+    # A restart: the hour goes on where it was.
+    assert run(at(9, 45), at(11)) == {("a", "x", nine, 3)}
+    # Events a year late count as well, and null actions are a group.
+    old = dt.datetime(2023, 1, 3, 9)
+    late = [{**at(9), "date_jst": old.replace(minute=m)} for m in range(3)]
+    assert run(*late, *[at(13, m, action=None) for m in range(3)]) == {
+        ("a", "x", nine, 3), ("a", "x", old, 3), ("a", None, dt.datetime(2024, 1, 3, 13), 3),
+    }
+    # A batch that is run again replaces what it wrote.
+    detections.hourly_action_counts(spark.read.schema(EVENT_SCHEMA).parquet(source).limit(0)).write.mode("overwrite").parquet(f"{counts}/batch=0")
+    assert ("a", "x", nine, 3) not in {tuple(row) for row in detections.bulk_alerts(spark, counts, 2).collect()}
+
+
+def test_streams_read_a_table_of_several_files(spark, sf_dir):
+    folder = scratch_path(spark, "split")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5).write.parquet(f"{folder}/events.parquet")
+    for name in ("e1_bulk_operation_stream", "e2_critical_event_stream"):
+        rows = {tuple(row) for row in QUERIES[name](spark, folder).collect()}
+        assert rows and rows == {tuple(row) for row in QUERIES[name](spark, sf_dir).collect()}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077", "applicationId": "app"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Cluster(), "x")
+    assert scratch_path(Cluster(), "x", "/shared").startswith("/shared/trailspark/app/x-")
 
 
 def test_critical_events_pass_through(spark):

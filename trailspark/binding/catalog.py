@@ -105,7 +105,7 @@ def query(sql: str | None, name: str | None = None):
 
 
 EVENT_COLUMNS = ("date_jst", "action", "actor", "org", "repo", "user", "team", "actor_ip", "country_code",
-                 "actor_is_bot", "_source_file", "_source_bytes")
+                 "actor_is_bot", "_source_path", "_source_file", "_source_bytes")
 _EVENTS_SQL = ", ".join(f'"{name}"' for name in EVENT_COLUMNS)
 
 # ---------------------------------------------------------------- sources and sinks
@@ -118,7 +118,7 @@ _NO_TIME = "(event_id % 101 = 0 OR event_id % 103 = 0)"
   SELECT CASE WHEN event_id % 6 IN (0, 5) THEN date_trunc('millisecond', date_jst) ELSE date_jst END AS date_jst,
     CASE WHEN event_id % 17 = 0 THEN 'unknown' ELSE action END AS action,
     CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 OR actor IS NULL THEN 'unknown' ELSE actor END AS actor,
-    org, repo, "user", team, actor_ip, country_code, actor_is_bot, _source_file, _source_bytes
+    org, repo, "user", team, actor_ip, country_code, actor_is_bot, _source_path, _source_file, _source_bytes
   FROM ev WHERE NOT {_BROKEN} AND NOT {_NO_TIME}""")
 def s01_load_events(m: Model) -> DataFrame:
     lines = b.raw_event_lines(m.events)
@@ -171,7 +171,7 @@ def s03_ingested_store(m: Model) -> DataFrame:
                          "event_date", "org", "repo", "actor_ip")
 
 
-@query("SELECT _source_file, count(*) AS event_count FROM ev GROUP BY 1")
+@query("SELECT _source_path, _source_file, count(*) AS event_count FROM ev GROUP BY 1, 2")
 def s04_file_counts(m: Model) -> DataFrame:
     return activity.file_counts(m.events)
 
@@ -192,24 +192,24 @@ def s05_load_members(m: Model) -> DataFrame:
       ELSE o_orderdate + to_days(8200) + INTERVAL 9 HOUR END AS last_activity_at,
     CASE WHEN o_orderstatus <> 'P' THEN 'editor-' || (o_orderkey % 4) END AS last_activity_editor,
     CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2024-03-01' END AS pending_cancellation_date
-  FROM orders WHERE o_orderpriority <> '5-LOW'""")
+  FROM orders""")
 def s06_load_seats(m: Model) -> DataFrame:
     documents = directory.parse_seat_documents(b.raw_seat_documents(m.table("orders")))
     return directory.flatten_seats(documents)
 
 
 @query("""
-  SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown' ELSE o_orderpriority END AS org_name,
-    count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS seat_count
-  FROM orders GROUP BY 1""")
+  SELECT o_orderpriority || '-' || (o_orderkey // 20000) AS _source_file, o_orderpriority AS org_name, count(*) AS seat_count
+  FROM orders GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT 'empty-' || o_orderstatus, 'unknown', 0 FROM orders""")
 def s07_seat_file_summary(m: Model) -> DataFrame:
     documents = directory.parse_seat_documents(b.raw_seat_documents(m.table("orders")))
-    return directory.seat_file_summary(documents).groupBy("org_name").agg(F.sum("seat_count").alias("seat_count"))
+    return directory.seat_file_summary(documents)
 
 
 @query("""
   SELECT 'timestamp_ntz' AS activity_type, 'string' AS editor_type, count(*) AS seats, 0::BIGINT AS used
-  FROM orders WHERE o_orderpriority <> '5-LOW'""")
+  FROM orders""")
 def s08_typed_null_columns(m: Model) -> DataFrame:
     unused = m.table("orders").withColumn("o_orderstatus", F.lit("P"))
     seats = directory.flatten_seats(directory.parse_seat_documents(b.raw_seat_documents(unused)))
@@ -239,10 +239,19 @@ def s09_csv_export(m: Model) -> DataFrame:
   FROM seat""")
 def s10_seat_documents(m: Model) -> DataFrame:
     path = m.scratch("seats-json")
-    sinks.write_seat_documents(m.seats, path)
+    sinks.write_seat_documents(m.seats, path, b.PAGE_SIZE)
     return directory.load_seats(m.spark, path, layout="lines")
 
 
+@query("SELECT org_name, count(*) AS total_seats, count(*) AS seats FROM seat GROUP BY 1")
+def s10_document_totals(m: Model) -> DataFrame:
+    path = m.scratch("seats-json")
+    sinks.write_seat_documents(m.seats, path, b.PAGE_SIZE)
+    documents = directory.read_seat_documents(m.spark, path, layout="lines")
+    named = documents.select(F.col("seats")[0]["organization"]["login"].alias("org_name"), "total_seats", F.size("seats").alias("n"))
+    return named.groupBy("org_name", "total_seats").agg(F.sum("n").alias("seats"))
+
+
 # ---------------------------------------------------------------- per-row derivations
 
 
@@ -519,8 +528,8 @@ def j05_dormant_seats(m: Model) -> DataFrame:
 
 
 @query("""
-  SELECT count(*) AS event_count, count(DISTINCT _source_file) AS file_count,
-    (SELECT sum(_source_bytes)::BIGINT FROM (SELECT DISTINCT _source_file, _source_bytes FROM ev)) AS total_bytes,
+  SELECT count(*) AS event_count, count(DISTINCT _source_path) AS file_count,
+    (SELECT sum(_source_bytes)::BIGINT FROM (SELECT DISTINCT _source_path, _source_bytes FROM ev)) AS total_bytes,
     min(date_jst) AS first_event, max(date_jst) AS last_event,
     count(DISTINCT actor) + max(CASE WHEN actor IS NULL THEN 1 ELSE 0 END) AS unique_actors,
     count(DISTINCT action) AS unique_actions FROM ev""")
@@ -627,11 +636,11 @@ def a14_multi_ip_actors(m: Model) -> DataFrame:
 
 
 @query("""
-  SELECT actor, count(DISTINCT actor_ip) AS unique_ips, 0::BIGINT AS page,
-    string_agg(DISTINCT actor_ip, ',' ORDER BY actor_ip) AS ip_list
-  FROM ev WHERE actor_ip IS NOT NULL GROUP BY 1 HAVING count(DISTINCT actor_ip) > 2""")
+  SELECT DISTINCT actor, unique_ips, actor_ip FROM (
+    SELECT actor, count(DISTINCT actor_ip) AS unique_ips FROM ev GROUP BY 1 HAVING count(DISTINCT actor_ip) > 2) n
+  JOIN (SELECT actor AS of, actor_ip FROM ev WHERE actor_ip IS NOT NULL) a ON a.of IS NOT DISTINCT FROM n.actor""")
 def a14_multi_ip_lists(m: Model) -> DataFrame:
-    return anomaly.multi_ip_lists(m.events).withColumn("ip_list", F.array_join("ip_list", ","))
+    return anomaly.multi_ip_lists(m.events)
 
 
 def _risk_sql(listed: str, rest: str, weekend: int) -> str:
@@ -946,8 +955,9 @@ def c6_dormant_trend(m: Model) -> DataFrame:
 
 
 def _event_stream(m: Model) -> DataFrame:
-    reader = m.spark.readStream.schema(b.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet")
-    return b.bind_events(reader.parquet(m.sf_dir))
+    # A pattern serves a table of one file and one of many alike.
+    reader = m.spark.readStream.schema(b.SCHEMAS["events"])
+    return b.bind_events(reader.parquet(f"{m.sf_dir}/events.parque[t]"))
 
 
 def _drained(m: Model, rows: DataFrame, name: str) -> DataFrame:
@@ -957,11 +967,11 @@ def _drained(m: Model, rows: DataFrame, name: str) -> DataFrame:
     return m.spark.read.schema(rows.schema).parquet(path)
 
 
-@query(f"""
-  SELECT * FROM ({_BULK_SQL})
-  WHERE hour_window + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(date_jst) FROM ev)) - INTERVAL 1 HOUR""")
+@query(_BULK_SQL)
 def e1_bulk_operation_stream(m: Model) -> DataFrame:
-    return _drained(m, detections.bulk_operation_stream(_event_stream(m), b.BULK_THRESHOLD), "bulk-stream")
+    counts, checkpoint = m.scratch("bulk-counts"), m.scratch("bulk-checkpoint")
+    detections.count_stream(_event_stream(m), counts, checkpoint).awaitTermination()
+    return detections.bulk_alerts(m.spark, counts, b.BULK_THRESHOLD)
 
 
 @query(f"SELECT {_EVENTS_SQL}, event_id FROM ev WHERE action IN {CRITICAL}")

@@ -14,7 +14,7 @@ DORMANT_THRESHOLD = 36
 BULK_THRESHOLD = 1
 DATE_RANGE = ("2023-09-05", "2024-01-20")
 PAGE_SIZE = 1_000
-EMPTY_ORG = "5-LOW"
+KEYS_PER_FILE = 20_000  # order keys to a seat document
 
 
 SCHEMAS = {
@@ -50,15 +50,18 @@ _EVENT_COLUMNS = (
     """CASE WHEN k % 5 = 0 THEN NULL WHEN k % 17 = 1 THEN 'RU' WHEN k % 19 = 1 THEN 'CN'
             ELSE 'JP' END AS country_code""",
     "user_id % 10 = 3 AS actor_is_bot",
+    "'logs-' || (user_id % 2) || '/audit-' || (user_id % 7) || '.ndjson' AS _source_path",
     "'audit-' || (user_id % 7) || '.ndjson' AS _source_file",
     "user_id % 7 * 1000 + 500 AS _source_bytes",
     "event_id",
 )
 _MEMBER_COLUMNS = (
-    "'user-' || c_custkey AS login", "c_custkey AS id", "'User' AS type", "c_custkey % 50 = 0 AS site_admin",
+    # A tenth of the customers go by another name: the events of their old one are a former user's.
+    "if(c_custkey % 10 = 7, 'renamed-', 'user-') || c_custkey AS login", "c_custkey AS id", "'User' AS type", "c_custkey % 50 = 0 AS site_admin",
 )
 _SEAT_COLUMNS = (
-    "'user-' || o_custkey AS login",
+    # Every third customer's seats are the next one's, so some members have none.
+    "'user-' || (o_custkey + if(o_custkey % 3 = 0, 1, 0)) AS login",
     "o_custkey AS user_id",
     "o_orderpriority AS org_name",
     "o_orderdate AS created_at",
@@ -88,11 +91,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 10 <> 7").selectExpr(*_MEMBER_COLUMNS)
+    return table(spark, sf_dir, "customer").selectExpr(*_MEMBER_COLUMNS)
 
 
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0").selectExpr(*_SEAT_COLUMNS)
+    return table(spark, sf_dir, "orders").selectExpr(*_SEAT_COLUMNS)
 
 
 def raw_event_lines(source: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
     )
     actor = F.when(n % 13 == 0, F.lit('"actor":null')).when(n % 11 != 0, text("actor"))
     rest = F.to_json(F.struct("org", "repo", "user", "team", "actor_ip", "country_code", "actor_is_bot"))
-    body = F.concat_ws(",", stamp, F.when(n % 17 != 0, text("action")), actor, F.substring(rest, 2, 1_000))
+    body = F.concat_ws(",", stamp, F.when(n % 17 != 0, text("action")), actor, F.expr("substring(_rest, 2)"))
     raw = (
         F.when(n % 97 == 0, F.regexp_replace("_body", r"\}$", ""))
         .when(n % 107 == 0, F.concat(F.col("_body"), F.lit(" x")))
@@ -140,8 +143,9 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
     return (
         source.withColumn("_micros", t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000)
         .withColumn("_utc_text", iso(F.col("date_jst") - F.make_dt_interval(F.lit(0), F.lit(9))))
+        .withColumn("_rest", rest)
         .withColumn("_body", F.concat(F.lit("{"), body))
-        .select("_source_file", "_source_bytes", raw.alias("raw"))
+        .select("_source_path", "_source_file", "_source_bytes", raw.alias("raw"))
     )
 
 
@@ -174,7 +178,7 @@ def seat_time_text(time: Column, form: Column) -> Column:
 
 
 def raw_seat_documents(source: DataFrame) -> DataFrame:
-    """Orders as raw seat documents of about 1,000 seats each; those of one organisation are empty."""
+    """Orders as raw seat documents, by organisation and range of order keys; one per order status is empty."""
     key = F.col("o_orderkey")
     used = F.col("o_orderstatus") != "P"
     seat = F.struct(
@@ -187,15 +191,14 @@ def raw_seat_documents(source: DataFrame) -> DataFrame:
                  F.col("o_custkey").alias("id")).alias("assignee"),
         F.struct(F.col("o_orderpriority").alias("login"), F.lit(1).alias("id")).alias("organization"),
     )
-    pages = paged_lists(source.select("o_orderpriority", seat.alias("seat")), "o_orderpriority", "seat", PAGE_SIZE)
-    items = F.when(F.col("o_orderpriority") == EMPTY_ORG, F.slice("items", 1, 0)).otherwise(F.col("items"))
-    document = F.to_json(
-        F.struct(F.size("items").alias("total_seats"), items.alias("seats")), {"ignoreNullFields": "false"}
-    )
-    return pages.select(
-        F.concat_ws("-", "o_orderpriority", F.col("page").cast("string")).alias("_source_file"),
-        F.length(document).cast("bigint").alias("_source_bytes"),
-        document.alias("raw"),
+    number = F.expr(f"o_orderkey div {KEYS_PER_FILE}")
+    name = F.concat_ws("-", "o_orderpriority", number.cast("string"))
+    seats = source.groupBy(name.alias("name")).agg(F.sort_array(F.collect_list(seat)).alias("seats"))
+    empty = source.select(F.concat(F.lit("empty-"), "o_orderstatus").alias("name")).distinct()
+    empty = empty.join(seats.select("seats").limit(0), F.lit(False), "left").select("name", F.coalesce("seats", F.array()).alias("seats"))
+    document = F.to_json(F.struct(F.size("seats").alias("total_seats"), "seats"), {"ignoreNullFields": "false"})
+    return seats.unionByName(empty).select(
+        F.col("name").alias("_source_file"), F.length(document).cast("bigint").alias("_source_bytes"), document.alias("raw")
     )
 
 

@@ -6,6 +6,7 @@ from trailspark.binding.tables import AS_OF, DATE_RANGE, DORMANT_THRESHOLD, PERI
 
 IN_RANGE = f"date_jst >= TIMESTAMP '{DATE_RANGE[0]}' AND date_jst < TIMESTAMP '{DATE_RANGE[1]}' + INTERVAL 1 DAY"
 OFF_HOURS = "(hour(date_jst) < 9 OR hour(date_jst) >= 18 OR isodow(date_jst) >= {})"
+# Second copies of the risk lists, so that the checks do not depend on the first.
 CRITICAL = (
     "('repo.destroy','repo.archived','repo.change_visibility','org.remove_member','team.destroy','hook.create',"
     "'hook.destroy','protected_branch.destroy','secret_scanning.disable')"
@@ -42,19 +43,21 @@ VIEWS = {
         CASE WHEN k % 5 = 0 THEN NULL WHEN k % 17 = 1 THEN 'RU' WHEN k % 19 = 1 THEN 'CN' ELSE 'JP' END
           AS country_code,
         user_id % 10 = 3 AS actor_is_bot,
+        'logs-' || (user_id % 2) || '/audit-' || (user_id % 7) || '.ndjson' AS _source_path,
         'audit-' || (user_id % 7) || '.ndjson' AS _source_file,
         CAST(user_id % 7 * 1000 + 500 AS BIGINT) AS _source_bytes
       FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k FROM events)""",
     "mem": """
-      SELECT 'user-' || c_custkey AS login, c_custkey AS id, 'User' AS type, c_custkey % 50 = 0 AS site_admin
-      FROM customer WHERE c_custkey % 10 <> 7""",
+      SELECT CASE WHEN c_custkey % 10 = 7 THEN 'renamed-' ELSE 'user-' END || c_custkey AS login, c_custkey AS id,
+        'User' AS type, c_custkey % 50 = 0 AS site_admin
+      FROM customer""",
     "seat": """
-      SELECT 'user-' || o_custkey AS login, o_custkey AS user_id, o_orderpriority AS org_name,
-        o_orderdate AS created_at,
+      SELECT 'user-' || (o_custkey + CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END) AS login, o_custkey AS user_id,
+        o_orderpriority AS org_name, o_orderdate AS created_at,
         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_days(8200) + INTERVAL 9 HOUR END AS last_activity_at,
         CASE WHEN o_orderstatus <> 'P' THEN 'editor-' || (o_orderkey % 4) END AS last_activity_editor,
         CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2024-03-01' END AS pending_cancellation_date
-      FROM orders WHERE o_custkey % 3 <> 0""",
+      FROM orders""",
     "latest": """
       SELECT * FROM seat QUALIFY row_number() OVER (PARTITION BY login ORDER BY last_activity_at DESC NULLS LAST,
         org_name NULLS LAST, created_at DESC NULLS LAST, last_activity_editor NULLS LAST,

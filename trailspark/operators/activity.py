@@ -28,8 +28,8 @@ def count_by(rows: DataFrame, *keys: str, name: str = "count") -> DataFrame:
 
 
 def file_counts(events: DataFrame) -> DataFrame:
-    """Events per source file."""
-    return count_by(events, "_source_file", name="event_count").orderBy("_source_file")
+    """Events per source file. Files of one name in several folders are several files."""
+    return count_by(events, "_source_path", "_source_file", name="event_count").orderBy("_source_path", "_source_file")
 
 
 def _different(name: str):
@@ -58,11 +58,11 @@ def _event_totals(events: DataFrame) -> DataFrame:
 def dataset_summary(events: DataFrame) -> DataFrame:
     """One row: events, files, bytes, time range, different actors and actions.
 
-    A null actor or action counts as one more value. Files are told apart by name and size
-    and come from a scan of their own, which reads no column of the other and keeps the
+    A null actor or action counts as one more value. Files are told apart by path and
+    come from a scan of their own, which reads no column of the other and keeps the
     shuffles free of file and actor combinations.
     """
-    files = events.select("_source_file", "_source_bytes").distinct()
+    files = events.groupBy("_source_path").agg(F.max("_source_bytes").alias("_source_bytes"))
     file_totals = files.agg(F.struct(
         F.count("*").alias("file_count"), F.coalesce(F.sum("_source_bytes"), F.lit(0)).alias("total_bytes")
     ))

@@ -17,11 +17,8 @@ from trailspark.operators.filters import (
     off_hours_events,
     without_bots,
 )
-from trailspark.operators.lists import paged_lists
 from trailspark.schema import CRITICAL_ACTIONS, HIGH_RISK_ACTIONS
 
-IP_PAGE_SIZE = 10_000
-
 
 def off_hours_share(events: DataFrame, weekend_from: int = t.SATURDAY) -> DataFrame:
     """One row: off-hours events, all events, share in percent."""
@@ -64,14 +61,12 @@ def multi_ip_actors(events: DataFrame, more_than: int = 2) -> DataFrame:
     return ranked(found, "unique_ips", "actor")
 
 
-def multi_ip_lists(events: DataFrame, more_than: int = 2, page_size: int = IP_PAGE_SIZE) -> DataFrame:
-    """The same actors with their sorted address lists.
-
-    An actor with at most ``page_size`` addresses has one row; one with more has several
-    rows (``page``) that together hold every address.
-    """
-    lists = paged_lists(_actor_addresses(events), "actor", "actor_ip", page_size, more_than)
-    return lists.select("actor", F.col("total").alias("unique_ips"), "page", F.col("items").alias("ip_list"))
+def multi_ip_lists(events: DataFrame, more_than: int = 2) -> DataFrame:
+    """The same actors with their addresses: a row for each actor and address."""
+    found = _actor_addresses(events)
+    totals = count_by(found, "actor", name="unique_ips").where(F.col("unique_ips") > more_than)
+    named = totals.withColumnRenamed("actor", "_actor")
+    return found.join(named, F.col("actor").eqNullSafe(F.col("_actor"))).select("actor", "unique_ips", "actor_ip")
 
 
 def risk_summary(

@@ -227,19 +227,24 @@ def former_user_seats(events: DataFrame, members: DataFrame, seats: DataFrame) -
     return seats.join(former, seats["login"] == former["actor"], "left_semi")
 
 
-def histogram_step(smallest, largest, max_bins: int):
-    """Bin width for values between two columns: 1, 2 or 5 times a power of ten."""
-    span = F.when(largest > smallest, (largest - smallest).cast("double")).otherwise(F.lit(1.0))
+def histogram_step(range_row: DataFrame, max_bins: int) -> DataFrame:
+    """``step`` for the columns smallest and largest: 1, 2 or 5 times a power of ten.
+
+    Each step is a column of its own: nested into one expression, each would hold the one
+    before it three times.
+    """
+    smallest, largest, span, step = (F.col(c) for c in ("smallest", "largest", "span", "step"))
+    row = range_row.withColumn("span", F.when(largest > smallest, (largest - smallest).cast("double")).otherwise(F.lit(1.0)))
     level = 0
     while 10**level < max_bins:
         level += 1
-    step = F.pow(F.lit(10.0), F.round(F.log10(span)) - level)
+    row = row.withColumn("step", F.pow(F.lit(10.0), F.round(F.log10(span)) - level))
     # The start can be too small by a factor of 10 (level) times 10 ** 0.5 (rounding): two widenings do.
     for _ in range(2):
-        step = F.when(F.ceil(span / step) > max_bins, step * 10).otherwise(step)
+        row = row.withColumn("step", F.when(F.ceil(span / step) > max_bins, step * 10).otherwise(step))
     for divisor in (5, 2):
-        step = F.when(span / (step / divisor) <= max_bins, step / divisor).otherwise(step)
-    return step
+        row = row.withColumn("step", F.when(span / (step / divisor) <= max_bins, step / divisor).otherwise(step))
+    return row.select("step")
 
 
 def activity_histogram(summary: DataFrame, threshold: int = 5, max_bins: int = 30) -> DataFrame:
@@ -250,7 +255,8 @@ def activity_histogram(summary: DataFrame, threshold: int = 5, max_bins: int = 3
     """
     count = F.col("audit_event_count")
     values = summary.groupBy(count).agg(F.count("*").alias("n"))
-    step = values.agg(histogram_step(F.min(count), F.max(count), max_bins).alias("step")).scalar()
+    ends = values.agg(F.min(count).alias("smallest"), F.max(count).alias("largest"))
+    step = histogram_step(ends, max_bins).scalar()
     return (
         values.withColumn("bin_step", step)
         .select(

@@ -15,7 +15,8 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("actor_ip", T.StringType()),
     T.StructField("country_code", T.StringType()),
     T.StructField("actor_is_bot", T.BooleanType()),
-    T.StructField("_source_file", T.StringType()),
+    T.StructField("_source_path", T.StringType()),  # tells files apart
+    T.StructField("_source_file", T.StringType()),  # for display
     T.StructField("_source_bytes", T.LongType()),
 ])
 

@@ -27,16 +27,26 @@ def local_session(cores: int | str = "*", app: str = "trailspark", **conf: str)
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
+_local_scratch: dict[str, str] = {}
 
-    Without that setting only a local master may fall back to a temporary folder: on a
-    cluster a machine-local path is lost with its executor.
+
+def scratch_path(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh path under ``base``, or else under the shared folder named by ``spark.checkpoint.dir``.
+
+    Where neither is given, only a single-machine session may use a temporary folder: on a
+    cluster a machine-local path is lost with its executor. The session is not changed.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="trailspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/trailspark/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share, or name a scratch folder")
+        base = _local_scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="trailspark-"))
+    return f"{base.rstrip('/')}/trailspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession, base: str | None = None) -> None:
+    """Deletes what this application has written to scratch paths."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or _local_scratch.get(spark.sparkContext.applicationId)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/trailspark/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

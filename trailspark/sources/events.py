@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from trailspark.functions import parsing as p
 from trailspark.functions.timecols import day
 from trailspark.schema import EVENT_SCHEMA, UNKNOWN
-from trailspark.sources.text import raw_records
+from trailspark.sources.text import TOO_LARGE, raw_records
 
 MALFORMED = "malformed_json"
 NOT_OBJECT = "not_an_object"
@@ -34,6 +34,8 @@ class LoadedEvents(NamedTuple):
 def _judged(raw: DataFrame) -> DataFrame:
     """Raw records with the parsed ``record``, its time and the ``reject_reason`` (null if good)."""
     record = F.col("record")
+    if "_source_path" not in raw.columns:
+        raw = raw.withColumn("_source_path", F.col("_source_file"))
     parsed = (
         raw.withColumn("objects", p.parse_objects(F.col("raw"), _FIELDS))
         .withColumn("record", p.only(F.col("objects")))
@@ -41,7 +43,7 @@ def _judged(raw: DataFrame) -> DataFrame:
         .withColumn("stamp", F.coalesce("record.@timestamp", "record.timestamp"))
     )
     # Only records that gave no object are parsed again, to tell why.
-    reason = F.when(
+    reason = F.when(F.col("raw").isNull(), F.lit(TOO_LARGE)).when(
         record.isNull(), F.when(p.is_json(F.col("raw")), F.lit(NOT_OBJECT)).otherwise(F.lit(MALFORMED))
     ).when(F.col("date_jst").isNull(), F.lit(BAD_TIME))
     return p.with_event_time(parsed, "stamp", "date_jst").withColumn("reject_reason", reason)
@@ -54,13 +56,14 @@ def _event_columns() -> list[Column]:
         *[p.text_or_default(record[key], UNKNOWN).alias(key) for key in ("action", "actor", "org")],
         *[record[key].alias(key) for key in ("repo", "user", "team", "actor_ip", "country_code")],
         record["actor_is_bot"].try_cast("boolean").alias("actor_is_bot"),
+        F.col("_source_path"),
         F.col("_source_file"),
         F.col("_source_bytes"),
     ]
 
 
 def parse_events(raw: DataFrame) -> LoadedEvents:
-    """Typed events from raw records (columns ``_source_file``, ``_source_bytes``, ``raw``).
+    """Typed events from raw records (columns ``_source_path``, ``_source_file``, ``_source_bytes``, ``raw``).
 
     Only built-in expressions; each record is parsed once per result. The rows come out of
     a generator that gives no row for the other kind of record. A filter in its place, and
@@ -68,7 +71,7 @@ def parse_events(raw: DataFrame) -> LoadedEvents:
     """
     judged = _judged(raw)
     is_good = F.col("reject_reason").isNull()
-    reject = F.struct("_source_file", "raw", "reject_reason")
+    reject = F.struct("_source_path", "_source_file", "raw", "reject_reason")
     return LoadedEvents(
         judged.select(F.inline(F.when(is_good, F.array(F.struct(*_event_columns()))))),
         judged.select(F.inline(F.when(~is_good, F.array(reject)))),
@@ -119,6 +122,6 @@ def read_events(spark: SparkSession, store: str) -> DataFrame:
 
 def read_rejects(spark: SparkSession, store: str) -> DataFrame:
     """Records an ingest could not use: they are in the folder without date."""
-    names = ("_source_file", "raw", "reject_reason")
+    names = ("_source_path", "_source_file", "raw", "reject_reason")
     stored = _read(spark, store, [T.StructField(name, T.StringType()) for name in names])
     return stored.where(F.col("event_date").isNull()).drop("event_date")

@@ -23,8 +23,9 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "error") -> None:
 def seat_documents(seats: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Seat table back to nested documents ``{total_seats, seats: [...]}``.
 
-    An organisation with more than ``page_size`` seats is spread over several documents,
-    because one document is one row in one task. Loading all of them gives every seat.
+    The seats of an organisation are spread over documents of about ``page_size`` seats,
+    numbered by ``page`` from 0, because one document is one row in one task. Each carries
+    the organisation's ``total_seats``. Loading all of them gives every seat.
     """
     def stamp(name: str):
         # Stored times are on the UTC+9 clock; the zone is written so they read back the same.
@@ -42,13 +43,13 @@ def seat_documents(seats: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     return pages.select(
         "org_name",
         "page",
-        F.size("items").cast("bigint").alias("total_seats"),
+        F.col("total").cast("bigint").alias("total_seats"),
         F.col("items").alias("seats"),
     )
 
 
 def write_seat_documents(seats: DataFrame, path: str, page_size: int = PAGE_SIZE, mode: str = "error") -> None:
     """One line-delimited document per organisation page."""
-    seat_documents(seats, page_size).select("total_seats", "seats").write.option(
+    seat_documents(seats, page_size).select("total_seats", "page", "seats").write.option(
         "ignoreNullFields", False
     ).mode(mode).json(path)

@@ -11,19 +11,31 @@ from pyspark.sql import types as T
 from trailspark.functions.parsing import closed, only
 
 RAW_SCHEMA = T.StructType([
+    T.StructField("_source_path", T.StringType()),
     T.StructField("_source_file", T.StringType()),
     T.StructField("_source_bytes", T.LongType()),
     T.StructField("raw", T.StringType()),
 ])
 
-_FILE = "_metadata.file_path"
+#: A file read as one row has to fit into one value.
+MAX_DOCUMENT_BYTES = (1 << 31) - (1 << 20)
+TOO_LARGE = "file_too_large"
+
+_SIZE = "_metadata.file_size"
 _BLANK = r"^\s*$"
+_LINE_NAME = r"\.(ndjson|jsonl)$"
+
+
+def _decoded(name: str) -> Column:
+    # Spark gives names percent-encoded; a plus sign in one is a plus sign.
+    return F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B")))
 
 
 def _provenance() -> list[Column]:
-    # Spark gives the name percent-encoded; a plus sign in it is a plus sign.
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return [name.alias("_source_file"), F.col("_metadata.file_size").alias("_source_bytes")]
+    return [
+        _decoded("_metadata.file_path").alias("_source_path"), _decoded("_metadata.file_name").alias("_source_file"),
+        F.col(_SIZE).alias("_source_bytes"),
+    ]
 
 
 def _text(spark: SparkSession, paths: str | Sequence[str], whole: bool) -> DataFrame:
@@ -32,76 +44,84 @@ def _text(spark: SparkSession, paths: str | Sequence[str], whole: bool) -> DataF
     return reader.text(paths, wholetext=True) if whole else reader.text(paths, lineSep="\n")
 
 
+def _is_line_file() -> Column:
+    return F.col("_metadata.file_name").rlike(_LINE_NAME)
+
+
 def line_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One record per non-blank line; large files split over many tasks."""
     lines = _text(spark, paths, whole=False)
     return lines.where(~F.col("value").rlike(_BLANK)).select(*_provenance(), F.col("value").alias("raw"))
 
 
-def document_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One record per file."""
-    return _text(spark, paths, whole=True).select(*_provenance(), F.col("value").alias("raw"))
+def array_line_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Records of JSON arrays laid out with one element per line; large files split over many tasks.
 
+    The brackets and commas of the array are taken off. Lines of any other layout are passed
+    on as they are, to be rejected later.
+    """
+    lines = line_records(spark, paths)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace("raw", r"\s+$|^\s+", "")), r"^\[\s*(?=\{|$)", ""), r"(?<=^|\})\s*[,\]]\s*$", "")
+    return lines.withColumn("raw", bare).where(F.col("raw") != "")
 
-def array_elements(documents: DataFrame) -> DataFrame:
-    """One record per element of the JSON array in each record.
 
-    A record that is no array is passed on as it is, to be rejected later.
-    """
-    parsed = documents.withColumn("parsed", F.from_json(closed(F.col("raw")), "array<array<string>>"))
-    elements = F.coalesce(only(F.col("parsed")), F.array("raw"))
-    return parsed.select("_source_file", "_source_bytes", F.explode(elements).alias("raw"))
+def document_records(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """One record per file. Of a file too large for one row the record is null."""
+    return _documents(spark, paths, F.lit(True), max_bytes)
 
 
-def array_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One record per element of the JSON array in each file.
+def _documents(spark: SparkSession, paths: str | Sequence[str], chosen: Column, max_bytes: int) -> DataFrame:
+    fitting = _text(spark, paths, whole=True).where(chosen & (F.col(_SIZE) <= max_bytes))
+    # The size is known from the listing: only files beyond it are opened here.
+    beyond = _text(spark, paths, whole=False).where(chosen & (F.col(_SIZE) > max_bytes)).select(*_provenance()).distinct()
+    return fitting.select(*_provenance(), F.col("value").alias("raw")).unionByName(
+        beyond.withColumn("raw", F.lit(None).cast("string"))
+    )
 
-    A JSON array cannot be split, so one task reads one file, at most 2 GB. Larger exports
-    have to be line-delimited.
+
+def array_elements(documents: DataFrame, or_lines: bool = False) -> DataFrame:
+    """One record per element of the JSON array in each record.
+
+    A record that is no array is passed on as it is, to be rejected later. With ``or_lines``
+    one that does not open with a bracket is cut into its non-blank lines.
     """
-    return array_elements(document_records(spark, paths))
+    parsed = documents.withColumn("parsed", F.from_json(closed(F.col("raw")), "array<array<string>>"))
+    rest = F.array("raw")
+    if or_lines:
+        lines = F.filter(F.split("raw", "\n"), lambda line: ~line.rlike(_BLANK))
+        rest = F.when(F.col("raw").rlike(r"^\s*\[") | F.col("raw").isNull(), rest).otherwise(lines)
+    elements = F.coalesce(only(F.col("parsed")), rest)
+    kept = [c for c in ("_source_path", "_source_file", "_source_bytes") if c in documents.columns]
+    return parsed.select(*kept, F.explode(elements).alias("raw"))
 
 
-def array_files(lines: DataFrame) -> list[str]:
-    """Paths of the files whose first non-blank character is ``[``.
+def array_records(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
+    """One record per element of the JSON array in each file.
 
-    One small aggregate over the text. Only names come back, fewer than the file listing
-    the driver holds already, so that each file is then read in its own layout.
+    One task reads one file. A larger file than ``max_bytes`` gives one null record, which is
+    rejected with its reason; if it has one element per line, ``array_line_records`` splits it.
     """
-    position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    first = (
-        lines.select(F.col(_FILE).alias("file"), F.col("value").rlike(r"^\s*\[").alias("opens"), position.alias("position"),
-                     F.col("value").rlike(_BLANK).alias("blank"))
-        .where(~F.col("blank"))
-        .groupBy("file")
-        .agg(F.min_by("opens", "position").alias("is_array"))
-    )
-    return [row.file for row in first.where("is_array").select("file").toLocalIterator()]
+    return array_elements(document_records(spark, paths, max_bytes))
 
 
-def raw_records(spark: SparkSession, paths: str | Sequence[str], layout: str = "auto") -> DataFrame:
-    """Raw JSON text of every record with its file name and file size.
+def raw_records(
+    spark: SparkSession, paths: str | Sequence[str], layout: str = "auto", max_bytes: int = MAX_DOCUMENT_BYTES
+) -> DataFrame:
+    """Raw JSON text of every record with its file's path, name and size.
 
-    ``layout`` is ``lines``, ``array`` or ``auto``. ``auto`` takes files named ``.ndjson``
-    as lines and looks at the first character of the others, which costs one pass over
-    those; naming the layout saves it.
+    ``layout`` is ``lines``, ``array``, ``array_lines`` (an array with one element per line)
+    or ``auto``: files named ``.ndjson`` or ``.jsonl`` are lines, which split over tasks;
+    any other is read as a whole by one task and may be an array or lines. Conditions on the
+    name prune the file listing, so every file is opened once, in its own layout.
     """
     if layout == "lines":
         return line_records(spark, paths)
     if layout == "array":
-        return array_records(spark, paths)
+        return array_records(spark, paths, max_bytes)
+    if layout == "array_lines":
+        return array_line_records(spark, paths)
     if layout != "auto":
-        raise ValueError(f"layout must be auto, lines or array, not {layout!r}")
-
-    lines = _text(spark, paths, whole=False)
-    arrays = array_files(lines.where(~F.col("_metadata.file_name").endswith(".ndjson")))
-    if not arrays:
-        return line_records(spark, paths)
-    # Path conditions prune the file listing: no file is read in the wrong layout.
-    as_lines = lines.where(~F.col(_FILE).isin(arrays) & ~F.col("value").rlike(_BLANK))
-    documents = _text(spark, paths, whole=True).where(F.col(_FILE).isin(arrays))
-
-    def records(text: DataFrame) -> DataFrame:
-        return text.select(*_provenance(), F.col("value").alias("raw"))
-
-    return records(as_lines).unionByName(array_elements(records(documents)))
+        raise ValueError(f"layout must be auto, lines, array or array_lines, not {layout!r}")
+    lines = _text(spark, paths, whole=False).where(_is_line_file() & ~F.col("value").rlike(_BLANK))
+    documents = _documents(spark, paths, ~_is_line_file(), max_bytes)
+    return lines.select(*_provenance(), F.col("value").alias("raw")).unionByName(array_elements(documents, or_lines=True))

@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trailspark.functions import timecols as t
-from trailspark.operators.filters import with_actions
+from trailspark.operators.anomaly import hourly_action_counts
+from trailspark.operators.activity import ranked
+from trailspark.operators.filters import listed_events
 from trailspark.schema import CRITICAL_ACTIONS
 
 
-def bulk_operation_stream(events: DataFrame, threshold: int = 50, delay: str = "1 hour") -> DataFrame:
-    """Actor, action and clock hour with more events than the threshold.
+def count_stream(events: DataFrame, counts: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Adds the events per actor, action and clock hour of every batch to the folder ``counts``.
 
-    An hour is emitted once, when the watermark (latest event minus ``delay``) has passed
-    its end; state older than that is dropped. Watermarks need zoned timestamps, so the
-    wall clock is read as UTC inside and given back without zone.
+    A batch writes its partial counts to a folder named by its id and overwrites it if it is
+    run again, so that each event counts once. Nothing is held between batches: events of any
+    age count, and no watermark drops late ones.
     """
-    instant = F.timestamp_micros(t.wall_clock_micros(F.col("date_jst")))
-    hours = (
-        events.select("actor", "action", instant.alias("event_time"))
-        .withWatermark("event_time", delay)
-        .groupBy("actor", "action", F.window("event_time", "1 hour").alias("hour"))
-        .agg(F.count("*").alias("count"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        hourly_action_counts(batch).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    return (
+        events.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def bulk_alerts(spark: SparkSession, counts: str, threshold: int = 50) -> DataFrame:
+    """Actor, action and clock hour with more events than the threshold, by the counts so far."""
+    schema = "actor string, action string, hour_window timestamp_ntz, count bigint, batch bigint"
+    found = (
+        spark.read.schema(schema).parquet(counts).groupBy("actor", "action", "hour_window").agg(F.sum("count").alias("count"))
+        .where(F.col("count") > threshold)
     )
-    start = t.instant_to_jst(F.unix_micros("hour.start")) - F.make_dt_interval(F.lit(0), F.lit(9))
-    return hours.where(F.col("count") > threshold).select("actor", "action", start.alias("hour_window"), "count")
+    return ranked(found, "count", "hour_window", "actor", "action")
 
 
 def critical_event_stream(events: DataFrame, actions: Sequence[str] = CRITICAL_ACTIONS) -> DataFrame:
-    """Critical events as they arrive; stateless."""
-    return with_actions(events, actions)
+    """Critical events as they arrive; stateless. An empty list finds none."""
+    return listed_events(events, actions)
 
 
 def write_stream(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
