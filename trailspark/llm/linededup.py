@@ -43,45 +43,44 @@ def suffix_array(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     final has (doc, key, pos, rest, rank); equal ranks are equal suffixes. towers has rest and
     ``ranks``: entry k is equal for suffixes that share 2^k lines, or all they have.
     """
-    ids = stored(lines.dropDuplicates(_AT), "lines-ids")
+    ids = stored(lines, "lines-ids")
     counts = ids.groupBy("id", "id2").agg(F.count("*").alias("n"))
     # Any order of lines serves; theirs is by hash, in 2^16 buckets of the hash range.
     first = smaller_before(
         counts.select("id", "id2", "n", F.lit(0).alias("one"), F.struct("id", "id2").alias("both")), ["one"], "both", F.shiftright("id", 48)
     ).select("id", "id2", F.col("before").alias("rank"), "n")
-    ranked = ids.join(first, ["id", "id2"]).select(*_AT, "rest", "rank", "n")
-    # A rank is only ever asked for behind a repeated line.
-    previous = F.lag("n").over(Window.partitionBy("doc", "key").orderBy("pos"))
-    ranked = stored(ranked.withColumn("n_before", previous).where("n > 1 OR n_before > 1").drop("n_before"), "lines-rank-0")
-    active = ranked.where("n > 1").drop("n")
-    towers = [active.withColumn("level", F.lit(0))]
-    done = [ranked.where("n = 1").drop("n")]
+    document = Window.partitionBy("doc", "key")
+    order = document.orderBy("pos")
+    ranked = ids.join(first, ["id", "id2"]).select(
+        *_AT, "rest", "rank", "n", F.lag("n").over(order).alias("n_before"), F.lag("pos").over(order).alias("pos_before")
+    )
+    # Repeated rows of a document are one; a rank is only ever asked for behind a repeated line.
+    ranked = ranked.where("(pos_before IS NULL OR pos_before <> pos) AND (n > 1 OR n_before > 1)")
+    state = stored(ranked.select(*_AT, "rest", "rank", (F.col("n") > 1).alias("active")), "lines-rank-0")
+    towers = state.where("active").select(*_AT, "rest", "rank", F.lit(0).alias("level"))
+    final = state.limit(0).select(*_AT, "rest", "rank")
     level = 0
-    while not active.isEmpty():
-        known = active
-        for frame in done:
-            known = known.unionByName(frame)
-        ahead = known.select("doc", "key", (F.col("pos") - F.lit(1 << level)).alias("pos"), F.col("rank").alias("next"))
-        paired = active.join(ahead, _AT, "left").withColumn("next", F.coalesce("next", F.lit(-1)))
+    while not state.where("active").isEmpty():
+        step = 1 << level
+        ahead = F.max("rank").over(order.rangeBetween(step, step))
+        live = F.max("active").over(document)  # the others of these documents are still asked for
+        paired = state.withColumn("next", F.coalesce(ahead, F.lit(-1))).withColumn("live", live).where("live").drop("live")
         paired = stored(paired, f"lines-pair-{level}")
-        groups = paired.groupBy("rank", "next").agg(F.count("*").alias("n"))
-        moved = smaller_before(groups, ["rank"], "next", F.shiftright("next", 16))
-        moved = moved.select("rank", "next", (F.col("rank") + F.col("before")).alias("new"), "n")
+        active = paired.where("active")
+        moved = smaller_before(
+            active.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank"], "next", F.shiftright("next", 16)
+        ).select("rank", "next", (F.col("rank") + F.col("before")).alias("new"), "n")
         level += 1
-        now = stored(
-            paired.join(moved, ["rank", "next"]).select(*_AT, "rest", F.col("new").alias("rank"), "n"), f"lines-rank-{level}"
+        now = active.join(moved, ["rank", "next"]).select(
+            *_AT, "rest", F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("rest") >= (1 << level))).alias("active"), "n"
         )
-        shared, open_ = F.col("n") > 1, F.col("rest") >= (1 << level)
-        towers.append(now.where(shared).drop("n").withColumn("level", F.lit(level)))
-        done.append(now.where(~(shared & open_)).drop("n"))
-        active = now.where(shared & open_).drop("n")
-    final, tower = done[1] if level else active, towers[0]
-    for frame in done[2:]:
-        final = final.unionByName(frame)
-    for frame in towers[1:]:
-        tower = tower.unionByName(frame)
+        rest = paired.where("NOT active").select(*_AT, "rest", "rank", "active", F.lit(None).cast("long").alias("n"))
+        both = stored(now.unionByName(rest), f"lines-rank-{level}")
+        towers = towers.unionByName(both.where("n > 1").select(*_AT, "rest", "rank", F.lit(level).alias("level")))
+        final = final.unionByName(both.where("n IS NOT NULL AND NOT active").select(*_AT, "rest", "rank"))
+        state = both.drop("n")
     ranks = F.transform(F.sort_array(F.collect_list(F.struct("level", "rank"))), lambda x: x["rank"])
-    return final, stored(tower.groupBy(*_AT).agg(F.max("rest").alias("rest"), ranks.alias("ranks")), "lines-towers")
+    return final, stored(towers.groupBy(*_AT).agg(F.max("rest").alias("rest"), ranks.alias("ranks")), "lines-towers")
 
 
 def neighbours(final: DataFrame, chunk: int) -> DataFrame:
@@ -100,30 +99,31 @@ def neighbours(final: DataFrame, chunk: int) -> DataFrame:
 
 def common_prefixes(pairs: DataFrame, towers: DataFrame) -> DataFrame:
     """Adds ``lcp`` to neighbours: the lines a suffix shares with the one before it."""
-    keep = ["chunk", "rank", *_AT, "rest"]
+    pairs = stored(pairs, "lines-pairs")
+    names = ["chunk", "rank", *_AT, "rest", "p_doc", "p_key", "p_pos"]
     state = pairs.withColumn("lcp", F.lit(0))
-    done, step = None, 0
+    found, step = state.select("rank", "lcp"), 0
+    mine = towers.select(*[F.col(c).alias(f"t_{c}") for c in _AT], F.col("rest").alias("t_rest"), F.col("ranks").alias("mine"))
+    other = towers.select(*[F.col(c).alias(f"o_{c}") for c in _AT], F.col("ranks").alias("other"))
     while True:
-        mine = towers.select(*[F.col(c).alias(f"t_{c}") for c in _AT], F.col("rest").alias("t_rest"), F.col("ranks").alias("mine"))
-        other = towers.select(*[F.col(c).alias(f"o_{c}") for c in _AT], F.col("ranks").alias("other"))
         tested = state.join(
-            mine, (F.col("doc") == F.col("t_doc")) & (F.col("key") == F.col("t_key")) & (F.col("pos") + F.col("lcp") == F.col("t_pos")), "left"
+            mine, (F.col("doc") == F.col("t_doc")) & (F.col("key") == F.col("t_key")) & (F.col("pos") + F.col("lcp") == F.col("t_pos"))
         ).join(
-            other, (F.col("p_doc") == F.col("o_doc")) & (F.col("p_key") == F.col("o_key")) & (F.col("p_pos") + F.col("lcp") == F.col("o_pos")), "left"
+            other, (F.col("p_doc") == F.col("o_doc")) & (F.col("p_key") == F.col("o_key")) & (F.col("p_pos") + F.col("lcp") == F.col("o_pos"))
         )
         same = F.size(F.filter(F.zip_with("mine", "other", lambda a, b: a == b), lambda e: e))
-        tested = tested.withColumn("same", F.when(F.col("mine").isNull() | F.col("other").isNull(), 0).otherwise(same))
-        gain = F.when(F.col("same") > 0, F.least(F.expr("shiftleft(1, same - 1)"), F.col("t_rest"))).otherwise(F.lit(0))
+        tested = tested.withColumn("same", same).where("same > 0")
+        gain = F.least(F.expr("shiftleft(1, same - 1)"), F.col("t_rest"))
+        # A pair without a match here is at its end; one that reached the end of a text, too.
         tested = stored(
-            tested.select(*keep, "p_doc", "p_key", "p_pos", (F.col("lcp") + gain).alias("lcp"), ((F.col("same") > 0) & (gain < F.col("t_rest"))).alias("more")),
-            f"lines-lcp-{step}",
+            tested.select(*names, (F.col("lcp") + gain).alias("lcp"), (gain < F.col("t_rest")).alias("more")), f"lines-lcp-{step}"
         )
-        ended = tested.where("NOT more").select(*keep, "lcp")
-        done = ended if done is None else done.unionByName(ended)
+        found = found.unionByName(tested.select("rank", "lcp"))
         state = tested.where("more").drop("more")
         step += 1
         if state.isEmpty():
-            return done
+            break
+    return pairs.join(found.groupBy("rank").agg(F.max("lcp").alias("lcp")), "rank").select("chunk", "rank", *_AT, "rest", "lcp")
 
 
 def nearest(entries: list[tuple]) -> list[tuple]:
