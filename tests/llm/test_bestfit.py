@@ -1,0 +1,60 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from llm_cases import ODD, documents
+
+from trailspark.llm import bestfit as b
+
+
+def plain_pack(sizes, sources, groups, capacity):
+    """The tightest of all bins without a conflict, the first of equals."""
+    left, members, out = [], [], [None] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fits = [
+            (left[n], n) for n in range(len(left))
+            if left[n] >= sizes[i] and not any(sources[j] == sources[i] or groups[j] == groups[i] for j in members[n])
+        ]
+        n = min(fits)[1] if fits else len(left)
+        if not fits:
+            left.append(capacity)
+            members.append([])
+        out[i] = (n, capacity - left[n])
+        left[n] -= sizes[i]
+        members[n].append(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_equals_search_of_all_bins(seed):
+    rng = random.Random(seed)
+    n = rng.randint(0, 120)
+    sizes = [rng.randint(1, 30) for _ in range(n)]
+    sources = [rng.choice(["hot", "hot", "a", "b", "c", "d"]) for _ in range(n)]
+    groups = [rng.randrange(max(1, n // 2)) for _ in range(n)]
+    assert b.pack(sizes, sources, groups, 30) == plain_pack(sizes, sources, groups, 30)
+
+
+@pytest.mark.parametrize("block_rows", [10, b.BLOCK_ROWS])
+def test_every_word_is_packed_once(spark, block_rows):
+    rng = random.Random(block_rows)
+    rows = [*ODD] + [(100 + i, "w " * rng.randint(0, 60), "en", rng.choice(["hot", "hot", f"s{i}", None])) for i in range(150)]
+    rows += [(300 + i, "Same, text. here", "en", f"t{i}") for i in range(9)]
+    pieces = b.pack_documents(documents(spark, rows, extra=True), capacity=20, block_rows=block_rows).collect()
+    words = defaultdict(Counter)
+    for p in pieces:
+        words[p.doc_id].update(range(p.start, p.start + p.n_tokens))
+    expected = {doc: Counter(range(len(text.split()))) for doc, text, *_ in rows if text and text.split()}
+    assert words == expected
+    bins = defaultdict(list)
+    for p in pieces:
+        bins[p.bin_id].append(p)
+    for held in bins.values():
+        assert sum(p.n_tokens for p in held) <= 20 and len({p.source for p in held}) == len(held)
+        assert len({p.doc_id for p in held if p.doc_id and p.doc_id >= 300}) <= 1
+        spans = sorted((p.bin_offset, p.bin_offset + p.n_tokens) for p in held)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+
+
+def test_no_documents(spark):
+    assert b.pack_documents(documents(spark, ODD).limit(0)).count() == 0

@@ -1,0 +1,44 @@
+import random
+
+import pytest
+from llm_cases import ODD, deduped_lines, documents
+
+from trailspark.llm import linededup as d
+
+
+@pytest.mark.parametrize("chunk", [8, d.CHUNK])
+def test_equals_brute_force(spark, chunk):
+    rng = random.Random(chunk)
+    lines = ["a b", "c", "d e f", "g", " "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(0, 20, 3)] + [rows[3], rows[3]]
+    found = d.without_repeats(documents(spark, rows), min_words=5, chunk=chunk).collect()
+    expected = deduped_lines(rows, 5)
+    assert len(found) == len(rows)
+    for row in found:
+        before = next(t for i, t in rows if i == row.doc_id)
+        assert row.text == expected.get((row.doc_id, before), before)
+
+
+def test_runs_count_words_to_their_end(spark):
+    long, tail = " ".join(["w"] * 50), "x1 x2\ny1 y2"
+    rows = [(1, f"{long}\n{tail}"), (2, f"own line\n{long}\n{tail}\nlast"), (3, f"{tail}\n{' '.join(['v'] * 49)}"), (4, " ".join(["v"] * 49))]
+    found = {r.doc_id: r.text for r in d.without_repeats(documents(spark, rows)).collect()}
+    assert found == {1: rows[0][1], 2: "own line\nlast", 3: rows[2][1], 4: rows[3][1]}
+
+
+def test_long_repeats_inside_one_document(spark):
+    text = "\n".join(["the same line of six words"] * 300)
+    found = d.without_repeats(documents(spark, [(1, text)]), chunk=16).collect()
+    assert found[0].text == "the same line of six words" and found[0]._llm_deleted == 299
+
+
+def test_odd_documents_and_no_documents(spark):
+    rows = [*ODD, (20, "tick " * 30_000 + "\nand more"), (21, "tick " * 30_000)]
+    docs = documents(spark, rows, extra=True)
+    out = d.dedup_lines(docs)
+    assert out.columns == docs.columns
+    found = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert 21 not in found and found[20] == ("and more", 8) and found[2] == (None, None) and found[3][0] == ""
+    assert found[9][0] == ODD[10][1] and out.where("doc_id = 5").count() == 2
+    assert d.dedup_lines(docs.limit(0)).count() == 0

@@ -1,0 +1,86 @@
+import corpus_pipeline as c
+import pytest
+from llm_cases import ODD, deduped_lines, documents, near_pairs, union_find
+
+from trailspark.llm import bestfit, classifier, decontaminate, simhash
+from trailspark.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The documents before the first stage and after each."""
+    out = [table(spark, SF, "documents")]
+    for number, (_, stage) in enumerate(c.STAGES):
+        out.append(c.stored(stage(spark, out[-1], SF), f"test-{number}"))
+    return out
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_columns_and_names(stages):
+    assert [len(name) > 0 for name, _ in c.STAGES] == [True] * 5
+    for df in stages[1:5]:
+        assert df.schema.names == stages[0].schema.names and df.dtypes == stages[0].dtypes
+
+
+def test_quality(spark, stages):
+    rejected = {r.doc_id for r in classifier.classify(stages[0], table(spark, SF, "labels")).where("NOT keep").collect()}
+    assert texts(stages[1]) == {d: t for d, t in texts(stages[0]).items() if d not in rejected} and rejected
+
+
+def test_lines(stages):
+    before = texts(stages[1])
+    expected = {d: t for (d, _), t in deduped_lines(list(before.items()), 50).items() if t.split() or t == before[d]}
+    assert texts(stages[2]) == expected
+    assert all(r.n_chars == len(r.text) for r in stages[2].collect())
+
+
+def test_near_duplicates(stages):
+    before = texts(stages[2])
+    codes = {d: simhash.simhash(t.encode()) for d, t in before.items()}
+    roots = union_find(near_pairs(codes, 3), codes)
+    assert texts(stages[3]) == {d: t for d, t in before.items() if roots[d] == d}
+
+
+def test_decontamination(spark, stages):
+    from test_decontaminate import plain_align
+
+    words = lambda t: decontaminate._WORD.findall(t.lower())
+    before, items = texts(stages[3]), [words(r.text) for r in table(spark, SF, "benchmark").collect()]
+    grams = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    copies = {
+        d for d, t in before.items() for item in items
+        if grams(words(t)) & grams(item) and plain_align(item, words(t)) >= 0.5 * 2 * len(item)
+    }
+    assert texts(stages[4]) == {d: t for d, t in before.items() if d not in copies} and copies
+
+
+def test_packing(stages):
+    pieces = stages[5].collect()
+    held = {}
+    for p in pieces:
+        held.setdefault(p.bin_id, []).append(p)
+        assert p.n_tokens > 0
+    sums = {}
+    for p in pieces:
+        sums[p.doc_id] = sums.get(p.doc_id, 0) + p.n_tokens
+    assert sums == {d: len(t.split()) for d, t in texts(stages[4]).items()}
+    assert all(sum(p.n_tokens for p in ps) <= bestfit.CAPACITY and len({p.source for p in ps}) == len(ps) for ps in held.values())
+
+
+def test_run_equals_the_stages(spark, stages):
+    assert sorted(map(tuple, c.run(spark, SF).collect())) == sorted(map(tuple, stages[5].collect()))
+
+
+def test_stages_on_odd_documents(spark):
+    docs = documents(spark, ODD, extra=True)
+    for df in (docs, docs.limit(0)):
+        for _, stage in c.STAGES[:4]:
+            df = c.stored(stage(spark, df, SF), "odd")
+            assert df.columns == docs.columns
+        stage = c.STAGES[4][1]
+        assert stage(spark, df, SF).count() >= 0

@@ -147,13 +147,19 @@ class Index:
         found = []
         for t, starts in diagonals.items():
             template, band = self.words[t], 2 + len(self.words[t]) // 4
-            reached = None
+            reached, taken = None, []
             for start in sorted(starts):
                 if reached is not None and start <= reached + band:
                     continue  # the band of the diagonal before covers this one
                 reached = start
                 matched, low, high = banded(template, words, start, 2 * band)
                 if matched >= least * len(template):
+                    taken.append((matched, low, high))
+            # Diagonals of repeated phrases lead to the same copy: of overlapping spans the best counts.
+            spans: list[tuple[int, int]] = []
+            for matched, low, high in sorted(set(taken), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if all(high <= a or low >= b for a, b in spans):
+                    spans.append((low, high))
                     found.append((self.names[t], matched, len(template), low, high))
         return found
 
