@@ -3,25 +3,24 @@
 Evidence is a logistic model on the shape of a text and on marker words of rejected documents.
 A site (host) and its parts (paths) have posterior rates of good documents: each rate is shrunk
 towards the wider level by as much as the spread between siblings says (method of moments), so
-that a sparse site falls back to its parent. A document's odds are its evidence times the ratio
-of its path's odds to the overall odds.
+that a sparse site falls back to its parent. A document's odds are its evidence, learned at even odds,
+times its path's odds.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import keyed, same_document, stored, table
 
-TRAIN_ROWS = 3_000  # labelled documents of each class (good, low quality, toxic) the model is fitted on
+TRAIN_ROWS = 2_000  # labelled documents of each class (good, low quality, toxic) the model is fitted on
 PREFIX = 5  # words are also looked at by their first letters
 LEAST_GOOD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,28 +50,28 @@ def shape_of(text: str, n_words: int, n_distinct: int) -> list[float]:
 
 
 def features(text: str | None, markers: list[dict[str, float]]) -> list[float]:
-    """The shape, and for each marker list the logarithm of the weight found in the text."""
+    """The shape, and for each marker list the logarithm of the weight found and the largest one."""
     n, found = words_of(text or "")
-    score = [math.log1p(sum(m[w] for w in m.keys() & found)) for m in markers]
-    return shape_of(text or "", n, len(found)) + score
-
-
-def marker_words(bad: list[set[str]], good: list[set[str]]) -> dict[str, float]:
-    """Words much more frequent in rejected documents, and how much (log ratio)."""
-    inside, outside = Counter(), Counter()
-    for words in bad:
-        inside.update(words)
-    for words in good:
-        outside.update(words)
-    least = max(3, len(bad) // 100)
-    out = {}
-    for word, n in inside.items():
-        weight = math.log((n + 0.5) / (len(bad) + 1)) - math.log((outside[word] + 0.5) / (len(good) + 1))
-        if n >= least and weight >= _LEAST_WEIGHT:
-            out[word] = weight
+    out = shape_of(text or "", n, len(found))
+    for listed in markers:
+        weights = [listed[w] for w in listed.keys() & found]
+        out += [math.log1p(sum(weights)), max(weights, default=0.0)]
     return out
 
 
+def marker_words(bad: list[np.ndarray], good: list[np.ndarray], vocabulary: list[str]) -> dict[str, float]:
+    """Words much more frequent in rejected documents, and how much (log ratio).
+
+    Documents are arrays of the numbers of their distinct words in ``vocabulary``.
+    """
+    inside, outside = (
+        np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *docs]), minlength=len(vocabulary)) for docs in (bad, good)
+    )
+    weight = np.log((inside + 0.5) / (len(bad) + 1)) - np.log((outside + 0.5) / (len(good) + 1))
+    found = np.flatnonzero((inside >= max(3, len(bad) // 100)) & (weight >= _LEAST_WEIGHT))
+    return {vocabulary[i]: float(weight[i]) for i in found}
+
+
 class Model:
     """Marker lists, the scale of each feature and the weights of a logistic regression.
 
@@ -87,7 +86,7 @@ class Model:
         return np.clip(x @ self.weights[:-1] + self.weights[-1], -15, 15)
 
     @classmethod
-    def fit(cls, kinds: list[str], words: list[set[str]], shapes: list[list[float]]) -> Model | None:
+    def fit(cls, kinds: list[str], words: list[np.ndarray], vocabulary: list[str], shapes: list[list[float]]) -> Model | None:
         """Marker scores of each half come from the other half's markers, as on unseen documents."""
         good = np.array([k == "good" for k in kinds])
         if good.all() or not good.any():
@@ -95,19 +94,25 @@ class Model:
 
         def lists(use: np.ndarray) -> list[dict[str, float]]:
             clean = [w for w, k, u in zip(words, kinds, use) if u and k == "good"]
-            return [marker_words([w for w, k, u in zip(words, kinds, use) if u and k == kind], clean) for kind in ("low", "toxic")]
+            return [
+                marker_words([w for w, k, u in zip(words, kinds, use) if u and k == kind], clean, vocabulary) for kind in ("low", "toxic")
+            ]
 
         half = np.arange(len(kinds)) % 2 == 0
-        scores = np.zeros((len(kinds), 2))
+        scores = np.zeros((len(kinds), 4))
+        number = {word: i for i, word in enumerate(vocabulary)}
         for use in (half, ~half):
-            markers = lists(use)
-            for i in np.flatnonzero(~use):
-                scores[i] = [math.log1p(sum(m[w] for w in m.keys() & words[i])) for m in markers]
+            for column, markers in enumerate(lists(use)):
+                weight = np.zeros(len(vocabulary))
+                weight[[number[w] for w in markers]] = list(markers.values())
+                for i in np.flatnonzero(~use):
+                    own = weight[words[i]]
+                    scores[i, 2 * column : 2 * column + 2] = math.log1p(own.sum()), own.max(initial=0.0)
         x = np.hstack([np.array(shapes), scores])
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         x = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
         weight = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum()) * len(good)  # no outcome is favoured
-        w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
+        w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.3)
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             gradient = x.T @ (weight * (good - p)) - ridge * w
@@ -151,9 +156,15 @@ def train(docs: DataFrame, kinds: DataFrame, rows: int = TRAIN_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     found = texts.select("doc_id", "_key", "kind", "text").mapInArrow(run, "doc_id long, _key long, kind string, words string, shape array<double>")
-    once = {row["_key"]: row for row in sorted(found.collect(), key=lambda r: (-r["doc_id"], r["kind"]))}
-    sample = sorted(once.values(), key=lambda r: (r["doc_id"], r["_key"]))
-    return Model.fit([r["kind"] for r in sample], [set(r["words"].split()) for r in sample], [list(r["shape"]) for r in sample])
+    vocabulary: dict[str, int] = {}
+    once = {}
+    for row in found.toLocalIterator():
+        words = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in row["words"].split()], dtype=np.int32)
+        before = once.get(row["_key"])
+        if before is None or (row["doc_id"], row["kind"]) < before[:2]:
+            once[row["_key"]] = (row["doc_id"], row["kind"], words, list(row["shape"]))
+    sample = [once[key] for key in sorted(once, key=lambda k: (once[k][0], k))]
+    return Model.fit([r[1] for r in sample], [r[2] for r in sample], list(vocabulary), [r[3] for r in sample])
 
 
 def evidence(docs: DataFrame, model: Model | None, host: str, path: str) -> DataFrame:
@@ -193,27 +204,26 @@ def classify(
     )
     paths = stored(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("k")), "classifier-sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
-    total = hosts.agg(F.coalesce((F.sum("host_k") + 1.0) / (F.sum("host_n") + 2.0), F.lit(0.5)).alias("p"))
+    overall = hosts.agg(F.coalesce((F.sum("host_k") + 1.0) / (F.sum("host_n") + 2.0), F.lit(0.5))).first()[0]
 
-    def strength(sites: DataFrame, n: str, k: str, mean) -> DataFrame:
+    def strength(sites: DataFrame, n: str, k: str, mean: Column) -> float:
         """Pseudo-documents of the wider level: its variance over that between the sites."""
         rate = F.col(k) / F.col(n)
         spread = F.sum(F.col(n) * (rate - mean) * (rate - mean)) / F.sum(n)
         noise = F.sum(mean * (1 - mean)) / F.sum(n)
         between = F.greatest(spread - noise, F.lit(1e-4))
-        return sites.agg(F.coalesce(F.sum(F.col(n) * mean * (1 - mean)) / F.sum(n) / between, F.lit(1.0)).alias("s"))
+        return sites.agg(F.coalesce(F.sum(F.col(n) * mean * (1 - mean)) / F.sum(n) / between, F.lit(1.0))).first()[0]
 
-    overall = total.scalar()
-    host_strength = strength(hosts, "host_n", "host_k", overall).scalar()
+    # Three figures over all sites go through the driver.
+    host_strength = strength(hosts, "host_n", "host_k", F.lit(overall))
     with_host = hosts.withColumn("host_rate", (F.col("host_k") + host_strength * overall) / (F.col("host_n") + host_strength))
     joined = paths.join(with_host.select("host", "host_rate"), "host")
-    path_strength = strength(joined, "n", "k", F.col("host_rate")).scalar()
+    path_strength = strength(joined, "n", "k", F.col("host_rate"))
     rates = joined.select(
         "host", "path", "host_rate", ((F.col("k") + path_strength * F.col("host_rate")) / (F.col("n") + path_strength)).alias("path_rate")
     )
     odds = F.col("path_rate") / (1 - F.col("path_rate"))
-    # Even odds stand for the overall rate: a site as good as all sites leaves the evidence as it is.
-    shift = F.log(odds) - F.log(overall / (1 - overall))
+    shift = F.log(odds)  # evidence was learned at even odds
     p_good = (1 / (1 + F.exp(-(F.col("logit") + shift)))) if model is not None else F.lit(1.0)
     return scored.join(rates, ["host", "path"]).select(
         "doc_id", "_key", p.alias("evidence"), "host_rate", "path_rate", p_good.alias("p_good")
