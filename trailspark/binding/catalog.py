@@ -108,6 +108,8 @@ EVENT_COLUMNS = ("date_jst", "action", "actor", "org", "repo", "user", "team", "
                  "actor_is_bot", "_source_path", "_source_file", "_source_bytes")
 _EVENTS_SQL = ", ".join(f'"{name}"' for name in EVENT_COLUMNS)
 
+_FIELDS = ("action", "actor", "org", "repo", "user", "team", "actor_ip", "country_code", "actor_is_bot")
+
 # ---------------------------------------------------------------- sources and sinks
 
 _BROKEN = "(event_id % 97 = 0 OR event_id % 107 = 0 OR event_id % 109 = 0)"
@@ -137,38 +139,41 @@ def s01_rejected_records(m: Model) -> DataFrame:
 
 @query("""
   SELECT date_trunc('millisecond', date_jst) AS date_jst, action, coalesce(actor, 'unknown') AS actor, org, repo,
-    actor_ip, _source_file FROM ev""")
+    "user", team, actor_ip, country_code, actor_is_bot, _source_file FROM ev""")
 def s02_array_documents(m: Model) -> DataFrame:
     records = text.array_elements(b.raw_event_arrays(m.events))
     loaded = event_source.parse_events(records)
-    return loaded.events.select("date_jst", "action", "actor", "org", "repo", "actor_ip", "_source_file")
+    return loaded.events.select("date_jst", *_FIELDS, "_source_file")
 
 
-def _exported(events: DataFrame) -> DataFrame:
+def _exported(events: DataFrame, *more: str) -> DataFrame:
     """Events under the keys of an export."""
     stamp = F.replace((F.col("date_jst") - F.make_dt_interval(F.lit(0), F.lit(9))).cast("string"), F.lit(" "), F.lit("T"))
-    return events.select(F.concat(stamp, F.lit("Z")).alias("@timestamp"), "action", "actor", "org", "repo", "actor_ip")
+    return events.select(F.concat(stamp, F.lit("Z")).alias("@timestamp"), *_FIELDS, *more)
 
 
 @query("""
-  SELECT date_jst, action, coalesce(actor, 'unknown') AS actor, org, repo, actor_ip FROM ev""")
+  SELECT date_jst, action, coalesce(actor, 'unknown') AS actor, org, repo, "user", team, actor_ip, country_code,
+    actor_is_bot, _source_file AS folder FROM ev""")
 def s03_multi_file_load(m: Model) -> DataFrame:
     path = m.scratch("events-json")
-    sinks.write_ndjson(_exported(m.events), path)
+    _exported(m.events, "_source_file").withColumnRenamed("_source_file", "folder").write.partitionBy("folder").json(path)
     loaded = event_source.load_events(m.spark, [path]).events
-    return loaded.select("date_jst", "action", "actor", "org", "repo", "actor_ip")
+    return loaded.select("date_jst", *_FIELDS, F.regexp_extract("_source_path", "/folder=([^/]*)/", 1).alias("folder"))
 
 
 @query(f"""
-  SELECT date_trunc('millisecond', date_jst) AS date_jst, date_jst::DATE AS event_date, org, repo, actor_ip
+  SELECT CASE WHEN event_id % 6 IN (0, 5) THEN date_trunc('millisecond', date_jst) ELSE date_jst END AS date_jst,
+    date_jst::DATE AS event_date, CASE WHEN event_id % 17 = 0 THEN 'unknown' ELSE action END AS action,
+    CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 OR actor IS NULL THEN 'unknown' ELSE actor END AS actor,
+    org, repo, "user", team, actor_ip, country_code, actor_is_bot
   FROM ev WHERE NOT {_BROKEN} AND NOT {_NO_TIME} AND {IN_RANGE}""")
 def s03_ingested_store(m: Model) -> DataFrame:
     lines, store = m.scratch("event-lines"), m.scratch("event-store")
     b.raw_event_lines(m.events).select("raw").write.text(lines)
     event_source.ingest_events(m.spark, lines, store, layout="lines")
     stored = filters.in_date_range(event_source.read_events(m.spark, store), b.DATE_RANGE)
-    return stored.select(F.date_trunc("millisecond", F.col("date_jst")).cast(t.NTZ).alias("date_jst"),
-                         "event_date", "org", "repo", "actor_ip")
+    return stored.select("date_jst", "event_date", *_FIELDS)
 
 
 @query("SELECT _source_path, _source_file, count(*) AS event_count FROM ev GROUP BY 1, 2")

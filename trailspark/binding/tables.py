@@ -205,8 +205,8 @@ def raw_seat_documents(source: DataFrame) -> DataFrame:
 def raw_event_arrays(source: DataFrame) -> DataFrame:
     """Events as raw JSON arrays of about 1,000 events each."""
     record = F.to_json(F.struct(
-        F.expr("_micros div 1000").alias("@timestamp"), "action", "actor", "org", "repo", "actor_ip",
-        F.struct(F.col("country_code"), F.lit("}],[{").alias("country_name")).alias("actor_location"),
+        F.expr("_micros div 1000").alias("@timestamp"), "action", "actor", "org", "repo", "user", "team", "actor_ip",
+        "country_code", "actor_is_bot", F.struct(F.col("country_code"), F.lit("}],[{").alias("country_name")).alias("actor_location"),
     ))
     records = source.withColumn("_micros", t.wall_clock_micros(F.col("date_jst")) - 9 * 3600 * 1_000_000).select(
         "_source_file", record.alias("record")

@@ -38,7 +38,8 @@ def scratch_path(spark: SparkSession, name: str, base: str | None = None) -> str
     """
     base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share, or name a scratch folder")
         base = _local_scratch.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="trailspark-"))
     return f"{base.rstrip('/')}/trailspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
