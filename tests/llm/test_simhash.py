@@ -26,7 +26,7 @@ def test_fingerprint_follows_its_definition():
 
 
 def clustered(seed, n):
-    rng, codes = random.Random(seed), {0, (1 << 64) - 1}
+    rng, codes = random.Random(seed), {(1 << 64) - 1, *range(40)}
     while len(codes) < n:
         code = rng.getrandbits(64)
         for _ in range(rng.randint(1, 6)):
@@ -36,7 +36,7 @@ def clustered(seed, n):
     return {code - (1 << 64) if code >> 63 else code: i for i, code in enumerate(sorted(codes))}
 
 
-@pytest.mark.parametrize("limit, distance", [(s.NODE_LIMIT, 3), (3, 3), (5, 1)])
+@pytest.mark.parametrize("limit, distance", [(s.NODE_LIMIT, 3), (20, 3), (30, 1)])
 def test_index_links_equal_brute_force(spark, limit, distance):
     codes = clustered(limit, 400)
     df = spark.createDataFrame(list(codes.items()), "code long, rep long").repartition(4)

@@ -26,6 +26,7 @@ SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 NODE_LIMIT = 50_000  # codes below one node, searched in one task's memory
+LEAF_BITS = 15  # a node with so few free bits holds at most 2^15 codes and is a leaf at any limit
 FAN = 16
 _BATCH = 150_000
 _PAIRS = 1 << 12
@@ -87,17 +88,19 @@ def index_nodes(codes: DataFrame, distance: int, node_limit: int) -> DataFrame:
     """(mask, value, code, rep): every code below its leaf nodes."""
     parts = distance + 1
     level = codes.withColumn("mask", F.explode(F.array([F.lit(m) for m in child_masks(0, parts)])))
-    masks, leaves = child_masks(0, parts), None
+    leaves = None
     while True:
         level = level.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
         heavy = stored(level.groupBy("mask", "value").count().where(F.col("count") > node_limit).select("mask", "value"), "simhash-heavy")
-        if heavy.isEmpty():
+        # Few masks at any size: each level fixes a share of the free bits, and a mask with few is a leaf.
+        masks = [row["mask"] for row in heavy.select("mask").distinct().collect()]
+        masks = [m for m in masks if 64 - (m % (1 << 64)).bit_count() > LEAF_BITS]
+        if not masks:
             return level if leaves is None else leaves.unionByName(level)
+        heavy = heavy.where(F.col("mask").isin(masks))
         light = level.join(heavy, ["mask", "value"], "left_anti")
         leaves = light if leaves is None else leaves.unionByName(light)
-        below = {m: child_masks(m, parts) for m in masks}
-        masks = sorted({c for children in below.values() for c in children})
-        pairs = [x for m, children in below.items() for x in (F.lit(m), F.array([F.lit(c) for c in children]))]
+        pairs = [x for m in masks for x in (F.lit(m), F.array([F.lit(c) for c in child_masks(m, parts)]))]
         level = stored(level.join(heavy, ["mask", "value"], "left_semi").select("code", "rep", "mask"), "simhash-level")
         level = level.select("code", "rep", F.explode(F.create_map(*pairs)[F.col("mask")]).alias("mask"))
 
