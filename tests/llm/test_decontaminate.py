@@ -70,3 +70,13 @@ def test_seeds_common_in_the_corpus_need_company(spark):
     rows = [(i, f"filler{i} the cat sat on filler") for i in range(60)] + [(100 + i, item) for i in range(40)]
     found = c.contaminated(documents(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {r.doc_id for r in found.collect()} == set(range(100, 140))
+
+
+def test_seeds_in_many_documents_make_candidates_alone(spark):
+    words = [f"k{i}" for i in range(16)]
+    for at in (3, 7, 12):
+        words[at] = "edited"
+    item = (1, " ".join(f"k{i}" for i in range(16)))
+    rows = [(i, f"page {' '.join(words)} {i}") for i in range(60)] + [(100 + i, f"{i} four words in all {i}") for i in range(60)]
+    found = c.contaminated(documents(spark, rows), spark.createDataFrame([item, (2, "Four words in all")], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == {(i, 1 + (i >= 100)): (1.0 if i >= 100 else 23 / 32) for i in (*range(60), *range(100, 160))}

@@ -1,9 +1,8 @@
 """Benchmark decontamination: n-gram seeds find candidate passages, alignment scores them.
 
 The documents are read once. A bitmap of fixed size, made of all seed n-grams of the benchmark,
-lets only places near a possible seed through; a join decides which seeds they are. One seed
-that is rare in the corpus makes a candidate, common ones need company on the same diagonal.
-Candidates are scored by Smith-Waterman alignment of words.
+lets only places near a possible seed through; a join decides which seeds they are. Each place with a seed is a candidate, however
+often the seed occurs in the corpus. Candidates are scored by Smith-Waterman alignment of words.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from trailspark.llm.common import keyed, same_document, stored, table
 
 SEED_WORDS = 4
 FILTER_BITS = 1 << 23  # 1 MB, whatever the size of the benchmark
-RARE_SHARE = 1e-4  # a seed is rare in at most this share of the documents (or in 20)
-RARE_LEAST = 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5  # of the score of a whole verbatim copy
 _WORD = re.compile(r"\w+")
@@ -148,20 +145,13 @@ def contaminated(
     reach = seeds.agg(F.max(F.size("words"))).first()[0] or 0
     parts = stored(passages(docs, seed_filter(spread, filter_bits), reach, n), "decontaminate-parts")
     hits = parts.select("doc_id", "_key", "start", F.explode("seeds").alias("s")).select("doc_id", "_key", "start", "s.pos", "s.gram")
-    spans = hits.select("doc_id", "_key", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    rare = F.col("df") <= F.greatest(F.lit(RARE_LEAST), F.lit(RARE_SHARE) * total.scalar())
-    weighted = spread.join(spans, "gram").select("gram", "item_id", "item_pos", "length", F.when(rare, 2).otherwise(1).alias("weight"))
     # Seeds of one copy lie on near diagonals: bins of the item's length, each seed in two.
-    placed = hits.join(weighted, "gram").select(
-        "doc_id", "_key", "start", "item_id", "length", "gram", "weight", (F.col("pos") - F.col("item_pos")).alias("diagonal")
+    placed = hits.join(spread, "gram").select(
+        "doc_id", "_key", "start", "item_id", "length", (F.col("pos") - F.col("item_pos")).alias("diagonal")
     ).withColumn("bin", F.explode(F.array(F.expr("floor(diagonal / length)"), F.expr("floor(diagonal / length) + 1"))))
-    once = placed.groupBy("doc_id", "_key", "start", "item_id", "length", "bin", "gram").agg(
-        F.max("weight").alias("weight"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high")
-    )
-    windows = once.groupBy("doc_id", "_key", "start", "item_id", "length", "bin").agg(
-        F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high")
-    ).where("weight >= 2").select("doc_id", "_key", "start", "item_id", "low", "high").distinct()
+    windows = placed.groupBy("doc_id", "_key", "start", "item_id", "length", "bin").agg(
+        F.min("diagonal").alias("low"), F.max("diagonal").alias("high")
+    ).select("doc_id", "_key", "start", "item_id", "low", "high").distinct()
     named = windows.withColumnsRenamed({"doc_id": "w_doc", "_key": "w_key", "start": "w_start"})
     cut = F.expr("greatest(0, low - start - cast(0.25 * size(item) AS int) - 2)")
     pairs = (
