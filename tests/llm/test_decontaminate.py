@@ -80,3 +80,36 @@ def test_seeds_in_many_documents_make_candidates_alone(spark):
     rows = [(i, f"page {' '.join(words)} {i}") for i in range(60)] + [(100 + i, f"{i} four words in all {i}") for i in range(60)]
     found = c.contaminated(documents(spark, rows), spark.createDataFrame([item, (2, "Four words in all")], "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == {(i, 1 + (i >= 100)): (1.0 if i >= 100 else 23 / 32) for i in (*range(60), *range(100, 160))}
+
+
+def edited(rng, words):
+    """A copy with a random share of its words exchanged, left out or followed by others."""
+    share, out = rng.uniform(0.1, 0.6), []
+    for word in words:
+        kind = rng.choice("xxdi") if rng.random() < share else ""
+        out += {"": [word], "x": ["other"], "d": [], "i": [word, "more"]}[kind]
+    return out
+
+
+@pytest.mark.parametrize("slab_words", [c.SLAB_WORDS, 60])
+def test_no_passage_above_the_limit_is_missed(spark, slab_words):
+    rng = random.Random(4)
+    items = [[f"i{i}k{k}" for k in range(rng.randint(4, 40))] for i in range(8)]
+    docs = []
+    for item in items:
+        for every in (2, 3, 4):
+            docs.append([w if k % every else "other" for k, w in enumerate(item, 1)])
+        docs.append([w for word in item for w in (word, "more")])
+        docs.append(item[: len(item) // 2])
+        docs += [["before"] * rng.randint(0, 9) + edited(rng, item) for _ in range(8)]
+    docs.append(["filler"] * (c.PIECE_WORDS - 7) + items[0] + ["filler"] * 5000 + items[1])
+    expected = {
+        (d, i): plain_align(item, words) / (2 * len(item)) for d, words in enumerate(docs) for i, item in enumerate(items) if len(words) < 1000
+    }
+    expected = {k: s for k, s in expected.items() if s >= c.LEAST_SCORE} | {(len(docs) - 1, i): 1.0 for i in (0, 1)}
+    texts = documents(spark, [(d, " ".join(words)) for d, words in enumerate(docs)])
+    found = c.contaminated(texts, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), slab_words=slab_words)
+    assert {(r.doc_id, r.item_id): r.score for r in found.collect()} == pytest.approx(expected) and len(expected) > 60
+    if slab_words == c.SLAB_WORDS:
+        starts = {(r.doc_id, r.item_id): (r.start, r.end) for r in found.collect()}
+        assert starts[len(docs) - 1, 0] == (c.PIECE_WORDS - 7, c.PIECE_WORDS - 7 + len(items[0]))

@@ -1,14 +1,18 @@
-"""Benchmark decontamination: n-gram seeds find candidate passages, alignment scores them.
-
-The documents are read once. A bitmap of fixed size, made of all seed n-grams of the benchmark,
-lets only places near a possible seed through; a join decides which seeds they are. Each place with a seed is a candidate, however
-often the seed occurs in the corpus. Candidates are scored by Smith-Waterman alignment of words.
+"""Benchmark decontamination: word pairs find candidate passages, alignment scores them.
+
+A seed is a pair of words at most two places apart, in the item and in the document. The score
+limit implies how many seeds of an item a passage has on near diagonals: with m matches and
+errors e between them, 2m - e reaches the limit T only if at least T / 2 - 1 of the m - 1 steps
+from match to match hold at most one error. Places with that many seeds are aligned
+(Smith-Waterman on words), so nothing above the limit is missed. Documents are read once for
+each slab of the benchmark; all work on a document is in one task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +22,14 @@ from pyspark.sql import functions as F
 
 from trailspark.llm.common import keyed, same_document, stored, table
 
-SEED_WORDS = 4
-FILTER_BITS = 1 << 23  # 1 MB, whatever the size of the benchmark
+LEAST_WORDS = 4  # shorter items are not searched
+FILTER_BITS = 1 << 23
+SLAB_WORDS = 1_000_000  # of the benchmark, searched in one pass
+PIECE_WORDS = 4096  # of a document, searched at once; pieces overlap by the longest passage
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5  # of the score of a whole verbatim copy
 _WORD = re.compile(r"\w+")
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
 class WordHashes(dict):
@@ -40,15 +46,13 @@ def word_hashes(text: str | None, memory: WordHashes) -> np.ndarray:
     return np.array([memory[w] for w in _WORD.findall((text or "").lower())], dtype=np.uint64)
 
 
-def grams(words: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
-    """A hash of each run of n words, as signed longs."""
-    if len(words) < n:
-        return np.zeros(0, dtype=np.int64)
-    out = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = (out ^ (words[k : len(words) - n + 1 + k] * _FACTORS[k % 4])) * _FACTORS[(k + 1) % 4]
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word pairs one and two places apart, and the position of their first words."""
+    left, right = words * _FACTORS[0], words * _FACTORS[1]
+    left ^= left >> np.uint64(31)
+    found = np.concatenate([left[:-1] + right[1:], left[:-2] + right[2:]])
+    found ^= found >> np.uint64(29)
+    return found, np.concatenate([np.arange(len(left[:-1])), np.arange(len(left[:-2]))])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -69,118 +73,156 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def item_seeds(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
-    """item_id, words (hashes) and grams (their hash at each position); texts under n words have none."""
-    schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+class Index:
+    """The items of a slab, and where in them each word pair stands."""
+
+    def __init__(self, ids: list, items: list[np.ndarray], least_score: float, filter_bits: int) -> None:
+        self.ids, self.items, self.least_score = ids, items, least_score
+        length = np.array([len(i) for i in items], dtype=np.int64)
+        self.needed = np.array([max(1, ceil(least_score * n - 1 - 1e-9)) for n in length], dtype=np.int64)
+        # An alignment at the limit has at most 2 (1 - least_score) n gaps and (3 - 2 least_score) n words.
+        self.width = np.array([max(1, ceil(2 * (1 - least_score) * n)) for n in length], dtype=np.int64)
+        self.span = np.array([ceil((3 - 2 * least_score) * n) for n in length], dtype=np.int64)
+        every = [pairs(i) for i in items]
+        found = np.concatenate([g for g, _ in every])
+        order = np.argsort(found, kind="stable")
+        self.grams, self.first = np.unique(found[order], return_index=True)
+        self.last = np.append(self.first[1:], len(found))
+        self.item = np.repeat(np.arange(len(items)), [len(g) for g, _ in every])[order]
+        self.at = np.concatenate([p for _, p in every])[order]
+        self.bitmap = np.zeros(filter_bits, dtype=bool)
+        self.bitmap[(found % np.uint64(filter_bits)).astype(np.int64)] = True
+
+    def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, low, high): stretches of the words that hold every passage above the limit."""
+        found, pos = pairs(words)
+        hit = np.flatnonzero(self.bitmap[(found % np.uint64(len(self.bitmap))).astype(np.int64)])
+        least = self.needed.min()
+        if len(hit) < least:
+            return []
+        slot = np.minimum(np.searchsorted(self.grams, found[hit]), len(self.grams) - 1)
+        same = self.grams[slot] == found[hit]
+        slot, pos = slot[same], pos[hit[same]]
+        count = self.last[slot] - self.first[slot]
+        place = np.repeat(self.first[slot] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        item, at, pos = self.item[place], self.at[place], np.repeat(pos, count)
+        many = (np.bincount(item, minlength=len(self.items)) >= self.needed)[item]
+        item, at, pos = item[many], at[many], pos[many]
+        if not len(item):
+            return []
+        # The diagonals of one passage lie within the width: bins of two widths overlap by half.
+        low = (pos - at) // self.width[item]
+        least_low, kinds = int(low.min()), np.flatnonzero(np.bincount(item))
+        numbers = int(low.max()) - least_low + 2
+        key = np.searchsorted(kinds, item) * numbers + low - least_low
+        key, needed, enough = np.concatenate([key, key + 1]), np.repeat(self.needed[kinds], numbers), True
+        pos, at = np.tile(pos, 2), np.tile(at, 2)
+        many = (np.bincount(key, minlength=len(needed)) >= needed)[key]
+        key, pos, at = key[many], pos[many], at[many]
+        if not len(key):
+            return []
+        places = len(words) + int(at.max()) + 1
+        for place in (pos, at):
+            once = np.unique(key * places + place) // places
+            enough = enough & (np.bincount(once, minlength=len(needed)) >= needed)
+        bins = np.stack([kinds[np.flatnonzero(enough) // numbers], np.flatnonzero(enough) % numbers + least_low])
+        out: list[tuple[int, int, int]] = []
+        for item, number in bins.T.tolist():
+            start = max(0, (number - 1) * int(self.width[item]))
+            end = min(len(words), (number + 1) * int(self.width[item]) + len(self.items[item]))
+            if out and out[-1][0] == item and out[-1][2] >= start:
+                out[-1] = (item, out[-1][1], end)
+            else:
+                out.append((item, start, end))
+        return out
+
+    def found(self, words: np.ndarray, memory: dict) -> Iterator[tuple[int, float, int, int]]:
+        """(item, score, start, end) of the best passage of each candidate; equal stretches are aligned once."""
+        overlap = int(self.span.max())
+        step = max(PIECE_WORDS, 4 * overlap)
+        for base in range(0, max(1, len(words) - overlap), step):
+            piece = words[base : base + step + overlap]
+            for item, low, high in self.candidates(piece):
+                stretch = piece[low:high]
+                key = (item, stretch.tobytes())
+                if key not in memory:
+                    if len(memory) > 20_000:
+                        memory.clear()
+                    memory[key] = self.best(item, stretch)
+                score, start, end = memory[key]
+                if score >= self.least_score:
+                    yield item, score, base + low + start, base + low + end
+
+    def best(self, item: int, stretch: np.ndarray) -> tuple[float, int, int]:
+        wanted = self.items[item]
+        points, end = align(wanted, stretch)
+        score = points / (MATCH * len(wanted))
+        if score < self.least_score:
+            return score, 0, end
+        near = stretch[max(0, end - int(self.span[item])) : end]
+        return score, end - align(wanted[::-1], near[::-1])[1], end
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """item_id and words (hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            words = [word_hashes(t, memory) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["item_id"], pa.array([w.view(np.int64) for w in words], schema.types[1]), pa.array([grams(w, n) for w in words], schema.types[2])],
-                schema=schema,
-            )
+            words = pa.array([word_hashes(t, memory).view(np.int64) for t in batch["text"].to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["item_id"], words], names=["item_id", "words"])
 
     source = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return source.mapInArrow(run, "item_id long, words array<long>, grams array<long>")
-
-
-def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the seeds, packed in Spark; the driver sees at most ``bits`` / 64 words."""
-    slot = F.pmod("gram", F.lit(bits))
-    packed = seeds.select(F.floor(slot / 64).alias("at"), (slot % 64).cast("int").alias("bit")).distinct()
-    rows = packed.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).collect()
-    words = np.zeros(bits // 64, dtype=np.int64)
-    for row in rows:
-        words[row["at"]] = row["word"]
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    return source.mapInArrow(run, "item_id long, words array<long>")
 
 
-def passages(docs: DataFrame, bitmap: np.ndarray, reach: int, n: int = SEED_WORDS) -> DataFrame:
-    """doc_id, _key, start, words, seeds: parts of documents with possible seeds.
-
-    A part spans ``reach`` words around its seeds; ``seeds`` has (pos in the document, gram).
-    """
-    bits = len(bitmap)
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    hit = pa.struct([("pos", pa.int32()), ("gram", pa.int64())])
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("_key", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(hit)),
-    ])
+def passages(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, _key, item_id, score, start, end of the passages of ``docs`` that copy an item of the index."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, bitmap = WordHashes(), np.unpackbits(packed.value).view(bool)
+        hashes, index, memory = WordHashes(), shared.value, {}
         for batch in batches:
             out = []
             for doc, key, text in zip(batch["doc_id"].to_pylist(), batch["_key"].to_pylist(), batch["text"]):
-                words = word_hashes(text.as_py(), memory)
-                found = grams(words, n)
-                at = np.flatnonzero(bitmap[found % bits])
-                if not len(at):
-                    continue
-                for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1):
-                    low, high = max(0, int(group[0]) - reach), min(len(words), int(group[-1]) + n + reach)
-                    seeds = [{"pos": int(p), "gram": int(found[p])} for p in group]
-                    out.append((doc, key, low, words[low:high].view(np.int64), seeds))
-            columns = list(zip(*out)) or [()] * 5
+                for item, *passage in index.found(word_hashes(text.as_py(), hashes), memory):
+                    out.append((doc, key, index.ids[item], *passage))
+            columns = list(zip(*out)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    source = keyed(docs, "text")
-    return source.mapInArrow(run, "doc_id long, _key long, start int, words array<long>, seeds array<struct<pos int, gram long>>")
+    return keyed(docs, "text").mapInArrow(run, "doc_id long, _key long, item_id long, score double, start int, end int")
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, n: int = SEED_WORDS, filter_bits: int = FILTER_BITS,
+    docs: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, n: int = LEAST_WORDS, filter_bits: int = FILTER_BITS,
+    slab_words: int = SLAB_WORDS,
 ) -> DataFrame:
     """doc_id, _key, item_id, score, start, end: passages of documents that copy a test item.
 
     ``score`` is the alignment score over that of a whole copy, the best of the document and
-    item; the passage has the words start to end (excluded). Repeated rows give one result; an
-    item of several rows counts with each. Null and empty texts and items under ``n`` words
-    give none; a null item_id is one of its own.
+    item; the passage has the words start to end (excluded). Every document and item whose
+    alignment reaches ``least_score`` is found. Repeated rows give one result; an item of
+    several rows counts with each. Null and empty texts and items under ``n`` words give none;
+    a null item_id is one of its own. ``n * least_score`` has to be 2 or more: below that a
+    single word would reach the limit.
     """
-    seeds = stored(item_seeds(items, n).where(F.size("grams") > 0), "decontaminate-items")
-    spread = stored(seeds.select("item_id", F.size("words").alias("length"), F.posexplode("grams").alias("item_pos", "gram")), "decontaminate-seeds")
-    reach = seeds.agg(F.max(F.size("words"))).first()[0] or 0
-    parts = stored(passages(docs, seed_filter(spread, filter_bits), reach, n), "decontaminate-parts")
-    hits = parts.select("doc_id", "_key", "start", F.explode("seeds").alias("s")).select("doc_id", "_key", "start", "s.pos", "s.gram")
-    # Seeds of one copy lie on near diagonals: bins of the item's length, each seed in two.
-    placed = hits.join(spread, "gram").select(
-        "doc_id", "_key", "start", "item_id", "length", (F.col("pos") - F.col("item_pos")).alias("diagonal")
-    ).withColumn("bin", F.explode(F.array(F.expr("floor(diagonal / length)"), F.expr("floor(diagonal / length) + 1"))))
-    windows = placed.groupBy("doc_id", "_key", "start", "item_id", "length", "bin").agg(
-        F.min("diagonal").alias("low"), F.max("diagonal").alias("high")
-    ).select("doc_id", "_key", "start", "item_id", "low", "high").distinct()
-    named = windows.withColumnsRenamed({"doc_id": "w_doc", "_key": "w_key", "start": "w_start"})
-    cut = F.expr("greatest(0, low - start - cast(0.25 * size(item) AS int) - 2)")
-    pairs = (
-        named.join(parts.select("doc_id", "_key", "start", "words").distinct(),
-                   F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("_key") == F.col("w_key")) & (F.col("start") == F.col("w_start")))
-        .join(seeds.select(F.col("item_id").alias("i_id"), F.col("words").alias("item")), F.col("item_id").eqNullSafe(F.col("i_id")))
-        .withColumn("cut", cut)
-        .select(
-            "doc_id", "_key", "item_id", "item", (F.col("start") + F.col("cut")).alias("at"),
-            F.expr("slice(words, cut + 1, greatest(0, high - start - cut + cast(1.25 * size(item) AS int) + 2))").alias("words"),
-        )
-    )
-    schema = pa.schema([("doc_id", pa.int64()), ("_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores, starts, ends = [], [], []
-            for item, at, words in zip(batch["item"], batch["at"].to_pylist(), batch["words"]):
-                item, words = item.values.to_numpy(), words.values.to_numpy()
-                best, end = align(item, words)
-                score = best / (MATCH * len(item))
-                size = align(item[::-1], words[:end][::-1])[1] if score >= least_score else 0
-                scores.append(score)
-                starts.append(at + end - size)
-                ends.append(at + end)
-            kept = [batch["doc_id"], batch["_key"], batch["item_id"]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=schema)
-
-    scored = pairs.mapInArrow(run, "doc_id long, _key long, item_id long, score double, start int, end int").where(F.col("score") >= least_score)
+    if n * least_score < 2:
+        raise ValueError(f"items of {n} words reach the score {least_score} with a single word")
+    source = item_words(items).where(F.size("words") >= n).distinct()
+    source = stored(source, "decontaminate-items")
+    total = source.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    slabs = ceil(total / slab_words)
+    scored = None
+    for number in range(slabs):
+        slab = source.where(F.pmod(F.xxhash64("words"), F.lit(slabs)) == number).toArrow()
+        if not len(slab):
+            continue
+        words = [w.values.to_numpy().view(np.uint64) for w in slab["words"]]
+        found = passages(docs, Index(slab["item_id"].to_pylist(), words, least_score, filter_bits))
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = keyed(docs.limit(0)).selectExpr("doc_id", "_key", "0L AS item_id", "0D AS score", "0 AS start", "0 AS end")
     best = scored.groupBy("doc_id", "_key", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "end")).alias("b"))
     return best.select("doc_id", "_key", "item_id", "b.score", (-F.col("b.s")).alias("start"), "b.end")
 
