@@ -123,3 +123,21 @@ def test_query_rules_on_the_table(spark, sf_dir):
     for r in u.op10_url_filters(spark, sf_dir).collect():
         rule, kind = plain_rule(*plain(urls[r.page_id]))
         assert (r.host, r.path) == plain(urls[r.page_id]) and r.rule == rule and r.verdict in ([kind] if kind else ["allow", "block"])
+
+
+@pytest.mark.parametrize("sections", [16, 20])
+@pytest.mark.parametrize("rare", [0, 1])
+def test_small_sections_keep_their_own_verdict(spark, sections, rare):
+    urls = [f"http://h.org/sec{'abcdefghijklmnopqrst'[i % sections]}/{i}" for i in range(20 * sections)]
+    labels = [(i, rare if "seca" in url else 1 - rare) for i, url in enumerate(urls) if i < 15 * sections]
+    for r in u.judge_urls(*frame(spark, list(enumerate(urls)), labels)).collect():
+        assert r.verdict == ("allow" if (r.path.startswith("/seca/")) == bool(rare) else "block")
+
+
+@pytest.mark.parametrize("deep", [5, 6, 7, 12])
+def test_branches_part_at_any_level(spark, deep):
+    base = "http://h.org" + "/q" * deep
+    ends = ["/spam/x", "/good/x", "/good/y", "/good", "", "/good/x/v/w"]
+    rows = [(i, base + ends[i % 6]) for i in range(240)] + [(1000 + i, base + "/q" * (i % 5)) for i in range(50)]
+    found = u.judge_urls(*frame(spark, rows, [(i, int(i % 6 != 0)) for i in range(180)])).collect()
+    assert len(found) == len(rows) and {r.page_id for r in found if r.verdict == "block"} == set(range(0, 240, 6))

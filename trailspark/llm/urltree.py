@@ -1,9 +1,9 @@
 """URL filters: explicit rules first, then a tree of path templates per host.
 
 The tree is grown level by level from aggregated paths, never from single pages: segments that
-vary (numbers, names with digits, the long tail below a node) become wildcards, siblings whose
-labelled share does not differ from their node's are merged, and a template is judged by its
-labelled purity, smoothed towards its host's and that towards all pages'.
+vary (numbers, names with digits) become wildcards, siblings whose labelled share does not differ
+from their node's are merged, and a template is judged by its labelled purity, smoothed towards
+its host's and that towards all pages'. Levels run to the longest path whose labels are mixed.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 6  # segments looked at one by one; what follows is one wildcard
-FANOUT = 16  # a node with more children keeps those with at least 1/16 of its pages
+DEPTH = 6  # segments shown one by one; what follows is one wildcard but for branches that differ
+FANOUT = 16  # a node with more children merges those that do not differ under {*} if they have less than 1/16 of its pages
 Z_SQUARED = 4.0  # siblings within two standard errors of their node are merged
 SMOOTHING = 10.0  # labelled pages the next wider level counts for
 LEAST_PURITY = 0.5
@@ -51,24 +51,36 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def typed_path(path: Column, depth: int = DEPTH) -> Column:
+def typed_path(path: Column) -> Column:
     """The path with variable segments generalised by their form."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     kinds = F.transform(
-        F.slice(parts, 1, depth),
+        parts,
         lambda s: F.when(s.rlike("^[0-9]+$"), F.lit("{n}")).when(s.rlike("[0-9]"), F.lit("{s}")).otherwise(s),
     )
-    rest = F.when(F.size(parts) > depth, F.array(F.lit("{**}"))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(kinds, rest), "/")
+    return F.array_join(kinds, "/")
 
 
 def templates(paths: DataFrame, depth: int, fanout: int, z_squared: float) -> DataFrame:
-    """(host, typed, template, labelled, good) of ``paths`` (host, typed, pages, labelled, good)."""
+    """(host, typed, template, labelled, good) of ``paths`` (host, typed, pages, labelled, good).
+
+    Behind ``depth`` segments a template goes on with {**}. From there only branches whose
+    labels differ are named, the end of a path ({$}) being one too; nodes whose labels all
+    agree cannot part and are left.
+    """
     grown = stored(paths.withColumn("template", F.lit("")), "urltree-0")
+    settled = []
     keys = ["host", "template", "segment"]
     sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "good")]
-    for level in range(1, depth + 2):
+    length = F.size(F.split("typed", "/"))
+    level = 0
+    while True:
+        level += 1
         segment = F.get(F.split("typed", "/"), F.lit(level - 1))
+        if level == depth + 1:
+            grown = grown.withColumn("template", F.when((F.col("typed") != "") & (length > depth), F.concat("template", F.lit("/{**}"))).otherwise(F.col("template")))
+        elif level > depth:
+            segment = F.when(length == level - 1, F.lit("{$}")).otherwise(segment)
         here = grown.withColumn("segment", F.when(F.col("typed") != "", segment))
         children = here.where("segment IS NOT NULL").groupBy(*keys).agg(*sums)
         nodes = children.groupBy("host", "template").agg(
@@ -76,19 +88,33 @@ def templates(paths: DataFrame, depth: int, fanout: int, z_squared: float) -> Da
         )
         gap = (F.col("good") * F.col("all_labelled") - F.col("labelled") * F.col("all_good")).cast("double")
         spread = F.lit(z_squared) * F.col("labelled") * F.col("all_good") * (F.col("all_labelled") - F.col("all_good"))
-        branch = (
-            F.when((F.col("branches") > fanout) & (F.col("pages") * fanout < F.col("all_pages")), F.lit("{*}"))
-            .when((F.col("branches") > 1) & (gap * gap <= spread), F.lit("{~}"))
-            .otherwise(F.col("segment"))
-        )
+        alike = gap * gap <= spread
+        if level <= depth:
+            branch = (
+                F.when((F.col("branches") > fanout) & (F.col("pages") * fanout < F.col("all_pages")) & alike, F.lit("{*}"))
+                .when((F.col("branches") > 1) & alike, F.lit("{~}"))
+                .otherwise(F.col("segment"))
+            )
+        else:
+            branch = F.when((F.col("branches") > 1) & ~alike, F.col("segment"))
         named = children.join(nodes, ["host", "template"]).select(*keys, branch.alias("branch"))
         grown = here.join(named, keys, "left").select(
             "host", "typed", "pages", "labelled", "good",
             F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template"),
         )
         grown = stored(grown, f"urltree-{level}")
-        if grown.where(F.size(F.split("typed", "/")) > level).isEmpty():
+        if level <= depth:
+            if grown.where(length > level).isEmpty():
+                break
+            continue
+        mixed = grown.where(length >= level).groupBy("host", "template").agg(*sums[1:], F.max(length).alias("longest"))
+        mixed = mixed.where(f"good > 0 AND good < labelled AND longest > {level}").select("host", "template")
+        if mixed.isEmpty():
             break
+        settled.append(grown.join(mixed, ["host", "template"], "left_anti"))
+        grown = grown.join(mixed, ["host", "template"], "left_semi")
+    for part in settled:
+        grown = grown.unionByName(part)
     return grown.select("host", "typed", "template", "labelled", "good")
 
 
@@ -105,7 +131,7 @@ def judge_urls(
     """
     name, verdict = rule_columns(rules)
     judged = with_host_path(pages.select(F.col("page_id").cast("long").alias("page_id"), "url")).select(
-        "page_id", "host", "path", name.alias("rule"), verdict.alias("said"), typed_path(F.col("path"), depth).alias("typed")
+        "page_id", "host", "path", name.alias("rule"), verdict.alias("said"), typed_path(F.col("path")).alias("typed")
     )
     known = labels.where("good IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.min("good").cast("long").alias("good"))
     paths = judged.select("page_id", "host", "typed").join(known, "page_id", "left").groupBy("host", "typed").agg(
