@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from trailspark.llm import (
-    bestfit, chat, classifier, decontaminate, licenses, linededup, merkle, pii, rules, simhash, urltree,
+    bestfit, chat, classifier, collocations, decontaminate, licenses, linededup, merkle, pii, repair, rules, simhash, urltree,
 )
 
 QUERIES = {
@@ -18,9 +18,14 @@ QUERIES = {
     "op8_best_fit_packing": bestfit.op8_best_fit_packing,
     "op9_document_fingerprints": merkle.op9_document_fingerprints,
     "op10_url_filters": urltree.op10_url_filters,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
     "op13_quality_rules": rules.op13_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
 #: The others hold a permutation by key, a fitted model, graph components, alignments, 64-bit
 #: hashes or a search that depends on its own results: tests/llm compares them with brute force.
-ORACLES = {"op5_chat_formatting": chat.OP5_SQL, "op13_quality_rules": rules.OP13_SQL}
+ORACLES = {
+    "op5_chat_formatting": chat.OP5_SQL, "op12_phrase_collocations": collocations.OP12_SQL,
+    "op13_quality_rules": rules.OP13_SQL,
+}
