@@ -4,11 +4,12 @@ Each word starts one window of up to ``LONGEST`` words, padded where its piece e
 windows are counted; ``ROLLUP`` over their columns sums them for successively shorter prefixes,
 which gives the count of every phrase of every length, and of all words, from one table.
 
-A window that holds a rare pair need not go on past it: no phrase across the pair can be frequent.
-A first pass adds up the pairs of the whole corpus in ``BUCKETS`` hashed counters. A counter is
-never below the count of a pair in it, so cutting windows at pairs whose counter stays under
-the limit loses nothing. The counters have one fixed size, as has what is broadcast of them: a
-bit each. The more pairs share a counter, the fewer windows are cut; the result is the same.
+A window need not go on past a rare pair or triple: no phrase with it inside can be frequent. A
+first pass adds up the words, pairs and triples of the whole corpus in ``BUCKETS`` hashed
+counters. A counter is never below the count of a phrase in it, so cutting windows where a
+counter stays under the limit loses nothing. The counters have one fixed size, as has what is
+broadcast of them: a bit each. The more phrases share a counter, the fewer windows are cut; the
+result is the same. Rare words are counted together, without name, as they only add to all words.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ LEAST_COUNT = 100
 SHARE = 100  # percent: a phrase goes if a longer one with its words is as frequent as this share of it
 TOP = 2000
 NO_LANG = "und"
-BUCKETS = 1 << 24
+BUCKETS = 1 << 26
 PART = 1 << 16  # counters in one row
+DEPTH = 3  # words in the longest phrases that are looked up in the counters
 TOKENS = 1 << 20  # words a task counts together
 SEGMENT = 1 << 22  # bytes of a text that are split into words at once
 
@@ -70,15 +72,19 @@ class Counted:
         self.ids += [number.setdefault(w, len(number)) for w in words]
         self.ids.append(0)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The numbers, whether each is followed by a word of its piece, and the pairs' counters."""
+    def grams(self, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The numbers; for 1 to ``depth`` words from each place on, whether they lie in one piece, and their counter."""
         ids = np.array(self.ids, dtype=np.int64)
         seed = xxhash.xxh32_intdigest(self.lang)
         codes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.number], dtype=np.uint64)[ids]
-        inside = np.r_[(ids[:-1] > 0) & (ids[1:] > 0), False]
-        mixed = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        return ids, inside, np.r_[mixed >> np.uint64(64 - BUCKETS.bit_length() + 1), np.uint64(0)].astype(np.int64)
+        inside, mixed, out = ids > 0, codes, []
+        for size in range(1, depth + 1):
+            if size > 1:
+                n = len(ids) - size + 1
+                inside, mixed = inside[:n] & (ids[size - 1 :] > 0), mixed[:n] * np.uint64(0x9E3779B97F4A7C15) + codes[size - 1 :]
+                mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((inside, (mixed >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)))
+        return ids, out
 
 
 def chunks(batches: Iterator[pa.RecordBatch], keep: int, tokens: int = TOKENS) -> Iterator[tuple[Counted, int]]:
@@ -105,59 +111,68 @@ def chunks(batches: Iterator[pa.RecordBatch], keep: int, tokens: int = TOKENS) -
         yield part, len(part.ids)
 
 
-def pair_bits(texts: DataFrame, least: int) -> np.ndarray:
-    """A bit for each counter: whether the pairs in it come ``least`` times together (255 at most)."""
+def frequent_bits(texts: DataFrame, least: int, depth: int = DEPTH) -> np.ndarray:
+    """A bit for each counter: whether the phrases in it come ``least`` times together (255 at most)."""
     most = min(least, 255)
+    schema = pa.schema([("part", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(BUCKETS, dtype=np.uint8)
-        for part, starts in chunks(batches, 1):
-            _, inside, at = part.pairs()
-            found, n = np.unique(at[:starts][inside[:starts]], return_counts=True)
-            counters[found] = np.minimum(counters[found] + n, most)
+        for part, starts in chunks(batches, depth - 1):
+            for inside, at in part.grams(depth)[1]:
+                found, n = np.unique(at[:starts][inside[:starts]], return_counts=True)
+                counters[found] = np.minimum(counters[found] + n, most)
         for number in range(BUCKETS // PART):
             own = counters[number * PART : (number + 1) * PART]
-            if own.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "bits": pa.array([own.tobytes()], pa.binary())})
+            places = np.flatnonzero(own)
+            if len(places):
+                yield pa.RecordBatch.from_pydict(
+                    {"part": [number], "places": [places.astype(np.uint16).tobytes()], "counts": [own[places].tobytes()]}, schema=schema
+                )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for number, value in zip(batch["part"].to_pylist(), batch["bits"]):
-                own = np.frombuffer(value.as_py(), dtype=np.uint8).astype(np.uint16)
-                sums[number] = np.minimum(sums.get(number, np.uint16(0)) + own, most)
+            for number, places, counts in zip(*[column.to_pylist() for column in batch.columns]):
+                own = sums.setdefault(number, np.zeros(PART, dtype=np.uint16))
+                places = np.frombuffer(places, dtype=np.uint16)
+                own[places] = np.minimum(own[places] + np.frombuffer(counts, dtype=np.uint8), most)
         for number, own in sums.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(own >= most).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "bits": [np.packbits(own >= most).tobytes()]})
 
     bits = np.zeros((BUCKETS // PART, PART // 8), dtype=np.uint8)
-    counted = texts.mapInArrow(count, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary")
-    for row in counted.collect():  # BUCKETS bits at any size of the corpus
+    counted = texts.mapInArrow(count, "part int, places binary, counts binary").repartition("part").mapInArrow(merge, "part int, bits binary")
+    for row in counted.toLocalIterator():  # BUCKETS bits at any size of the corpus
         bits[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return bits.reshape(-1)
 
 
-def longest_windows(part: Counted, starts: int, bits: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different windows (numbers of words, 0 where padded) that start here, and how often each comes."""
-    ids, inside, at = part.pairs()
-    goes_on = inside & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+def longest_windows(part: Counted, starts: int, bits: np.ndarray, longest: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The different windows (numbers of words, 0 where padded) that start here, and how often each comes.
+
+    The window of a rare word is all padding.
+    """
+    ids, grams = part.grams(min(depth, longest))
+    fits = []
+    for inside, at in grams:
+        whole = np.zeros(len(ids), dtype=bool)
+        whole[: len(at)] = inside & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        fits.append(whole)
     begin = np.flatnonzero(ids[:starts] > 0)
-    alone = ~goes_on[begin]
-    single = np.bincount(ids[begin[alone]], minlength=1)
-    words = np.flatnonzero(single)
-    begin = begin[~alone]
+    known = fits[0][begin]
+    rare, begin = int((~known).sum()), begin[known]
     columns, open_ = [ids[begin]], np.ones(len(begin), dtype=bool)
     for k in range(1, longest):
-        place = np.minimum(begin + k, len(ids) - 1)
-        open_ = open_ & goes_on[np.minimum(place - 1, len(ids) - 1)] & (begin + k < len(ids))
+        size = min(k + 1, len(fits))
+        place = np.minimum(begin + k, len(ids) - 1)  # a gram that would reach past the end does not fit
+        open_ = open_ & fits[size - 1][np.minimum(begin + k + 1 - size, len(ids) - 1)]
         columns.append(np.where(open_, ids[place], 0))
     key = columns[0]
     for column in columns[1:]:
         _, key = np.unique(key * len(part.number) + column, return_inverse=True)
     _, first, n = np.unique(key, return_index=True, return_counts=True)
-    rows = np.stack([c[first] for c in columns]) if len(begin) else np.zeros((longest, 0), dtype=np.int64)
-    padded = np.zeros((longest, len(words)), dtype=np.int64)
-    padded[0] = words
-    return np.hstack([padded, rows]), np.r_[single[words], n[: rows.shape[1]]]
+    rows = np.stack([column[first] for column in columns])
+    return (np.hstack([rows, np.zeros((longest, 1), dtype=np.int64)]), np.r_[n, rare]) if rare else (rows, n)
 
 
 def windows(texts: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
@@ -188,7 +203,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("bytes"))
     names = [f"w{k + 1}" for k in range(longest)]
-    padded = windows(texts, pair_bits(texts, least), longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    padded = windows(texts, frequent_bits(texts, least), longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     sums = padded.rollup("lang", *names).agg(F.sum("n").alias("a"), F.grouping_id().alias("level"))
     size = F.lit(longest).cast("long") - F.bit_count("level")
     kept = sums.where(f"a >= {least} OR level = {(1 << longest) - 1}").select("lang", size.cast("int").alias("size"), *names, "a")
