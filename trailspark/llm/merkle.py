@@ -1,8 +1,12 @@
-"""Document fingerprints: a Merkle tree of sections (between blank lines) and paragraphs (lines).
-
-The root tells equal texts from unequal ones. Below the paragraphs, leaves of up to four words
-that end with a sentence show how much of two texts is the same and where they differ: they do
-not move when a text changes elsewhere. Everything is built of SQL functions.
+"""Document fingerprints: a Merkle tree of sections (between blank lines), paragraphs (lines) and leaves.
+
+A leaf is up to four words that end with a sentence, so that leaves do not move when a text
+changes elsewhere; of short lines, whose words are few, it is two neighbouring characters. The
+fingerprint is the tree as a text: the root, below it the hash of each section, below that the
+hash of each paragraph and its leaves. Two fingerprints are compared from the root down: nodes of
+equal hash are alike with all below them, and only nodes that differ are descended into. Equal
+nodes are matched as often as they come. A node's hash holds the order of its children, so what
+is moved leaves its parent unlike. Everything is built of SQL functions.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from trailspark.llm.common import NO_ID, keyed, stored, table
 
 #: Up to three words without a sentence end, then one word; never over a line break.
 LEAF = r"(?:\S*[^\s.!?][ \t\x0B\f\r]+){0,3}\S+"
+SHORT = 24  # characters of a line up to which leaves are pairs of characters
+_ROOT, _NODE, _LEAF_DIGITS = 32, 16, 8
 
 
 def paragraph_hashes(section: Column) -> Column:
@@ -28,23 +34,106 @@ def root_hash(text: Column) -> Column:
     return F.sha2(F.concat_ws(",", section_hashes(text)), 256)
 
 
-def leaves(text: Column) -> Column:
-    """The distinct leaf hashes, in order of first appearance."""
-    words = F.regexp_extract_all(text, F.lit(LEAF), F.lit(0))
-    return F.array_distinct(F.transform(words, lambda leaf: F.hash(leaf)))
+def leaf_digits(line: Column) -> Column:
+    """The leaf hashes of a paragraph in hex, eight digits each."""
+    pairs = F.when(F.char_length(line) < 2, F.filter(F.array(line), lambda x: x != "")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.char_length(line) - 1), lambda i: F.substring(line, i, F.lit(2)))
+    )
+    words = F.when(F.char_length(line) <= SHORT, pairs).otherwise(F.regexp_extract_all(line, F.lit(LEAF), F.lit(0)))
+    return F.array_join(F.transform(words, lambda w: F.lpad(F.lower(F.hex(F.hash(w).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), _LEAF_DIGITS, "0")), "")
+
+
+def fingerprint(text: Column) -> Column:
+    """``root:section/section``; a section is ``hash=paragraph;paragraph``, a paragraph ``hash`` and its leaves.
+
+    Equal for equal texts only: the root is 128 bits over everything.
+    """
+    def paragraph(line: Column) -> Column:
+        return F.concat(F.substring(F.sha2(line, 256), 1, _NODE), leaf_digits(line))
+
+    def section(part: Column) -> Column:
+        below = F.array_join(F.transform(F.split(part, "\n", -1), paragraph), ";")
+        return F.concat(F.substring(F.sha2(F.concat_ws(",", paragraph_hashes(part)), 256), 1, _NODE), F.lit("="), below)
+
+    sections = F.array_join(F.transform(F.split(text, "\n\n", -1), section), "/")
+    return F.concat(F.substring(root_hash(text), 1, _ROOT), F.lit(":"), sections)
+
+
+def _sections(print_: Column) -> Column:
+    return F.split(F.substring(print_, _ROOT + 2, 1 << 30), "/", -1)
+
+
+def _children(nodes: Column, of) -> Column:
+    """What is below the nodes; the number of a repeated node is taken off first."""
+    return F.flatten(F.transform(nodes, lambda node: of(F.substring_index(node, "#", 1))))
+
 
+def _paragraphs(section: Column) -> Column:
+    return F.split(F.substring(section, _NODE + 2, 1 << 30), ";", -1)
 
-def fingerprint(root: Column, leaf_hashes: Column) -> Column:
-    """The root's first 128 bits and the leaves, in hex: equal for equal texts only."""
-    digits = F.transform(leaf_hashes, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
-    return F.concat(F.substring(root, 1, 32), F.lit(":"), F.array_join(digits, ""))
 
+def _leaves(paragraph: Column) -> Column:
+    return F.regexp_extract_all(F.substring(paragraph, _NODE + 1, 1 << 30), F.lit(f".{{{_LEAF_DIGITS}}}"), F.lit(0))
 
-def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    """1 for equal roots; else twice the shared leaves over all leaves, below 1; 0 without leaves."""
-    total = F.size(leaves_a) + F.size(leaves_b)
-    shared = 2.0 * F.size(F.array_intersect(leaves_a, leaves_b)) / total
-    return F.when(root_a == root_b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(shared)
+
+def _begins(ordered: str) -> Column:
+    """Where in a sorted column each run of equal nodes begins."""
+    nodes = F.col(ordered)
+    return F.filter(F.sequence(F.lit(0), F.size(nodes) - 1), lambda i: (i == 0) | (F.get(nodes, i) != F.get(nodes, i - 1)))
+
+
+def _numbered(ordered: str, begins: str) -> Column:
+    """The nodes of a sorted column, the second and later equal ones with their number, so that all are different."""
+    nodes, starts = F.col(ordered), F.col(begins)
+
+    def run(at: Column, k: Column) -> Column:
+        copies = F.sequence(F.lit(1), F.coalesce(F.get(starts, k + 1), F.size(nodes)) - at)
+        return F.transform(copies, lambda n: F.when(n == 1, F.get(nodes, at)).otherwise(F.concat(F.get(nodes, at), F.lit("#"), n.cast("string"))))
+
+    return F.flatten(F.transform(starts, run))
+
+
+def with_unlike(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds ``name``_unlike, how many nodes of both fingerprints have no equal in the other, and ``name``_edited.
+
+    The second is the number of paragraphs of ``b`` without an equal. Descends from unequal roots;
+    only a level with repeated nodes is sorted.
+    """
+    left, right = f"_{name}_a", f"_{name}_b"
+    nodes = {left: _sections(F.col(a)), right: _sections(F.col(b))}
+    unlike = F.lit(2)
+    for below in (_paragraphs, _leaves, None):
+        df = df.withColumns({x: F.when(F.col(a) != F.col(b), nodes[x]).otherwise(F.array().cast("array<string>")) for x in nodes})
+        df = df.withColumns({f"{x}_sorted": F.when(F.size(F.array_distinct(x)) < F.size(x), F.sort_array(x)) for x in nodes})
+        df = df.withColumns({f"{x}_begins": _begins(f"{x}_sorted") for x in nodes})
+        df = df.withColumns({f"{x}_own": F.coalesce(_numbered(f"{x}_sorted", f"{x}_begins"), x) for x in nodes})
+        df = df.withColumns({left: F.array_except(f"{left}_own", f"{right}_own"), right: F.array_except(f"{right}_own", f"{left}_own")})
+        counts = {f"{name}_n": F.size(left) + F.size(right)}
+        if below is _leaves:
+            counts[f"{name}_edited"] = F.size(right).cast("long")
+        if below:
+            nodes = {x: _children(F.col(x), below) for x in nodes}
+        level = {_paragraphs: "sections", _leaves: "paragraphs", None: "leaves"}[below]
+        df = df.withColumns({k if k.endswith("edited") else f"{k}_{level}": v for k, v in counts.items()})
+        df = df.drop(*[f"{x}_{part}" for x in nodes for part in ("sorted", "begins", "own")])
+        unlike = unlike + F.col(f"{name}_n_{level}")
+    df = df.withColumn(f"{name}_unlike", F.when(F.col(a) == F.col(b), F.lit(0)).otherwise(unlike).cast("long"))
+    return df.drop(left, right, *[f"{name}_n_{level}" for level in ("sections", "paragraphs", "leaves")])
+
+
+def n_nodes(print_: Column) -> Column:
+    """Nodes of the tree: the root, sections, paragraphs and leaves; what is no mark and no hash is leaves."""
+    length = F.char_length(print_)
+    sections = F.size(_sections(print_))
+    paragraphs = sections + length - F.char_length(F.translate(print_, ";", ""))
+    # A root and its mark; a hash, "=" and, but for the first, "/" a section; a hash and, but for a section's first, ";" a paragraph.
+    digits = length - (_ROOT + 1) - (sections * (_NODE + 2) - 1) - (paragraphs * (_NODE + 1) - sections)
+    return (1 + sections + paragraphs + digits / _LEAF_DIGITS).cast("long")
+
+
+def likeness(a: str, b: str, unlike: str) -> Column:
+    """The share of both trees' nodes that are alike: 1 for equal roots only, 0 if none is."""
+    return F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(1.0 - F.col(unlike) / (n_nodes(F.col(a)) + n_nodes(F.col(b))))
 
 
 def tree_nodes(docs: DataFrame) -> DataFrame:
@@ -100,13 +189,26 @@ def successors(docs: DataFrame) -> DataFrame:
     return following.select("doc_id", "_key", "n", F.col("_next.doc_id").alias("next_id"), F.col("_next._key").alias("next_key"))
 
 
+def first_edit(a: Column, b: Column) -> Column:
+    """Where two fingerprints first differ in order, ``section.paragraph`` from 0; null if they are equal."""
+    def first(x: Column, y: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
+        return F.get(F.filter(at, lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))), F.lit(0))
+
+    section = first(_sections(a), _sections(b))
+    here = [F.coalesce(_paragraphs(F.get(_sections(x), section)), F.array().cast("array<string>")) for x in (a, b)]
+    return F.when(a != b, F.concat_ws(".", section, first(*here)))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, first_edit, edited_paragraphs.
 
     The edited text is the document with its last half replaced by the beginning of the next
-    document. Null texts are empty; rows that repeat id and text are one document; a null
-    doc_id counts as the least; equal ids with unequal texts follow each other in a fixed
-    order. A single document is its own successor. No rows give no rows.
+    document. ``first_edit`` is the first branch that differs, ``edited_paragraphs`` how many
+    paragraphs of the edited text the document has not. Null texts are empty; rows that repeat
+    id and text are one document; a null doc_id counts as the least; equal ids with unequal
+    texts follow each other in a fixed order. A single document is its own successor. No rows
+    give no rows.
     """
     text = F.coalesce("text", F.lit(""))
     # Ids without nulls: one exchange of the texts then serves the repeats and both joins.
@@ -118,23 +220,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.expr("cast(n div 2 AS int)").alias("taken"), F.expr("cast(n - n div 2 AS int)").alias("left_over"),
     )
     shipped = whole.join(to, (F.col("doc_id") == F.col("next_id")) & (F.col("_key") == F.col("next_key"))).select(
-        "to_id", "to_key", "left_over", F.expr("left(text, taken)").alias("head"),
-        root_hash(F.col("text")).alias("next_root"), leaves(F.col("text")).alias("next_leaves"),
+        "to_id", "to_key", "left_over", F.expr("left(text, taken)").alias("head"), fingerprint(F.col("text")).alias("next_print"),
     )
     both = whole.join(shipped, (F.col("doc_id") == F.col("to_id")) & (F.col("_key") == F.col("to_key"))).select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.concat(F.expr("left(text, left_over)"), F.col("head")).alias("edited"), "next_root", "next_leaves",
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.concat(F.expr("left(text, left_over)"), F.col("head")).alias("edited"), "next_print",
     )
-    trees = both.select(
+    prints = both.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        root_hash(F.col("text")).alias("root"), leaves(F.col("text")).alias("own"),
-        root_hash(F.col("edited")).alias("edited_root"), leaves(F.col("edited")).alias("edited_leaves"), "next_root", "next_leaves",
+        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print",
     )
-    own = (F.col("root"), F.col("own"))
-    return trees.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(*own).alias("fingerprint"),
-        fingerprint(F.col("edited_root"), F.col("edited_leaves")).alias("edited_fingerprint"),
-        likeness(*own, F.col("edited_root"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(*own, F.col("next_root"), F.col("next_leaves")).alias("near_next"),
+    compared = with_unlike(with_unlike(prints, "fingerprint", "edited_fingerprint", "edit"), "fingerprint", "next_print", "next")
+    return compared.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("fingerprint", "edited_fingerprint", "edit_unlike").alias("near_edited"), likeness("fingerprint", "next_print", "next_unlike").alias("near_next"),
+        first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"), F.col("edit_edited").alias("edited_paragraphs"),
     )
 
 
