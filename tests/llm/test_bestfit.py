@@ -5,6 +5,7 @@ import pytest
 from llm_cases import ODD, documents
 
 from trailspark.llm import bestfit as b
+from trailspark.llm import simhash
 
 
 def plain_pack(sizes, sources, groups, capacity):
@@ -58,3 +59,29 @@ def test_every_word_is_packed_once(spark, block_rows):
 
 def test_no_documents(spark):
     assert b.pack_documents(documents(spark, ODD).limit(0)).count() == 0
+
+
+def apart(pieces, component):
+    held = defaultdict(list)
+    for p in pieces:
+        held[p.bin_id].append(component[p.doc_id])
+    return all(len(set(own)) == len(own) for own in held.values())
+
+
+def test_near_copies_never_share_a_bin(spark):
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join([*base[: 20 * i], f"other{i}", *base[20 * i + 1 :]]), "en", f"s{i}") for i in range(16)]
+    rows += [(100 + i, " ".join(rng.choices("abcdefghij", k=rng.randint(5, 500))), "en", f"t{i}") for i in range(60)] + ODD
+    docs = documents(spark, rows, extra=True)
+    clusters = simhash.near_duplicates(docs)
+    component = {r.doc_id: r.component_id for r in clusters.collect() if r.doc_id is not None}
+    assert Counter(component[i] for i in range(16)).most_common(1)[0][1] >= 8
+    pieces = [p for p in b.pack_documents(docs, clusters=clusters).collect() if p.doc_id is not None]
+    assert apart(pieces, component) and not apart([p for p in b.pack_documents(docs).collect() if p.doc_id is not None], component)
+
+
+def test_query_keeps_clusters_apart(spark, sf_dir):
+    found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    assert len({r.component_id for r in found}) < len(found)
+    assert apart(b.op8_best_fit_packing(spark, sf_dir).collect(), {r.doc_id: r.component_id for r in found})

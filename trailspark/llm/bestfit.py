@@ -1,6 +1,7 @@
 """Best-fit packing: documents are laid into bins of a fixed number of tokens.
 
-A bin never holds two pieces of one source or of one group of copies. Pieces are dealt at random
+A bin never holds two pieces of one source or of one duplicate cluster; the query takes the
+clusters from the near-duplicate operator. Pieces are dealt at random
 into blocks of bounded size; in a block they go by falling size to the tightest bin that fits
 and does not conflict: bins are ordered by what is left in them and carry bitmaps of sources
 and groups, and the search walks up from the piece's size.
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailspark.llm import simhash
 from trailspark.llm.common import keyed, stored, table
 
 CAPACITY = 2048
@@ -72,18 +74,27 @@ def pack(sizes: list[int], sources: list, groups: list, capacity: int) -> list[t
     return placed
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, group: Column | None = None) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, group: Column | None = None, clusters: DataFrame | None = None
+) -> DataFrame:
     """doc_id, source, piece, start, n_tokens, bin_id, bin_offset of every piece of every document.
 
     Tokens are words between white space. A document longer than a bin is cut into full
     pieces, each a bin of its own, and a rest, which is packed. Null and empty texts have no
-    piece. Rows that repeat id and text are one document; a null source is one source; ``group``
-    names copies (by default texts alike but for case, spacing and punctuation).
+    piece. Rows that repeat id and text are one document; a null source is one source. Copies
+    are documents of one cluster by ``clusters`` (doc_id, _key, component_id), where a document
+    without a component is alone, or else by ``group``, by default texts alike but for case,
+    spacing and punctuation.
     """
-    group = copy_group(F.col("text")) if group is None else group
+    group = F.lit(0).cast("long") if clusters is not None else copy_group(F.col("text")) if group is None else group
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long")
     listed = keyed(docs, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), tokens.alias("tokens"), group.alias("copies"))
-    listed = stored(listed.where("tokens > 0").groupBy("doc_id", "_key").agg(*[F.min(c).alias(c) for c in ("source", "tokens", "copies")]), "bestfit-sizes")
+    listed = listed.where("tokens > 0").groupBy("doc_id", "_key").agg(*[F.min(c).alias(c) for c in ("source", "tokens", "copies")])
+    if clusters is not None:
+        known = clusters.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_own")).agg(F.min("component_id").alias("component"))
+        listed = listed.join(known, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_own")), "left")
+        listed = listed.select("doc_id", "_key", "source", "tokens", F.coalesce("component", "_key").alias("copies"))
+    listed = stored(listed, "bestfit-sizes")
     full = listed.where(F.col("tokens") >= capacity).select(
         "doc_id", "_key", "source", F.explode(F.sequence(F.lit(0), F.expr(f"cast(tokens div {capacity} AS int) - 1"))).alias("piece")
     ).select(
@@ -111,4 +122,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block_rows: int =
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, clusters=simhash.near_duplicates(docs))
