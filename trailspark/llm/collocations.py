@@ -5,15 +5,16 @@ windows are counted; ``ROLLUP`` over their columns sums them for successively sh
 which gives the count of every phrase of every length, and of all words, from one table.
 
 A window need not go on past a rare pair or triple: no phrase with it inside can be frequent. A
-first pass adds up the words, pairs and triples of the whole corpus in ``BUCKETS`` hashed
-counters. A counter is never below the count of a phrase in it, so cutting windows where a
-counter stays under the limit loses nothing. The counters have one fixed size, as has what is
-broadcast of them: a bit each. The more phrases share a counter, the fewer windows are cut; the
-result is the same. Rare words are counted together, without name, as they only add to all words.
+first pass adds up the pairs and triples of the whole corpus in ``BUCKETS`` hashed counters. A
+counter is never below the count of a phrase in it, so cutting windows where a counter stays
+under the limit loses nothing. The counters have one fixed size, as has what is broadcast of
+them: a bit each. The more phrases share a counter, the fewer windows are cut; the result is the
+same. A window always has its first word, so the table also holds the count of every word.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
@@ -33,7 +34,7 @@ NO_LANG = "und"
 BUCKETS = 1 << 26
 PART = 1 << 16  # counters in one row
 DEPTH = 3  # words in the longest phrases that are looked up in the counters
-TOKENS = 1 << 20  # words a task counts together
+TOKENS = 1 << 21  # words a task counts together
 SEGMENT = 1 << 22  # bytes of a text that are split into words at once
 
 _STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -65,25 +66,24 @@ class Counted:
     """Words of one language as numbers; 0 stands between pieces and texts."""
 
     def __init__(self, lang: str):
-        self.lang, self.number, self.ids = lang, {b".": 0}, []
+        self.lang, self.number, self.ids = lang, {b".": 0}, array("i")
 
     def add(self, words: list[bytes]) -> None:
         number = self.number
-        self.ids += [number.setdefault(w, len(number)) for w in words]
+        self.ids.extend([number.setdefault(w, len(number)) for w in words])
         self.ids.append(0)
 
     def grams(self, depth: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """The numbers; for 1 to ``depth`` words from each place on, whether they lie in one piece, and their counter."""
-        ids = np.array(self.ids, dtype=np.int64)
+        """The numbers; for 2 to ``depth`` words from each place on, whether they lie in one piece, and their counter."""
+        ids = np.array(self.ids, dtype=np.int32)
         seed = xxhash.xxh32_intdigest(self.lang)
         codes = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.number], dtype=np.uint64)[ids]
         inside, mixed, out = ids > 0, codes, []
-        for size in range(1, depth + 1):
-            if size > 1:
-                n = len(ids) - size + 1
-                inside, mixed = inside[:n] & (ids[size - 1 :] > 0), mixed[:n] * np.uint64(0x9E3779B97F4A7C15) + codes[size - 1 :]
-                mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append((inside, (mixed >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)))
+        for size in range(2, depth + 1):
+            n = max(0, len(ids) - size + 1)
+            inside, mixed = inside[:n] & (ids[size - 1 :] > 0), mixed[:n] * np.uint64(0x9E3779B97F4A7C15) + codes[size - 1 :]
+            mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((inside, (mixed >> np.uint64(65 - BUCKETS.bit_length())).astype(np.uint32)))
         return ids, out
 
 
@@ -148,10 +148,7 @@ def frequent_bits(texts: DataFrame, least: int, depth: int = DEPTH) -> np.ndarra
 
 
 def longest_windows(part: Counted, starts: int, bits: np.ndarray, longest: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The different windows (numbers of words, 0 where padded) that start here, and how often each comes.
-
-    The window of a rare word is all padding.
-    """
+    """The different windows (numbers of words, 0 where padded) that start here, and how often each comes."""
     ids, grams = part.grams(min(depth, longest))
     fits = []
     for inside, at in grams:
@@ -159,20 +156,23 @@ def longest_windows(part: Counted, starts: int, bits: np.ndarray, longest: int,
         whole[: len(at)] = inside & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         fits.append(whole)
     begin = np.flatnonzero(ids[:starts] > 0)
-    known = fits[0][begin]
-    rare, begin = int((~known).sum()), begin[known]
-    columns, open_ = [ids[begin]], np.ones(len(begin), dtype=bool)
+    goes_on = fits[0][begin]
+    single = np.bincount(ids[begin[~goes_on]], minlength=1)
+    words = np.flatnonzero(single)
+    begin = begin[goes_on]
+    columns, open_ = [ids[begin].astype(np.int64)], np.ones(len(begin), dtype=bool)
     for k in range(1, longest):
-        size = min(k + 1, len(fits))
+        size = min(k + 1, len(fits) + 1)
         place = np.minimum(begin + k, len(ids) - 1)  # a gram that would reach past the end does not fit
-        open_ = open_ & fits[size - 1][np.minimum(begin + k + 1 - size, len(ids) - 1)]
-        columns.append(np.where(open_, ids[place], 0))
+        open_ = open_ & fits[size - 2][np.minimum(begin + k + 1 - size, len(ids) - 1)]
+        columns.append(np.where(open_, ids[place], 0).astype(np.int64))
     key = columns[0]
     for column in columns[1:]:
         _, key = np.unique(key * len(part.number) + column, return_inverse=True)
     _, first, n = np.unique(key, return_index=True, return_counts=True)
-    rows = np.stack([column[first] for column in columns])
-    return (np.hstack([rows, np.zeros((longest, 1), dtype=np.int64)]), np.r_[n, rare]) if rare else (rows, n)
+    alone = np.zeros((longest, len(words)), dtype=np.int64)
+    alone[0] = words
+    return np.hstack([alone, *([np.stack([column[first] for column in columns])] if len(begin) else [])]), np.r_[single[words], n]
 
 
 def windows(texts: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
