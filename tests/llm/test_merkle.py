@@ -71,8 +71,8 @@ def brute_first(text_a, text_b):
 
 def likeness_of(spark, pairs):
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", m.fingerprint(F.col("a")).alias("x"), m.fingerprint(F.col("b")).alias("y"))
-    df = m.with_unlike(df, "x", "y", "t")
-    return df.select("a", "b", m.likeness("x", "y", "t_unlike").alias("near"), "t_edited", m.first_edit(F.col("x"), F.col("y")).alias("first")).collect()
+    df = m.with_first_edit(m.with_unlike(df, "x", "y", "t"), "x", "y", "first")
+    return df.select("a", "b", m.likeness("x", "y", "t_unlike").alias("near"), "t_edited", "first").collect()
 
 
 def test_likeness_descends_from_unequal_roots(spark):

@@ -189,15 +189,31 @@ def successors(docs: DataFrame) -> DataFrame:
     return following.select("doc_id", "_key", "n", F.col("_next.doc_id").alias("next_id"), F.col("_next._key").alias("next_key"))
 
 
-def first_edit(a: Column, b: Column) -> Column:
-    """Where two fingerprints first differ in order, ``section.paragraph`` from 0; null if they are equal."""
-    def first(x: Column, y: Column) -> Column:
+def with_first_edit(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Adds where two fingerprints first differ in order, ``section.paragraph`` from 0; null if they are equal."""
+    x, y = f"_{name}_x", f"_{name}_y"
+
+    def first_unlike() -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
-        return F.get(F.filter(at, lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i))), F.lit(0))
+        return F.get(F.filter(at, lambda i: ~F.get(F.col(x), i).eqNullSafe(F.get(F.col(y), i))), F.lit(0))
+
+    # Lists are columns of their own: inside a lambda an expression would be worked out for every element.
+    differ = F.col(a) != F.col(b)
+    df = df.withColumns({side: F.when(differ, _sections(F.col(of))) for side, of in ((x, a), (y, b))})
+    df = df.withColumn(f"_{name}_at", first_unlike())
+    none = F.array().cast("array<string>")
+    df = df.withColumns({side: F.when(differ, F.coalesce(_paragraphs(F.get(F.col(side), F.col(f"_{name}_at"))), none)) for side in (x, y)})
+    df = df.withColumn(name, F.when(differ, F.concat_ws(".", f"_{name}_at", first_unlike())))
+    return df.drop(x, y, f"_{name}_at")
+
 
-    section = first(_sections(a), _sections(b))
-    here = [F.coalesce(_paragraphs(F.get(_sections(x), section)), F.array().cast("array<string>")) for x in (a, b)]
-    return F.when(a != b, F.concat_ws(".", section, first(*here)))
+def _compiled_apart(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions; what is above and below is generated as methods of its own.
+
+    One method over all steps would be too large for the JVM to compile, and slow. There are never
+    so many partitions that any are merged.
+    """
+    return df.coalesce(1 << 24)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -229,11 +245,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print",
     )
-    compared = with_unlike(with_unlike(prints, "fingerprint", "edited_fingerprint", "edit"), "fingerprint", "next_print", "next")
+    compared = with_unlike(_compiled_apart(prints), "fingerprint", "edited_fingerprint", "edit")
+    compared = with_unlike(_compiled_apart(compared), "fingerprint", "next_print", "next")
+    compared = with_first_edit(_compiled_apart(compared), "fingerprint", "edited_fingerprint", "first_edit")
     return compared.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint", "edit_unlike").alias("near_edited"), likeness("fingerprint", "next_print", "next_unlike").alias("near_next"),
-        first_edit(F.col("fingerprint"), F.col("edited_fingerprint")).alias("first_edit"), F.col("edit_edited").alias("edited_paragraphs"),
+        "first_edit", F.col("edit_edited").alias("edited_paragraphs"),
     )
 
 
