@@ -9,8 +9,10 @@ from trailspark.operators import anomaly, dormancy, filters
 from trailspark.session import scratch_path
 from trailspark.sources import events as event_source
 
-EAGER = {"s03_multi_file_load", "s03_ingested_store", "s09_csv_export", "s10_seat_documents", "s10_document_totals", "e1_bulk_operation_stream",
-         "e2_critical_event_stream"}
+EAGER = {"s03_multi_file_load", "s03_ingested_store", "s09_csv_export", "s10_seat_documents", "s10_document_totals", "s02_array_documents",
+         "s02_arrays_in_pieces", "s05_load_members", "s06_load_seats", "s07_seat_file_summary", "s08_typed_null_columns", "e1_bulk_operation_stream",
+         "e2_critical_event_stream", "s03_incremental_ingest", "a05_actor_totals_from_hours", "t1_t6_series_from_hours",
+         "e1_windows_with_late_rows", "e2_alert_feed", "f05_search_in_store", "o3_latest_from_store"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas",
              "PythonUDF", "Scan ExistingRDD", "LocalTableScan")
 

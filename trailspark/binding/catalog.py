@@ -7,21 +7,21 @@ read them back.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.binding import tables as b
 from trailspark.binding.views import CRITICAL, HIGH_RISK, IN_RANGE, OFF_HOURS, PROFILE_RISK, with_views
 from trailspark.functions import labels, parsing
 from trailspark.functions import timecols as t
-from trailspark.operators import activity, anomaly, dormancy, filters, profile, series
+from trailspark.operators import activity, addresses, anomaly, dormancy, filters, profile, series, sketches
 from trailspark.plans import reports
 from trailspark.session import scratch_path
-from trailspark.sources import directory, sinks, text
+from trailspark.sources import directory, postings, sinks
 from trailspark.sources import events as event_source
-from trailspark.streaming import detections
+from trailspark.streaming import detections, hourly, ingest
 
 ACTIONS = ("git.push", "repo.destroy", "org.invite_member")
 SEARCH = r"USER-1\d?$|repo-7"
@@ -137,13 +137,26 @@ def s01_rejected_records(m: Model) -> DataFrame:
     return activity.count_by(rejects, "_source_file", "reject_reason", name="records")
 
 
-@query("""
+_ARRAYS_SQL = """
   SELECT date_trunc('millisecond', date_jst) AS date_jst, action, coalesce(actor, 'unknown') AS actor, org, repo,
-    "user", team, actor_ip, country_code, actor_is_bot, _source_file FROM ev""")
+    "user", team, actor_ip, country_code, actor_is_bot, _source_file FROM ev"""
+
+
+def _array_files(m: Model, **limit: int) -> DataFrame:
+    path = m.scratch("event-arrays")
+    b.write_documents(b.raw_event_arrays(m.events), "_source_file", path)
+    loaded = event_source.load_events(m.spark, path, **limit).events
+    return loaded.select("date_jst", *_FIELDS, b.folder_name().alias("_source_file"))
+
+
+@query(_ARRAYS_SQL)
 def s02_array_documents(m: Model) -> DataFrame:
-    records = text.array_elements(b.raw_event_arrays(m.events))
-    loaded = event_source.parse_events(records)
-    return loaded.events.select("date_jst", *_FIELDS, "_source_file")
+    return _array_files(m)
+
+
+@query(_ARRAYS_SQL)
+def s02_arrays_in_pieces(m: Model) -> DataFrame:
+    return _array_files(m, max_bytes=1 << 16)
 
 
 def _exported(events: DataFrame, *more: str) -> DataFrame:
@@ -176,6 +189,22 @@ def s03_ingested_store(m: Model) -> DataFrame:
     return stored.select("date_jst", "event_date", *_FIELDS)
 
 
+@query(f"""
+  SELECT CASE WHEN event_id % 6 IN (0, 5) THEN date_trunc('millisecond', date_jst) ELSE date_jst END AS date_jst,
+    date_jst::DATE AS event_date, CASE WHEN event_id % 17 = 0 THEN 'unknown' ELSE action END AS action,
+    CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 OR actor IS NULL THEN 'unknown' ELSE actor END AS actor,
+    org, repo, "user", team, actor_ip, country_code, actor_is_bot
+  FROM ev WHERE NOT {_BROKEN} AND NOT {_NO_TIME} AND {IN_RANGE}""")
+def s03_incremental_ingest(m: Model) -> DataFrame:
+    lines, store, checkpoint = m.scratch("arriving-lines"), m.scratch("ingested"), m.scratch("ingest-checkpoint")
+    raw = b.raw_event_lines(m.events).select(F.col("_source_file").alias("folder"), "raw")
+    for delivery in ("first", "again"):  # the same files a second time, under other names
+        raw.repartition("folder").write.partitionBy("folder").text(f"{lines}/{delivery}")
+        ingest.ingest_stream(m.spark, lines, store, checkpoint, layout="lines", max_files=4).awaitTermination()
+    stored = filters.in_date_range(ingest.read_ingested(m.spark, store), b.DATE_RANGE)
+    return stored.select("date_jst", "event_date", *_FIELDS)
+
+
 @query("SELECT _source_path, _source_file, count(*) AS event_count FROM ev GROUP BY 1, 2")
 def s04_file_counts(m: Model) -> DataFrame:
     return activity.file_counts(m.events)
@@ -187,7 +216,15 @@ def s04_file_counts(m: Model) -> DataFrame:
     CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 11 = 0 THEN NULL ELSE false END AS site_admin
   FROM customer""")
 def s05_load_members(m: Model) -> DataFrame:
-    return directory.parse_members(b.raw_member_records(m.table("customer")))
+    path = m.scratch("member-arrays")
+    b.write_documents(b.raw_member_arrays(m.table("customer")), "_source_file", path)
+    return directory.load_members(m.spark, path)
+
+
+def _seat_files(m: Model, orders: DataFrame) -> str:
+    path = m.scratch("seat-files")
+    b.write_documents(b.raw_seat_documents(orders), "_source_file", path)
+    return path
 
 
 @query("""
@@ -199,8 +236,7 @@ def s05_load_members(m: Model) -> DataFrame:
     CASE WHEN o_orderkey % 9 = 0 THEN TIMESTAMP '2024-03-01' END AS pending_cancellation_date
   FROM orders""")
 def s06_load_seats(m: Model) -> DataFrame:
-    documents = directory.parse_seat_documents(b.raw_seat_documents(m.table("orders")))
-    return directory.flatten_seats(documents)
+    return directory.load_seats(m.spark, _seat_files(m, m.table("orders")))
 
 
 @query("""
@@ -208,8 +244,8 @@ def s06_load_seats(m: Model) -> DataFrame:
   FROM orders GROUP BY 1, 2
   UNION ALL SELECT DISTINCT 'empty-' || o_orderstatus, 'unknown', 0 FROM orders""")
 def s07_seat_file_summary(m: Model) -> DataFrame:
-    documents = directory.parse_seat_documents(b.raw_seat_documents(m.table("orders")))
-    return directory.seat_file_summary(documents)
+    documents = directory.read_seat_documents(m.spark, _seat_files(m, m.table("orders")))
+    return directory.seat_file_summary(documents).select(b.folder_name().alias("_source_file"), "org_name", "seat_count")
 
 
 @query("""
@@ -217,7 +253,7 @@ def s07_seat_file_summary(m: Model) -> DataFrame:
   FROM orders""")
 def s08_typed_null_columns(m: Model) -> DataFrame:
     unused = m.table("orders").withColumn("o_orderstatus", F.lit("P"))
-    seats = directory.flatten_seats(directory.parse_seat_documents(b.raw_seat_documents(unused)))
+    seats = directory.load_seats(m.spark, _seat_files(m, unused))
     return seats.groupBy(
         F.typeof("last_activity_at").alias("activity_type"), F.typeof("last_activity_editor").alias("editor_type")
     ).agg(F.count("*").alias("seats"), F.count("last_activity_at").alias("used"))
@@ -972,18 +1008,76 @@ def _drained(m: Model, rows: DataFrame, name: str) -> DataFrame:
     return m.spark.read.schema(rows.schema).parquet(path)
 
 
+def _batches(m: Model, parts: int = 4) -> DataFrame:
+    """The events as a stream of several batches."""
+    path = m.scratch("event-parts")
+    m.table("events").repartition(parts, "event_id").write.parquet(path)
+    return b.bind_events(m.spark.readStream.schema(b.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _hours(m: Model) -> DataFrame:
+    """Hourly counts kept from a stream, runs merged by twos."""
+    counts = m.scratch("hours")
+    hourly.maintain_hourly(_batches(m), counts, m.scratch("hours-checkpoint"), fan=2).awaitTermination()
+    return hourly.hourly_counts(m.spark, counts)
+
+
 @query(_BULK_SQL)
 def e1_bulk_operation_stream(m: Model) -> DataFrame:
     counts, checkpoint = m.scratch("bulk-counts"), m.scratch("bulk-checkpoint")
-    detections.count_stream(_event_stream(m), counts, checkpoint).awaitTermination()
+    detections.count_stream(_batches(m), counts, checkpoint).awaitTermination()
     return detections.bulk_alerts(m.spark, counts, b.BULK_THRESHOLD)
 
 
+@query("SELECT actor, count(*) AS event_count FROM ev GROUP BY 1")
+def a05_actor_totals_from_hours(m: Model) -> DataFrame:
+    return hourly.actor_totals(_hours(m))
+
+
+@query("""
+  SELECT 'hour' AS grain, strftime(date_trunc('hour', date_jst), '%Y-%m-%d %H:%M:%S') AS period, count(*) AS count FROM ev GROUP BY ALL
+  UNION ALL SELECT 'day', strftime(date_jst, '%Y-%m-%d'), count(*) FROM ev GROUP BY ALL
+  UNION ALL SELECT 'week', strftime(date_trunc('week', date_jst), '%Y-%m-%d %H:%M:%S'), count(*) FROM ev GROUP BY ALL
+  UNION ALL SELECT 'month', strftime(date_trunc('month', date_jst), '%Y-%m-%d %H:%M:%S'), count(*) FROM ev GROUP BY ALL
+  UNION ALL SELECT 'hour of day', hour(date_jst)::VARCHAR, count(*) FROM ev GROUP BY ALL
+  UNION ALL SELECT 'weekday', isodow(date_jst)::VARCHAR, count(*) FROM ev GROUP BY ALL""")
+def t1_t6_series_from_hours(m: Model) -> DataFrame:
+    hours = _hours(m)
+    parts = [hourly.period_totals(hours, grain).withColumn("grain", F.lit(grain)) for grain in ("hour", "day", "week", "month")]
+    parts += [hourly.hour_totals(hours).select(F.col("hour").alias("period"), "count", F.lit("hour of day").alias("grain"))]
+    parts += [hourly.weekday_totals(hours).select(F.col("weekday").alias("period"), "count", F.lit("weekday").alias("grain"))]
+    out = [part.select("grain", F.col("period").cast("string").alias("period"), "count") for part in parts]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""
+  , hours AS (SELECT actor, action, date_trunc('hour', date_jst)::TIMESTAMP AS hour_window, count(*) AS count FROM ev GROUP BY ALL)
+  SELECT * FROM hours WHERE hour_window <= (
+    SELECT max(hour_window) FROM hours WHERE hour_window + INTERVAL 1 HOUR <= (SELECT max(date_jst) - INTERVAL 2 DAY FROM ev))""")
+def e1_windows_with_late_rows(m: Model) -> DataFrame:
+    given = _drained(m, detections.windowed_counts(_batches(m), "2 days"), "windows")
+    late = detections.late_corrections(given, _hours(m)).drop("given")
+    named = late.select(*[F.col(c).alias(f"_{c}") for c in late.columns])
+    same = [given[c].eqNullSafe(named[f"_{c}"]) for c in ("actor", "action", "hour_window")]
+    return given.join(named, reduce(Column.__and__, same), "left_anti").unionByName(late)
+
+
 @query(f"SELECT {_EVENTS_SQL}, event_id FROM ev WHERE action IN {CRITICAL}")
 def e2_critical_event_stream(m: Model) -> DataFrame:
     return _drained(m, detections.critical_event_stream(_event_stream(m)), "critical-stream")
 
 
+@query(f"SELECT {_EVENTS_SQL}, event_id FROM ev WHERE action IN {CRITICAL}")
+def e2_alert_feed(m: Model) -> DataFrame:
+    source, out, checkpoint = m.scratch("delivered"), m.scratch("alerts"), m.scratch("alerts-checkpoint")
+    for _ in range(2):  # all events are delivered twice
+        m.table("events").write.mode("append").parquet(source)
+        stream = b.bind_events(m.spark.readStream.schema(b.SCHEMAS["events"]).parquet(source))
+        feed = detections.critical_alert_feed(stream, ["event_id"])
+        detections.write_stream(feed, out, checkpoint).awaitTermination()
+    return m.spark.read.schema(feed.schema).parquet(out)
+
+
 @query("SELECT team, count(*) AS count FROM ev WHERE team IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def e3_top_teams(m: Model) -> DataFrame:
     return activity.top_teams(m.events)
@@ -999,3 +1093,64 @@ def e4_peak_hour(m: Model) -> DataFrame:
   FROM seat WHERE login IN (SELECT actor FROM former)""")
 def e5_former_user_seats(m: Model) -> DataFrame:
     return dormancy.former_user_seats(m.events, m.members, m.seats)
+
+
+@query("""
+  , days AS (
+    SELECT actor, actor_ip, date_jst::DATE AS day, count(*) AS event_count, min(date_jst) AS first_event
+    FROM ev WHERE actor_ip IS NOT NULL GROUP BY 1, 2, 3),
+  before AS (
+    SELECT d.actor, d.actor_ip, d.day, d.event_count, d.first_event, max(p.day) FILTER (p.actor_ip = d.actor_ip) AS last_seen,
+      count(DISTINCT p.actor_ip) FILTER (p.day >= d.day - 30) AS known_addresses,
+      count(DISTINCT p.day) FILTER (p.day >= d.day - 30) AS active_days
+    FROM days d LEFT JOIN days p ON p.actor IS NOT DISTINCT FROM d.actor AND p.day < d.day GROUP BY ALL)
+  SELECT * FROM before WHERE active_days >= 3 AND (last_seen IS NULL OR last_seen < day - 30)""")
+def e6_unusual_addresses(m: Model) -> DataFrame:
+    return addresses.unusual_addresses(m.events)
+
+
+# ---------------------------------------------------------------- answers from stored events
+
+
+def _event_store(m: Model) -> str:
+    store = m.scratch("event-store")
+    event_source.write_events(m.events, store)
+    return store
+
+
+@query(f"SELECT {_EVENTS_SQL} FROM ev WHERE {_SEARCH_SQL}")
+def f05_search_in_store(m: Model) -> DataFrame:
+    store, index = _event_store(m), m.scratch("postings")
+    postings.index_store(m.spark, store, index)
+    return postings.search_store(m.spark, store, index, SEARCH).select(*EVENT_COLUMNS)
+
+
+@query(f"""
+  SELECT {_EVENTS_SQL} FROM ev
+  ORDER BY date_jst DESC, action NULLS LAST, actor NULLS LAST, repo NULLS LAST, org NULLS LAST, _source_file LIMIT 100""")
+def o3_latest_from_store(m: Model) -> DataFrame:
+    return postings.latest_stored(m.spark, _event_store(m)).select(*EVENT_COLUMNS)
+
+
+@query(f"""
+  SELECT contains(coalesce(actor, ''), '[bot]') AS is_bot, count(*) AS event_count,
+    count(DISTINCT actor) + max(CASE WHEN actor IS NULL THEN 1 ELSE 0 END) AS unique_actors, count(DISTINCT action) AS unique_actions,
+    count(DISTINCT actor_ip) AS unique_addresses
+  FROM ev WHERE {IN_RANGE} GROUP BY 1""")
+def a18_distinct_counts_from_sketches(m: Model) -> DataFrame:
+    return sketches.range_counts(sketches.day_sketches(m.events), b.DATE_RANGE, "is_bot")
+
+
+_EARLIER = ("2023-06-01", "2023-09-30")
+
+
+@query(f"""
+  , first AS (SELECT DISTINCT actor FROM ev WHERE date_jst::DATE BETWEEN '{_EARLIER[0]}' AND '{_EARLIER[1]}' AND actor IS NOT NULL),
+  second AS (SELECT DISTINCT actor FROM ev WHERE {IN_RANGE} AND actor IS NOT NULL)
+  SELECT (SELECT count(*) FROM ev WHERE date_jst::DATE BETWEEN '{_EARLIER[0]}' AND '{_EARLIER[1]}') AS first_events,
+    (SELECT count(*) FROM ev WHERE {IN_RANGE}) AS second_events, (SELECT count(*) FROM first) AS first_actors,
+    (SELECT count(*) FROM second) AS second_actors, (SELECT count(*) FROM first JOIN second USING (actor)) AS in_both,
+    (SELECT count(*) FROM first WHERE actor NOT IN (SELECT actor FROM second)) AS only_first,
+    (SELECT count(*) FROM second WHERE actor NOT IN (SELECT actor FROM first)) AS only_second""")
+def a25_period_comparison(m: Model) -> DataFrame:
+    return sketches.compare_periods(sketches.day_sketches(m.events), _EARLIER, b.DATE_RANGE)

@@ -149,6 +149,16 @@ def raw_event_lines(source: DataFrame) -> DataFrame:
     )
 
 
+def write_documents(documents: DataFrame, name: str, path: str) -> None:
+    """Each text of the column ``raw`` as one file, below a folder called by the column ``name``."""
+    named = documents.select(F.col(name).alias("folder"), "raw")
+    named.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+
+
+def folder_name() -> Column:
+    return F.regexp_extract("_source_path", "/folder=([^/]*)/", 1)
+
+
 def raw_member_records(source: DataFrame) -> DataFrame:
     """Customers as raw member records; some lack keys, some hold nulls."""
     n = F.col("c_custkey")
@@ -166,6 +176,13 @@ def raw_member_records(source: DataFrame) -> DataFrame:
     )
 
 
+def raw_member_arrays(source: DataFrame) -> DataFrame:
+    """Members as raw JSON arrays of about 1,000 members each."""
+    records = raw_member_records(source)
+    document = F.concat(F.lit("["), F.array_join("items", ",\n "), F.lit("]\n"))
+    return paged_lists(records, "_source_file", "raw", PAGE_SIZE).select("_source_file", document.alias("raw"))
+
+
 def seat_time_text(time: Column, form: Column) -> Column:
     """A time in one of the ways seat exports write it."""
     text = F.replace(time.cast("string"), F.lit(" "), F.lit("T"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from trailspark.functions import parsing as p
 from trailspark.schema import SEAT_DOCUMENT_SCHEMA, SEAT_SCHEMA, UNKNOWN
-from trailspark.sources.text import document_records, line_records, raw_records
+from trailspark.sources.text import MAX_DOCUMENT_BYTES, document_records, line_records, raw_records
 
 
 def parse_members(raw: DataFrame) -> DataFrame:
@@ -31,9 +31,11 @@ def parse_members(raw: DataFrame) -> DataFrame:
     )
 
 
-def load_members(spark: SparkSession, paths: str | Sequence[str], layout: str = "array") -> DataFrame:
+def load_members(
+    spark: SparkSession, paths: str | Sequence[str], layout: str = "array", max_bytes: int = MAX_DOCUMENT_BYTES
+) -> DataFrame:
     """Members export: a JSON array of accounts."""
-    return parse_members(raw_records(spark, paths, layout))
+    return parse_members(raw_records(spark, paths, layout, max_bytes))
 
 
 def parse_seat_documents(raw: DataFrame) -> DataFrame:
@@ -44,10 +46,11 @@ def parse_seat_documents(raw: DataFrame) -> DataFrame:
     documents = F.from_json(p.closed(F.col("raw")), T.ArrayType(SEAT_DOCUMENT_SCHEMA), {"mode": "FAILFAST"})
     fault = F.raise_error(F.concat(F.lit("not one seat document: "), "_source_file")).cast(SEAT_DOCUMENT_SCHEMA)
     one = F.coalesce(p.only(F.col("documents")), fault)
+    origin = [c for c in ("_source_path", "_source_file") if c in raw.columns]
     return (
-        raw.select("_source_file", documents.alias("documents"))
-        .select("_source_file", one.alias("document"))
-        .select("document.*", "_source_file")
+        raw.select(*origin, documents.alias("documents"))
+        .select(*origin, one.alias("document"))
+        .select("document.*", *origin)
     )
 
 
@@ -82,7 +85,7 @@ def seat_file_summary(documents: DataFrame) -> DataFrame:
     """Per document: organisation of its first seat (``unknown`` if none) and seat count."""
     first_org = F.get(F.col("seats"), F.lit(0))["organization"]["login"]
     return documents.select(
-        "_source_file",
+        *[c for c in ("_source_path", "_source_file") if c in documents.columns],
         F.coalesce(first_org, F.lit(UNKNOWN)).alias("org_name"),
         F.coalesce(F.size("seats"), F.lit(0)).cast("bigint").alias("seat_count"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from trailspark.functions import parsing as p
 from trailspark.functions.timecols import day
 from trailspark.schema import EVENT_SCHEMA, UNKNOWN
-from trailspark.sources.text import TOO_LARGE, raw_records
+from trailspark.sources.text import MAX_DOCUMENT_BYTES, TOO_LARGE, raw_records
 
 MALFORMED = "malformed_json"
 NOT_OBJECT = "not_an_object"
@@ -78,16 +78,24 @@ def parse_events(raw: DataFrame) -> LoadedEvents:
     )
 
 
-def load_events(spark: SparkSession, paths: str | Sequence[str], layout: str = "auto") -> LoadedEvents:
+def load_events(
+    spark: SparkSession, paths: str | Sequence[str], layout: str = "auto", max_bytes: int = MAX_DOCUMENT_BYTES
+) -> LoadedEvents:
     """Load exported audit logs: any mix of JSON arrays and line-delimited JSON."""
-    return parse_events(raw_records(spark, paths, layout))
+    return parse_events(raw_records(spark, paths, layout, max_bytes))
 
 
 def ingest_events(
-    spark: SparkSession, paths: str | Sequence[str], store: str, layout: str = "auto", mode: str = "append"
+    spark: SparkSession, paths: str | Sequence[str], store: str, layout: str = "auto", mode: str = "append",
+    max_bytes: int = MAX_DOCUMENT_BYTES,
 ) -> None:
     """Load exports into a store in one pass, rejects included (see ``read_rejects``)."""
-    judged = _judged(raw_records(spark, paths, layout))
+    store_records(raw_records(spark, paths, layout, max_bytes), store, mode)
+
+
+def store_records(raw: DataFrame, store: str, mode: str = "append") -> None:
+    """Raw records parsed and stored, rejects included."""
+    judged = _judged(raw)
     reason = F.col("reject_reason")
     is_good = reason.isNull()
     # A reject has no date and keeps its text; its other event columns are not read.

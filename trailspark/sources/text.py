@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailspark.functions.parsing import closed, only
+from trailspark.sources.pieces import COMPRESSED_NAME, piece_records
 
 RAW_SCHEMA = T.StructType([
     T.StructField("_source_path", T.StringType()),
@@ -23,7 +24,7 @@ TOO_LARGE = "file_too_large"
 
 _SIZE = "_metadata.file_size"
 _BLANK = r"^\s*$"
-_LINE_NAME = r"\.(ndjson|jsonl)$"
+_LINE_NAME = r"\.(ndjson|jsonl)(\.(gz|bz2|zst|lz4|snappy|deflate))?$"
 
 
 def _decoded(name: str) -> Column:
@@ -67,18 +68,30 @@ def array_line_records(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 def document_records(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
     """One record per file. Of a file too large for one row the record is null."""
-    return _documents(spark, paths, F.lit(True), max_bytes)
-
-
-def _documents(spark: SparkSession, paths: str | Sequence[str], chosen: Column, max_bytes: int) -> DataFrame:
-    fitting = _text(spark, paths, whole=True).where(chosen & (F.col(_SIZE) <= max_bytes))
+    fitting = _text(spark, paths, whole=True).where(F.col(_SIZE) <= max_bytes)
     # The size is known from the listing: only files beyond it are opened here.
-    beyond = _text(spark, paths, whole=False).where(chosen & (F.col(_SIZE) > max_bytes)).select(*_provenance()).distinct()
+    beyond = _text(spark, paths, whole=False).where(F.col(_SIZE) > max_bytes).select(*_provenance()).distinct()
     return fitting.select(*_provenance(), F.col("value").alias("raw")).unionByName(
         beyond.withColumn("raw", F.lit(None).cast("string"))
     )
 
 
+def _elements_of(spark: SparkSession, paths: str | Sequence[str], chosen: Column, max_bytes: int, or_lines: bool) -> DataFrame:
+    """Elements of the chosen files: whole files up to a size are a row each, others are read in pieces.
+
+    How large a compressed file is inside is not known before, so it is never one row.
+    """
+    in_pieces = (F.col(_SIZE) > max_bytes) | F.col("_metadata.file_name").rlike(COMPRESSED_NAME)
+    small = _text(spark, paths, whole=True).where(chosen & ~in_pieces)
+    records = array_elements(small.select(*_provenance(), F.col("value").alias("raw")), or_lines)
+    reader = spark.read.option("recursiveFileLookup", True)
+    large = reader.text([paths] if isinstance(paths, str) else list(paths), lineSep="}").where(chosen & in_pieces)
+    # The listing answers this; only if there are such files is anything read here.
+    if large.select(F.lit(1)).isEmpty():
+        return records
+    return records.unionByName(piece_records(large, _provenance(), max_bytes))
+
+
 def array_elements(documents: DataFrame, or_lines: bool = False) -> DataFrame:
     """One record per element of the JSON array in each record.
 
@@ -90,18 +103,15 @@ def array_elements(documents: DataFrame, or_lines: bool = False) -> DataFrame:
     if or_lines:
         lines = F.filter(F.split("raw", "\n"), lambda line: ~line.rlike(_BLANK))
         rest = F.when(F.col("raw").rlike(r"^\s*\[") | F.col("raw").isNull(), rest).otherwise(lines)
-    elements = F.coalesce(only(F.col("parsed")), rest)
+    # A null among the elements is a record like any other; a null document is one that was not read.
+    elements = F.coalesce(F.transform(only(F.col("parsed")), lambda x: F.coalesce(x, F.lit("null"))), rest)
     kept = [c for c in ("_source_path", "_source_file", "_source_bytes") if c in documents.columns]
     return parsed.select(*kept, F.explode(elements).alias("raw"))
 
 
 def array_records(spark: SparkSession, paths: str | Sequence[str], max_bytes: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    """One record per element of the JSON array in each file.
-
-    One task reads one file. A larger file than ``max_bytes`` gives one null record, which is
-    rejected with its reason; if it has one element per line, ``array_line_records`` splits it.
-    """
-    return array_elements(document_records(spark, paths, max_bytes))
+    """One record per element of the JSON array in each file; files beyond ``max_bytes`` split over tasks."""
+    return _elements_of(spark, paths, F.lit(True), max_bytes, or_lines=False)
 
 
 def raw_records(
@@ -110,9 +120,11 @@ def raw_records(
     """Raw JSON text of every record with its file's path, name and size.
 
     ``layout`` is ``lines``, ``array``, ``array_lines`` (an array with one element per line)
-    or ``auto``: files named ``.ndjson`` or ``.jsonl`` are lines, which split over tasks;
-    any other is read as a whole by one task and may be an array or lines. Conditions on the
-    name prune the file listing, so every file is opened once, in its own layout.
+    or ``auto``: files named ``.ndjson`` or ``.jsonl``, compressed or not, are lines; any other
+    may be an array or lines. Up to ``max_bytes`` one task reads such a file whole; a larger or
+    compressed one is read in pieces that split over tasks (see ``sources.pieces``), after a pass
+    that stores them. Conditions on name and size prune the file listing, so every file is
+    opened once, in its own layout.
     """
     if layout == "lines":
         return line_records(spark, paths)
@@ -123,5 +135,5 @@ def raw_records(
     if layout != "auto":
         raise ValueError(f"layout must be auto, lines, array or array_lines, not {layout!r}")
     lines = _text(spark, paths, whole=False).where(_is_line_file() & ~F.col("value").rlike(_BLANK))
-    documents = _documents(spark, paths, ~_is_line_file(), max_bytes)
-    return lines.select(*_provenance(), F.col("value").alias("raw")).unionByName(array_elements(documents, or_lines=True))
+    others = _elements_of(spark, paths, ~_is_line_file(), max_bytes, or_lines=True)
+    return lines.select(*_provenance(), F.col("value").alias("raw")).unionByName(others)
