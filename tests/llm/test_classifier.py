@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from llm_cases import ODD, documents
 from pyspark.sql import functions as F
@@ -26,27 +27,74 @@ def small(spark, host="s1"):
     return good + bad, spark.createDataFrame([(a, b, int(c)) for a, b, c in labels], "doc_id long, quality int, toxic int")
 
 
-def test_site_rates_are_shrunk_to_the_wider_level(spark):
+def brute(rows):
+    """[(host_rate, path_rate, p_good)] of (logit, host, path, kind), by summing over all other rows."""
+    labelled = [kind for *_, kind in rows if kind]
+    rate = 0.5
+    for _ in range(500):
+        at = math.log(rate / (1 - rate))
+        rate = (labelled.count("good") + sum(1 / (1 + math.exp(-(x + at))) for x, *_, kind in rows if not kind) + 1) / (len(rows) + 2)
+    at = math.log(rate / (1 - rate))
+    good = [1 / (1 + math.exp(-(x + at))) if not kind else float(kind == "good") for x, *_, kind in rows]
+
+    def strength(sites, mean):
+        n = sum(len(own) for own in sites.values())
+        spread = sum(len(own) * (sum(own) / len(own) - mean(site)) ** 2 for site, own in sites.items()) / n
+        between = max(spread - sum(mean(s) * (1 - mean(s)) for s in sites) / n, 1e-4)
+        return sum(len(own) * mean(s) * (1 - mean(s)) for s, own in sites.items()) / n / between
+
+    def grouped(key):
+        out = {}
+        for row, g in zip(rows, good):
+            out.setdefault(key(row), []).append(g)
+        return out
+
+    hosts, paths = grouped(lambda r: r[1]), grouped(lambda r: r[1:3])
+    s = strength(hosts, lambda _: rate)
+    t = strength(paths, lambda p: (sum(hosts[p[0]]) + s * rate) / (len(hosts[p[0]]) + s))
+    out = []
+    for (x, host, path, _), g in zip(rows, good):
+        h = (sum(hosts[host]) - g + s * rate) / (len(hosts[host]) - 1 + s)
+        p = (sum(paths[host, path]) - g + t * h) / (len(paths[host, path]) - 1 + t)
+        odds = math.exp(x) * p / (1 - p)
+        out.append((h, p, odds / (1 + odds)))
+    return out
+
+
+def test_rates_leave_the_document_out(spark):
     rows, labels = small(spark)
     rows += [(200, "plain words number a in a calm text of some length", "de", "s2"), (201, "", "fr", "s3"), (202, None, None, None)]
-    found = {r.doc_id: r for r in q.classify(documents(spark, rows), labels).collect()}
-    assert found[0].host_rate > 0.9 and found[100].host_rate < 0.1
-    # One good document in a bad host: its path lies between itself and the host.
-    assert found[100].path_rate < found[200].path_rate < found[0].path_rate
-    # Sites without evidence stay near the overall rate, about one half.
-    assert abs(found[201].host_rate - 0.5) < 0.15 and found[201].evidence == 0.5 and abs(found[202].path_rate - 0.5) < 0.15
-    for r in found.values():
-        odds = r.evidence / (1 - r.evidence) * r.path_rate / (1 - r.path_rate)
-        assert r.p_good == pytest.approx(odds / (1 + odds), abs=1e-4) and r.keep == (r.p_good >= 0.5)
-    assert all(found[i].keep for i in range(40)) and not any(found[100 + i].keep for i in range(40))
+    rows += [(210 + i, f"JUNK!! | trash {'calm text words' * (i % 2)}", "de", f"s{i % 5}") for i in range(20)] + [(0, rows[0][1], "en", "s1")] * 3
+    docs = documents(spark, rows)
+    found = sorted(q.classify(docs, labels).join(docs.select("doc_id", "source", "lang").distinct(), "doc_id").collect(), key=lambda r: r.doc_id)
+    kinds = {r.doc_id: r.kind for r in q.label_kinds(labels).collect()}
+    want = brute([(math.log(r.evidence / (1 - r.evidence)), r.source or "", r.lang or "", kinds.get(r.doc_id)) for r in found])
+    assert len(found) == len(rows)
+    for r, (host, path, p) in zip(found, want):
+        assert r.host_rate == pytest.approx(host, abs=1e-3) and r.path_rate == pytest.approx(path, abs=1e-3) and r.p_good == pytest.approx(p, abs=1e-3)
+        assert r.keep == (r.p_good >= 0.5)
+    # Alone on its site, a document is judged at the rate of all others.
+    alone = next(r for r in found if r.doc_id == 201)
+    assert alone.evidence == 0.5 and alone.p_good == pytest.approx(alone.path_rate, abs=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.9, 0.5, 0.1])
+def test_overall_rate_finds_the_share_of_good_documents(share):
+    rng = np.random.default_rng(1)
+    good = rng.random(20_000) < share
+    logit = np.round(np.where(good, rng.normal(2, 2, 20_000), rng.normal(-2, 2, 20_000)), 2)  # log-odds of these two at even odds
+    values, n = np.unique(logit, return_counts=True)
+    assert abs(q.overall_rate(list(zip(values, n)), 0, 0) - share) < 0.02
+    assert q.overall_rate([], 0, 0) == 0.5 and q.overall_rate([], 3, 4) == pytest.approx(4 / 6)
 
 
 def test_stage_keeps_columns_and_whole_rows(spark):
     rows, labels = small(spark)
     docs = documents(spark, rows + [(300 + (i or 0), t) for i, t in ODD] + [(None, "plain words of a calm text")], extra=True)
+    judged = {r.doc_id: r.keep for r in q.classify(docs, labels).collect()}
     kept = q.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id BETWEEN 100 AND 139").count() == 0
-    assert kept.where("doc_id < 40").count() == 40 and kept.where("doc_id = 305").count() in (0, 2)
+    assert kept.where("doc_id < 40").count() == 40 and kept.where("doc_id = 305").count() == 2 * judged[305]
     assert q.keep_good(docs.limit(0), labels).count() == 0
 
 

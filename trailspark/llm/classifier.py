@@ -3,8 +3,9 @@
 Evidence is a logistic model on the shape of a text and on marker words of rejected documents.
 A site (host) and its parts (paths) have posterior rates of good documents: each rate is shrunk
 towards the wider level by as much as the spread between siblings says (method of moments), so
-that a sparse site falls back to its parent. A document's odds are its evidence, learned at even odds,
-times its path's odds.
+that a sparse site falls back to its parent. A document's odds are its evidence, learned at even
+odds, times its path's odds without the document itself. What unlabelled documents add to their
+sites is their probability at the corpus's own rate of good documents, which is estimated first.
 """
 
 from __future__ import annotations
@@ -185,26 +186,48 @@ def evidence(docs: DataFrame, model: Model | None, host: str, path: str) -> Data
     return source.mapInArrow(run, "doc_id long, _key long, host string, path string, logit double")
 
 
+def overall_rate(bins: list[tuple[float, int]], good: int, labelled: int) -> float:
+    """The share of good documents, from labels and from the evidence of unlabelled ones.
+
+    Evidence is at even odds; each step takes it at the odds of the rate found so far (expectation
+    maximisation). ``bins`` are (logit, documents). One good and one bad document count beside.
+    """
+    logit, n = (np.array(x, dtype=np.float64) for x in (zip(*bins) if bins else ((), ())))
+    total, rate = labelled + n.sum(), 0.5
+    for _ in range(200):
+        expected = (n / (1 + np.exp(-(logit + math.log(rate / (1 - rate)))))).sum()
+        before, rate = rate, (good + expected + 1) / (total + 2)
+        if abs(rate - before) < 1e-9:
+            break
+    return float(rate)
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang",
     train_rows: int = TRAIN_ROWS, least: float = LEAST_GOOD,
 ) -> DataFrame:
     """doc_id, _key, evidence, host_rate, path_rate, p_good and keep of every row.
 
-    Null and empty texts have no evidence (one half) and follow their site. Null hosts and
-    paths are sites of their own. If the labels lack one of the outcomes, nothing is known
-    and every document is kept. Repeated rows share a result.
+    The rates are those of the row's site without the row. Null and empty texts have no evidence
+    (one half) and follow their site. Null hosts and paths are sites of their own. If the labels
+    lack one of the outcomes, nothing is known and every document is kept. Repeated rows count as
+    often as they come and share a result.
     """
     kinds = label_kinds(labels)
     model = train(docs, kinds, train_rows)
     scored = stored(evidence(docs, model, host, path), "classifier-evidence")
-    p = 1 / (1 + F.exp(-F.col("logit")))
-    known = scored.join(kinds, "doc_id", "left").withColumn(
-        "good", F.when(F.col("kind").isNull(), p).otherwise((F.col("kind") == "good").cast("double"))
+    labelled = scored.join(kinds, "doc_id", "left")
+    # Logits lie between -15 and 15: at most 3,001 rows reach the driver.
+    counts = labelled.groupBy(F.when(F.col("kind").isNull(), F.round("logit", 2)).alias("bin"), (F.col("kind") == "good").alias("good")).count().collect()
+    overall = overall_rate(
+        sorted((row["bin"], row["count"]) for row in counts if row["bin"] is not None),
+        sum(row["count"] for row in counts if row["bin"] is None and row["good"]), sum(row["count"] for row in counts if row["bin"] is None),
     )
+    corrected = 1 / (1 + F.exp(-(F.col("logit") + math.log(overall / (1 - overall)))))
+    known = labelled.withColumn("good", F.when(F.col("kind").isNull(), corrected).otherwise((F.col("kind") == "good").cast("double")))
+    known = stored(known.select("doc_id", "_key", "host", "path", "logit", "good"), "classifier-known")
     paths = stored(known.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("k")), "classifier-sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
-    overall = hosts.agg(F.coalesce((F.sum("host_k") + 1.0) / (F.sum("host_n") + 2.0), F.lit(0.5))).first()[0]
 
     def strength(sites: DataFrame, n: str, k: str, mean: Column) -> float:
         """Pseudo-documents of the wider level: its variance over that between the sites."""
@@ -214,19 +237,20 @@ def classify(
         between = F.greatest(spread - noise, F.lit(1e-4))
         return sites.agg(F.coalesce(F.sum(F.col(n) * mean * (1 - mean)) / F.sum(n) / between, F.lit(1.0))).first()[0]
 
-    # Three figures over all sites go through the driver.
+    # Two figures over all sites go through the driver.
     host_strength = strength(hosts, "host_n", "host_k", F.lit(overall))
-    with_host = hosts.withColumn("host_rate", (F.col("host_k") + host_strength * overall) / (F.col("host_n") + host_strength))
-    joined = paths.join(with_host.select("host", "host_rate"), "host")
-    path_strength = strength(joined, "n", "k", F.col("host_rate"))
-    rates = joined.select(
-        "host", "path", "host_rate", ((F.col("k") + path_strength * F.col("host_rate")) / (F.col("n") + path_strength)).alias("path_rate")
-    )
-    odds = F.col("path_rate") / (1 - F.col("path_rate"))
-    shift = F.log(odds)  # evidence was learned at even odds
+    whole_rate = (F.col("host_k") + host_strength * overall) / (F.col("host_n") + host_strength)
+    sites = paths.join(hosts, "host")
+    path_strength = strength(sites.withColumn("host_rate", whole_rate), "n", "k", F.col("host_rate"))
+    own = F.col("good")
+    rated = known.join(sites, ["host", "path"]).withColumn(
+        "host_rate", (F.col("host_k") - own + host_strength * overall) / (F.col("host_n") - 1 + host_strength)
+    ).withColumn("path_rate", (F.col("k") - own + path_strength * F.col("host_rate")) / (F.col("n") - 1 + path_strength))
+    certain = F.greatest(F.least(F.col("path_rate"), F.lit(1 - 1e-12)), F.lit(1e-12))
+    shift = F.log(certain / (1 - certain))  # evidence was learned at even odds
     p_good = (1 / (1 + F.exp(-(F.col("logit") + shift)))) if model is not None else F.lit(1.0)
-    return scored.join(rates, ["host", "path"]).select(
-        "doc_id", "_key", p.alias("evidence"), "host_rate", "path_rate", p_good.alias("p_good")
+    return rated.select(
+        "doc_id", "_key", (1 / (1 + F.exp(-F.col("logit")))).alias("evidence"), "host_rate", "path_rate", p_good.alias("p_good")
     ).withColumn("keep", F.col("p_good") >= least)
 
 
