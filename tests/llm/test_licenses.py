@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -49,9 +51,9 @@ def test_documents(spark):
 
 
 def test_own_templates(spark):
-    docs = documents(spark, [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta x gamma delta"), (3, "alpha")])
-    found = {r.doc_id: r.coverage for r in l.scan_licenses(docs, {"t": "alpha beta gamma delta epsilon", "short": "alpha"}, least=0.5).collect()}
-    assert found[1] == 1.0 and set(found) <= {1, 2}
+    docs = documents(spark, [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta x gamma delta"), (4, "beta x gamma"), *ODD])
+    found = {r.doc_id: r.coverage for r in l.scan_licenses(docs, {"t": "alpha beta gamma delta epsilon", "short": "omega", "none": "..."}, least=0.5).collect()}
+    assert found[1] == 1.0 and set(found) == {1, 2}
     assert l.scan_licenses(docs, {}).count() == 0
 
 
@@ -61,3 +63,59 @@ def test_query_finds_every_notice(spark, sf_dir):
     notices = {n: t.rstrip(".") for n, t in l.TEMPLATES.items() if n.endswith("notice")}
     expected = {(d, n) for d, text in texts.items() for n, notice in notices.items() if notice in text}
     assert {(r.doc_id, r.license) for r in found} == expected
+
+
+def full_scan(text, templates, least):
+    """The template with the longest common subsequence that is most like the text, among those covered enough."""
+    words, best = l._WORD.findall(text.lower()), None
+    for name, template in templates.items():
+        own = l._WORD.findall(template.lower())
+        matched = lcs(own, words)
+        if matched >= least * len(own):
+            best = max(best or (0, ""), (2 * matched / (len(own) + len(words)), name))
+    return best and best[1]
+
+
+def changed(rng, words, kind):
+    if kind == "random":
+        return [f"other{i}" if rng.random() < 0.2 else w for i, w in enumerate(words)]
+    return [f"other{i}" if i % kind == kind // 2 else w for i, w in enumerate(words)]
+
+
+def test_each_license_is_itself_and_edited_copies_are_found(spark):
+    rng = random.Random(7)
+    rows, kinds = [], [1000, "random", "random", "random", 5, 6, 9]
+    for name, template in l.TEMPLATES.items():
+        for kind in kinds:
+            rows.append((len(rows), " ".join(changed(rng, template.split(), kind)), "en", name))
+    texts = {doc: text for doc, text, *_ in rows}
+    found = {}
+    for r in l.scan_licenses(documents(spark, rows, extra=True)).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for doc, *_, name in rows[:: len(kinds)]:  # unchanged
+        assert max(found[doc], key=lambda r: r.matched_words).license == name
+    expected = {doc: full_scan(text, l.TEMPLATES, l.LEAST_COVERAGE) for doc, text in texts.items()}
+    wanted = [doc for doc, name in expected.items() if name]
+    hit = sum(expected[doc] in {r.license for r in found.get(doc, [])} for doc in wanted)
+    assert len(wanted) > 3 * len(l.TEMPLATES) and hit / len(wanted) >= 0.98
+    assert not [doc for doc in found if not expected[doc]]
+
+
+def test_licenses_with_common_clauses_exclude_each_other(spark):
+    two, three = l.TEMPLATES["BSD-2-Clause"], l.TEMPLATES["BSD-3-Clause"]
+    rows = [(1, two), (2, three), (3, f"{three}\n\n{two}"), (4, l.TEMPLATES["AGPL-3.0"]), (5, l.TEMPLATES["GPL-2.0"] + " And more. " + l.TEMPLATES["MIT"])]
+    rows += [(6, two), (6, two), (7, "Released under that MIT License.")]
+    found = sorted((r.doc_id, r.license) for r in l.scan_licenses(documents(spark, rows)).collect())
+    assert found == [
+        (1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (3, "BSD-2-Clause"), (3, "BSD-3-Clause"), (4, "AGPL-3.0"), (5, "GPL-2.0"), (5, "MIT"),
+        (6, "BSD-2-Clause"), (6, "BSD-2-Clause"), (7, "MIT-notice"),
+    ]
+
+
+def test_runs_left_whole():
+    for length in range(1, 16):
+        for least in (0.5, 0.8, 1.0):
+            lost = length - math.ceil(length * least - 1e-9)
+            worst = min(max(len(run) for run in "".join("x" if i in gone else "w" for i in range(length)).split("x"))
+                        for gone in itertools.combinations(range(length), min(lost, length - 1)))
+            assert l.whole_run(length, least) <= worst

@@ -1,11 +1,15 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
 The templates are a parameter of bounded size, and so is their inverted index, which goes to
-the tasks; each document is read once, where it lies, and nothing is shuffled.
+the tasks; each document is read once, where it lies, and nothing is shuffled. Short templates
+are indexed by all their word sequences, of a length that the coverage limit leaves whole
+somewhere. Licenses that share most of their words claim the same place: the one that is more
+like the text is reported.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,47 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm.common import table
+from trailspark.llm.license_texts import TEMPLATES
 
 GRAM = 3  # words in a fingerprint
 WINDOW = 2  # of which one in so many neighbours is kept: shared runs of GRAM + WINDOW - 1 words are found
+SHORT = 15  # words of a template up to which every sequence is indexed
 LEAST_COVERAGE = 0.8
 MAX_TEMPLATE_WORDS = 1_000_000  # of all templates together; they go to every task
 _WORD = re.compile(r"[^\W_]+")
 
-#: Public license notices; fixed values.
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so, subject to the following conditions:"
-    ),
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required "
-        "by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
-        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
-    ),
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer."
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
-        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
-    ),
-}
-
-
 class WordNumbers(dict):
     """Hashes of words, remembered; forgets all when it has grown large."""
 
@@ -114,64 +86,87 @@ def banded(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return best
 
 
+def whole_run(length: int, least: float) -> int:
+    """Words in a row that every copy of a template keeps which has ``least`` of its words and none put in between."""
+    lost = length - max(1, math.ceil(length * least - 1e-9))
+    return -(-(length - lost) // (lost + 1))
+
+
 class Index:
-    """The inverted index of the templates: fingerprint to (template, position)."""
+    """The inverted indexes of the templates by sequence length: fingerprint to (template, position)."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE, gram: int = GRAM, window: int = WINDOW, short: int = SHORT):
         memory = WordNumbers()
-        self.gram, self.window = gram, window
+        self.window, self.least = window, least
         self.names = sorted(templates)
         self.words = [np.array([memory[w] for w in _WORD.findall(templates[n].lower())], dtype=np.uint64) for n in self.names]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # (sequence length, whether winnowed) -> fingerprint -> places
+        self.places: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.words):
-            hashes = grams(words, gram)
-            for p in winnowed(hashes, window):
-                self.places[int(hashes[p])].append((t, int(p)))
-        self.keys = np.array(sorted(self.places), dtype=np.uint64)
-
-    def scan(self, text: str, memory: WordNumbers, least: float) -> list[tuple[str, int, int, int, int]]:
+            if not len(words):
+                continue
+            full = len(words) <= short
+            size = min(gram, whole_run(len(words), least)) if full else gram
+            hashes = grams(words, size)
+            for p in range(len(hashes)) if full else winnowed(hashes, window):
+                self.places[size, full][int(hashes[p])].append((t, int(p)))
+        self.keys = {kind: np.array(sorted(found), dtype=np.uint64) for kind, found in self.places.items()}
+
+    def diagonals(self, words: np.ndarray) -> dict[int, set[int]]:
+        """Where in ``words`` each template may start, by the sequences they share."""
+        out = defaultdict(set)
+        for (size, full), keys in self.keys.items():
+            hashes = grams(words, size)
+            if not len(hashes):
+                continue
+            chosen = np.arange(len(hashes)) if full else winnowed(hashes, self.window)
+            at = np.searchsorted(keys, hashes[chosen])
+            for p in chosen[keys[np.minimum(at, len(keys) - 1)] == hashes[chosen]]:
+                for t, q in self.places[size, full][int(hashes[p])]:
+                    out[t].add(int(p) - q)
+        return out
+
+    def scan(self, text: str, memory: WordNumbers) -> list[tuple[str, int, int, int, int]]:
         """(template, matched, length, start, end) of the copies in a text, in words."""
         words = np.array([memory[w] for w in _WORD.findall(text.lower())], dtype=np.uint64)
-        hashes = grams(words, self.gram)
-        if not len(hashes) or not len(self.keys):
-            return []
-        chosen = winnowed(hashes, self.window)
-        at = np.searchsorted(self.keys, hashes[chosen])
-        chosen = chosen[self.keys[np.minimum(at, len(self.keys) - 1)] == hashes[chosen]]
-        diagonals = defaultdict(set)
-        for p in chosen:
-            for t, q in self.places[int(hashes[p])]:
-                diagonals[t].add(int(p) - q)
-        found = []
-        for t, starts in diagonals.items():
+        taken = []
+        for t, starts in self.diagonals(words).items():
             template, band = self.words[t], 2 + len(self.words[t]) // 4
-            reached, taken = None, []
+            reached = None
             for start in sorted(starts):
                 if reached is not None and start <= reached + band:
                     continue  # the band of the diagonal before covers this one
                 reached = start
                 matched, low, high = banded(template, words, start, 2 * band)
-                if matched >= least * len(template):
-                    taken.append((matched, low, high))
-            # Diagonals of repeated phrases lead to the same copy: of overlapping spans the best counts.
-            spans: list[tuple[int, int]] = []
-            for matched, low, high in sorted(set(taken), key=lambda x: (-x[0], x[2] - x[1], x[1])):
-                if all(high <= a or low >= b for a, b in spans):
-                    spans.append((low, high))
-                    found.append((self.names[t], matched, len(template), low, high))
-        return found
+                if matched >= self.least * len(template):
+                    taken.append((matched, low, high, t))
+
+        def like(copy: tuple[int, int, int, int]) -> float:
+            matched, low, high, t = copy
+            return 2 * matched / (len(self.words[t]) + high - low)
+
+        # Diagonals of repeated phrases lead to the same copy: of a template's overlapping spans the best counts.
+        # Of different templates, those that claim mostly the same words exclude each other.
+        found: list[tuple[int, int, int, int]] = []
+        for copy in sorted(set(taken), key=lambda c: (-like(c), -c[0], c[1], self.names[c[3]])):
+            _, low, high, t = copy
+            shared = [(min(high, b) - max(low, a), max(high - low, b - a), s == t) for _, a, b, s in found]
+            if all(n <= 0 or not same and 2 * n <= longer for n, longer, same in shared):
+                found.append(copy)
+        return [(self.names[t], matched, len(self.words[t]), low, high) for matched, low, high, t in found]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """doc_id, license, coverage, matched_words, start, end: copies of templates in documents.
 
     ``coverage`` is the share of the template's words found in order; start and end (excluded)
-    count words. Null and empty texts have none; repeated rows are reported as often as they
-    come; templates with fewer than ``GRAM`` words are never found.
+    count words. Of licenses that claim mostly the same words the likest is reported, of equally
+    like ones that with more words found, then the first by name. Null and empty texts have none;
+    repeated rows are reported as often as they come; a template without words is never found.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, least)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("matched_words", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
     ])
@@ -181,7 +176,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                for name, matched, length, low, high in index.scan(text.as_py() or "", memory, least):
+                for name, matched, length, low, high in index.scan(text.as_py() or "", memory):
                     rows.append((doc, name, matched / length, matched, low, high))
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
