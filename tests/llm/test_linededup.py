@@ -6,8 +6,9 @@ from llm_cases import ODD, deduped_lines, documents
 from trailspark.llm import linededup as d
 
 
-@pytest.mark.parametrize("chunk", [8, d.CHUNK])
-def test_equals_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk, block", [(8, 1), (4, 3), (d.CHUNK, d.BLOCK_CHUNKS)])
+def test_equals_brute_force(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(d, "BLOCK_CHUNKS", block)
     rng = random.Random(chunk)
     lines = ["a b", "c", "d e f", "g", " "]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for i in range(40)]
@@ -27,7 +28,9 @@ def test_runs_count_words_to_their_end(spark):
     assert found == {1: rows[0][1], 2: "own line\nlast", 3: rows[2][1], 4: rows[3][1]}
 
 
-def test_long_repeats_inside_one_document(spark):
+@pytest.mark.parametrize("block", [2, d.BLOCK_CHUNKS])
+def test_long_repeats_inside_one_document(spark, monkeypatch, block):
+    monkeypatch.setattr(d, "BLOCK_CHUNKS", block)
     text = "\n".join(["the same line of six words"] * 300)
     found = d.without_repeats(documents(spark, [(1, text)]), chunk=16).collect()
     assert found[0].text == "the same line of six words" and found[0]._llm_deleted == 299
@@ -42,3 +45,24 @@ def test_odd_documents_and_no_documents(spark):
     assert 21 not in found and found[20] == ("and more", 8) and found[2] == (None, None) and found[3][0] == ""
     assert found[9][0] == ODD[10][1] and out.where("doc_id = 5").count() == 2
     assert d.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_chunks_see_the_same_as_one_scan():
+    rng = random.Random(2)
+    for _ in range(200):
+        seen = {}
+        for chunk in range(rng.randint(1, 12)):
+            least = rng.randint(1, 4)
+            lists = {side: d.nearest(sorted(((rng.randint(least, 9), (rng.randint(0, 50), 0, 0)) for _ in range(rng.randint(0, 4))), key=lambda e: -e[0])) for side in (0, 1)}
+            seen[chunk] = (least, lists)
+        size = rng.randint(1, 5)
+        blocks = {b: {c: x for c, x in seen.items() if c // size == b} for b in {c // size for c in seen}}
+        summaries = {}
+        for b, own in blocks.items():
+            ends = d.scanned(own, {})[1]
+            summaries[b] = (min(x for x, _ in own.values()), {0: ends[1], 1: ends[0]})
+        start = {b: {0: [], 1: []} for b in blocks}
+        for b, side, lcp, *place in d.scanned(summaries, {})[0]:
+            start[b][side].append((lcp, tuple(place)))
+        split = [row for b, own in blocks.items() for row in d.scanned(own, start[b])[0]]
+        assert sorted(split) == sorted(d.scanned(seen, {})[0])

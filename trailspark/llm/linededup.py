@@ -23,6 +23,7 @@ from trailspark.llm.common import NO_ID, same_document, smaller_before, stored,
 
 MIN_WORDS = 50  # a run is deleted from this many words on
 CHUNK = 1 << 16  # ranks of the suffix array one task looks at
+BLOCK_CHUNKS = 256  # chunks of one line that are scanned together
 
 _AT = ["doc", "key", "pos"]
 
@@ -90,7 +91,13 @@ def neighbours(final: DataFrame, chunk: int) -> DataFrame:
     classes = final.groupBy("rank").agg(F.min(at).alias("at")).withColumn("chunk", F.expr(f"rank div {chunk}"))
     classes = stored(classes, "lines-classes")
     lasts = classes.groupBy("chunk").agg(F.max_by("at", "rank").alias("last"))
-    lasts = lasts.select("chunk", F.lag("last").over(Window.orderBy("chunk")).alias("edge"))  # one row a chunk
+    # Chunks are dealt out by range; of each range only its last row meets the others'.
+    lasts = stored(lasts.repartitionByRange("chunk").withColumn("_range", F.spark_partition_id()), "lines-lasts")
+    ends = lasts.groupBy("_range").agg(F.max_by("last", "chunk").alias("end"))
+    ends = ends.select("_range", F.lag("end").over(Window.orderBy("_range")).alias("end"))
+    lasts = lasts.withColumn("edge", F.lag("last").over(Window.partitionBy("_range").orderBy("chunk"))).join(ends, "_range").select(
+        "chunk", F.coalesce("edge", "end").alias("edge")
+    )
     inside = F.lag("at").over(Window.partitionBy("chunk").orderBy("rank"))
     return classes.withColumn("inside", inside).join(lasts, "chunk").select(
         "chunk", "rank", "at.*", *[F.coalesce(F.col(f"inside.{c}"), F.col(f"edge.{c}")).alias(f"p_{c}") for c in _AT]
@@ -184,23 +191,59 @@ def chunk_edges(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["line", "chunk", "side", "least", "lcp", "doc", "key", "pos"])
 
 
-def edge_contexts(part: pd.DataFrame) -> pd.DataFrame:
-    """For the chunks one line's suffixes run through: what lies beyond the left (0) and right (1) edge."""
+def _listed(part: pd.DataFrame) -> dict[int, tuple[int, dict[int, list]]]:
+    """Of edges: (least LCP, entries by side) of each chunk, or of each block of chunks."""
     seen: dict[int, tuple[int, dict[int, list]]] = {}
     for chunk, side, least, lcp, *place in part[["chunk", "side", "least", "lcp", "doc", "key", "pos"]].itertuples(index=False):
+        own = seen.setdefault(chunk, (least, {0: [], 1: []}))
         if lcp:
-            seen.setdefault(chunk, (least, {0: [], 1: []}))[1][side].append((lcp, tuple(place)))
-        else:
-            seen.setdefault(chunk, (least, {0: [], 1: []}))
-    chunks, rows = sorted(seen), []
+            own[1][side].append((lcp, tuple(place)))
+    return seen
+
+
+def scanned(seen: dict, start: dict[int, list]) -> tuple[list[tuple], dict[int, list]]:
+    """(chunk, side, lcp, place) of what lies beyond each chunk's left (0) and right (1) edge, and what lies behind them all.
+
+    ``start`` is what lies beyond the first and the last of them.
+    """
+    chunks, rows, ends = sorted(seen), [], {}
     for side, order in ((0, chunks), (1, chunks[::-1])):
-        context: list[tuple] = []
-        for i, chunk in enumerate(order):
+        context = start.get(side, [])
+        for chunk in order:
             rows += [(chunk, side, lcp, *place) for lcp, place in context]
             least, lists = seen[chunk]
             own = sorted(lists[1 - side], key=lambda e: -e[0])
             context = nearest(own + [(min(lcp, least), place) for lcp, place in context])
-    return pd.DataFrame(rows, columns=["chunk", "side", "lcp", "doc", "key", "pos"])
+        ends[side] = context
+    return rows, ends
+
+
+_CONTEXT = ["chunk", "side", "lcp", "doc", "key", "pos"]
+
+
+def block_edges(part: pd.DataFrame) -> pd.DataFrame:
+    """The chunks of a block as if they were one chunk."""
+    seen = _listed(part)
+    _, ends = scanned(seen, {})
+    least, key = min(least for least, _ in seen.values()), (part["line"].iloc[0], part["block"].iloc[0])
+    rows = [(*key, 1 - side, least, lcp, *place) for side in (0, 1) for lcp, place in ends[side] or [(0, (0, 0, 0))]]
+    return pd.DataFrame(rows, columns=["line", "chunk", "side", "least", "lcp", "doc", "key", "pos"])
+
+
+def block_contexts(part: pd.DataFrame) -> pd.DataFrame:
+    """For the blocks one line's suffixes run through: what lies beyond their edges."""
+    out = pd.DataFrame(scanned(_listed(part), {})[0], columns=_CONTEXT)
+    out.insert(0, "line", part["line"].iloc[0])
+    return out
+
+
+def edge_contexts(part: pd.DataFrame, beyond: pd.DataFrame) -> pd.DataFrame:
+    """For the chunks of one line and block: what lies beyond their edges, given what does beyond the block's."""
+    start: dict[int, list] = {0: [], 1: []}
+    for side, lcp, *place in beyond[["side", "lcp", "doc", "key", "pos"]].itertuples(index=False):
+        start[side].append((lcp, tuple(place)))
+    start = {side: sorted(entries, key=lambda e: -e[0]) for side, entries in start.items()}
+    return pd.DataFrame(scanned(_listed(part), start)[0], columns=_CONTEXT)
 
 
 def chunk_runs(part: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
@@ -232,8 +275,14 @@ def repeated_runs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     first_line = towers.select(*_AT, F.col("ranks")[0].alias("line"))
     array = stored(common_prefixes(neighbours(final, chunk), towers).join(first_line, _AT), "lines-array")
     edges = stored(array.groupBy("chunk").applyInPandas(chunk_edges, _EDGE), "lines-edges")
-    # A chunk whose edges lie in one line's suffixes is listed once under it, with both sides.
-    contexts = edges.groupBy("line").applyInPandas(edge_contexts, "chunk bigint, side int, lcp int, doc bigint, key bigint, pos int")
+    # A chunk whose edges lie in one line's suffixes is listed once under it, with both sides. The
+    # chunks of a very common line are scanned in blocks: first the blocks, then the chunks of each.
+    edges = edges.withColumn("block", F.expr(f"chunk div {BLOCK_CHUNKS}"))
+    by_block = edges.groupBy("line", "block")
+    context = "chunk bigint, side int, lcp int, doc bigint, key bigint, pos int"
+    outer = by_block.applyInPandas(block_edges, _EDGE).groupBy("line").applyInPandas(block_contexts, f"line bigint, {context}")
+    outer = outer.withColumnRenamed("chunk", "block").groupBy("line", "block")
+    contexts = by_block.cogroup(outer).applyInPandas(edge_contexts, context)
     runs = array.groupBy("chunk").cogroup(contexts.groupBy("chunk")).applyInPandas(chunk_runs, "doc bigint, key bigint, pos int, run int")
     # Of equal suffixes, all but the first repeat the whole of it.
     firsts = array.select("rank", F.struct(*_AT).alias("first"))
