@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from trailspark.sources import text
+from trailspark.sources import pieces, text
 from trailspark.sources.events import load_events, parse_events
 
 NASTY = ['}],[{', '\\', '"', '\\"', '}{', '[[', 'é\U0001f600', 'a\nb', '', '\\\\"}', ',']
@@ -105,3 +105,29 @@ def test_compressed_files_of_any_layout(spark, tmp_path):
     result = load_events(spark, str(tmp_path))
     assert len(as_rows(result)) == 6 * 30
     assert [row["_source_file"] for row in result.rejects.collect()] == ["numbers.json.gz"] * 31
+
+
+def test_cuts_within_chunks_of_two_fragments_and_parts_of_seven_characters(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(pieces, "_CHUNK_BITS", 1)
+    monkeypatch.setattr(pieces, "_PART", 7)
+    events = list(some_events(4, 12))
+    for name, content in layouts(events):
+        (tmp_path / name).write_bytes(content.encode())
+    (tmp_path / "truncated.json").write_text('[{"actor":"t1","timestamp":1736899200},{"actor":"t2","timestamp":1736899200},{"actor":"t3"')
+    whole, loaded = load_events(spark, str(tmp_path)), load_events(spark, str(tmp_path), max_bytes=500)
+    assert as_rows(whole) == as_rows(loaded) and len(as_rows(whole)) == 5 * 12
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.json").write_text((tmp_path / "truncated.json").read_text())
+    cut = load_events(spark, str(tmp_path / "cut"), max_bytes=60)
+    assert sorted(row.actor for row in cut.events.collect()) == ["t1", "t2"]
+    assert [row.raw for row in cut.rejects.collect()] == ['[{"actor":"t3"']
+
+
+def test_thousands_of_fragments_are_one_row_of_carried_state(spark, tmp_path, monkeypatch):
+    scratch = tmp_path / "scratch"
+    monkeypatch.setattr(pieces, "scratch_path", lambda spark, name: str(scratch / name))
+    events = [{"@timestamp": 1736899200000 + i, "actor": f"a{i}", "actor_location": {"x": "}],[{"}} for i in range(3000)]
+    (tmp_path / "x.json").write_text(json.dumps(events))
+    assert load_events(spark, str(tmp_path / "x.json"), max_bytes=1000).events.count() == 3000
+    stored = [spark.read.parquet(str(path)).count() for path in scratch.iterdir()]
+    assert stored and max(stored) <= 9000 // 1000

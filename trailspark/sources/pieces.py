@@ -2,109 +2,170 @@
 
 A file is read with ``}`` as its line end, so that any byte range of it is some task's work, even
 of a file that is a single line. Whether a fragment begins inside a string, and how deep, follows
-from all fragments before it. Quotes and brackets are therefore summed inside each range, for
-both ways it may begin, then over the ranges of a file (one row each), and the sums are carried
-back. An array's element ends where the depth is one again outside strings; other files are cut
-into lines. Nothing of a file but its quote and bracket counts meets in one task.
+from all fragments before it. Fragments are therefore gathered, in the task that reads them, into
+chunks of some thousand; quotes and brackets are summed inside each chunk, for both ways it may
+begin, then over the chunks of a file (one narrow row each). With what a chunk begins in, it is
+cut on its own: an array's element ends where the depth is one again outside strings; other files
+are cut into lines. Only what lies before the first and behind the last cut of a chunk is put
+together with that of its neighbours. Nothing of a file but its quote and bracket counts meets in
+one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark.functions.parsing import closed, only
 from trailspark.session import scratch_path
 
-_AT = ["_source_path", "_block"]
-_KEY = [*_AT, "_id"]
 _SOURCE = ["_source_path", "_source_file", "_source_bytes"]
+_FILE = ["file_path", "file_name", "file_size"]
 COMPRESSED_NAME = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+_SPACE = " \t\n\x0b\f\r"  # the characters of \s
+_CHUNK_BITS = 11  # 2,048 fragments to a chunk
+_PART = 1024  # a longer fragment counts as several, so a chunk is never more than some megabytes
 
 
-def _number_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _number_of(text: str, *characters: str) -> Column:
+    bare = F.col(text)
+    for character in characters:
+        bare = F.replace(bare, F.lit(character), F.lit(""))
+    return F.octet_length(text) - F.octet_length(bare)
 
 
-def _fragments(text: DataFrame, provenance: list[Column]) -> DataFrame:
-    """One row per stretch up to a closing brace, with its counts, stored.
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-    ``outside`` and ``inside`` are how much deeper the nesting is behind it, if it begins outside
-    or inside a string.
-    """
-    bare = F.regexp_replace("value", r"\\[\s\S]", "")  # an escaped quote ends no string
-    parts = F.split(bare, '"', -1)
-    quotes = F.size(parts) - 1
 
-    def depth(first: int) -> Column:
-        open_text = F.array_join(F.filter(parts, lambda _, i: i % 2 == first), "")
-        closing = F.when(quotes % 2 == first, F.lit(1)).otherwise(F.lit(0))
-        return (_number_of(open_text, "[{") - _number_of(open_text, "]") - closing).cast("long")
+def _fragments(text: DataFrame) -> DataFrame:
+    """One row per stretch up to a closing brace, with its counts; a long one in parts, the first with the counts.
 
-    blank = F.regexp_replace("value", r"^\s+|\s+$", "")
+    ``outside`` and ``inside`` are how much deeper the nesting is behind it, if it begins outside
+    or inside a string. The last stretch of a file, too, gets a brace, and may lose it again.
+    """
+    value = F.col("value")
+    # An escaped quote ends no string.
+    bare = F.when(F.contains(value, F.lit("\\")), F.regexp_replace(value, r"\\[\s\S]", "")).otherwise(value)
+    blank_end = F.rtrim(value, F.lit(_SPACE))
     rows = text.select(
-        *provenance, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value",
-    ).select(
-        *_SOURCE, "_block", "_id", "value", quotes.cast("long").alias("quotes"), depth(0).alias("outside"), depth(1).alias("inside"),
-        _number_of(F.col("value"), "\n").cast("long").alias("breaks"), F.octet_length("value").cast("long").alias("octets"),
-        F.substring(blank, 1, 1).alias("head"), F.substring(blank, -1, 1).alias("tail"),
+        *[F.col(f"_metadata.{name}").alias(name) for name in _FILE], F.col("_metadata.file_block_start").alias("block"),
+        bare.alias("bare"), F.concat(value, F.lit("}")).alias("part"), ((blank_end == "") | blank_end.endswith("]")).alias("open_end"),
     )
-    path = scratch_path(text.sparkSession, "fragments")
-    rows.write.parquet(path)
-    return text.sparkSession.read.schema(rows.schema).parquet(path)
+    # Columns of their own: steps used more than once would be worked out again at each use.
+    strings = '"[^"]*"?'
+    rows = rows.select(
+        *_FILE, "block", "part", "open_end", _number_of("bare", '"').alias("quotes"), F.regexp_replace("bare", strings, "").alias("out_text"),
+        F.regexp_replace(F.concat(F.lit('"'), "bare"), strings, "").alias("in_text"),
+    )
+
+    def depth(text: str, first: int) -> Column:
+        closing = F.when(F.col("quotes") % 2 == first, F.lit(1)).otherwise(F.lit(0))
+        return _number_of(text, "[", "{") - _number_of(text, "]") - closing
 
+    octets = F.octet_length("part")
+    parts = F.when(octets <= _PART, F.array("part")).otherwise(
+        F.regexp_extract_all(F.col("part"), F.lit(rf"[\s\S]{{1,{_PART}}}"), F.lit(0))
+    )
+    rows = rows.select(
+        *_FILE, "block", "open_end", "quotes", depth("out_text", 0).alias("outside"), depth("in_text", 1).alias("inside"),
+        octets.alias("octets"), F.posexplode(parts).alias("at", "part"),
+    )
+    counts = [F.when(F.col("at") == 0, F.col(name)).otherwise(F.lit(0)).alias(name) for name in ("quotes", "outside", "inside", "octets")]
+    return rows.select(*_FILE, "block", "part", *counts, F.col("part").endswith("}").alias("ends"), "open_end")
+
+
+def _chunks(text: DataFrame) -> DataFrame:
+    """Runs of fragments of one byte range, stored, each with its text in ``parts`` and its sums."""
+    names = ["part", "quotes", "outside", "inside", "octets", "ends", "open_end"]
+    rows = _fragments(text).withColumn("id", F.monotonically_increasing_id())
+    chunk = F.shiftright("id", _CHUNK_BITS).alias("chunk")
+    runs = rows.groupBy(chunk, "block", *_FILE).agg(F.sort_array(F.collect_list(F.struct("id", *names))).alias("run"))
+    counts = F.transform("run", lambda x: F.struct(*[x[c].alias(c) for c in ("quotes", "outside", "inside", "ends")]))
+    chunks = runs.select(
+        *_FILE, "block", F.col("run")[0]["id"].alias("id"), F.transform("run", lambda x: x["part"]).alias("parts"), counts.alias("counts"),
+        F.aggregate("run", F.lit(0).cast("long"), lambda n, x: n + x["octets"]).alias("octets"),
+        F.element_at("run", -1)["open_end"].alias("open_end"),
+    )
+    zero = F.lit(0).cast("long")
+    sums = F.aggregate(
+        "counts", F.struct(zero.alias("quotes"), zero.alias("outside"), zero.alias("inside")),
+        lambda a, x: F.struct(
+            (a["quotes"] + x["quotes"]).alias("quotes"),
+            (a["outside"] + F.when(a["quotes"] % 2 == 0, x["outside"]).otherwise(x["inside"])).alias("outside"),
+            (a["inside"] + F.when(a["quotes"] % 2 == 0, x["inside"]).otherwise(x["outside"])).alias("inside"),
+        ),
+    )
+    head = F.nullif(F.substring(F.ltrim(F.array_join("parts", ""), F.lit(_SPACE)), 1, 1), F.lit(""))
+    return _stored(chunks.withColumns({"sums": sums, "head": head}).select(
+        *_FILE, "block", "id", "parts", "counts", "sums.*", "octets", "open_end", "head"
+    ), "chunks")
 
-def _sum(name: str, window) -> Column:
-    return F.coalesce(F.sum(name).over(window), F.lit(0).cast("long"))
 
+def _in_file():
+    return Window.partitionBy("file_path").orderBy("block", "id")
 
-def _before(by: list[str], order: str):
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
+def _sum_before(name: str) -> Column:
+    before = _in_file().rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(before), F.lit(0).cast("long"))
 
-def _states(fragments: DataFrame) -> DataFrame:
-    """Of each fragment: whether its file is an array, the number of the record it begins in, ``braced`` and ``last``."""
-    narrow = fragments.drop("value", "_source_file")
-    odd = _sum("quotes", _before(_AT, "_id")) % 2
-    rows = narrow.withColumn("odd", odd)
-    # Twice: for a range that begins outside a string and for one that begins inside.
-    rows = rows.withColumns({
-        "d0": F.when(F.col("odd") == 0, F.col("outside")).otherwise(F.col("inside")),
-        "d1": F.when(F.col("odd") == 0, F.col("inside")).otherwise(F.col("outside")),
-        "even_end": (F.col("odd") + F.col("quotes")) % 2 == 0,
-    })
-    so_far = Window.partitionBy(*_AT).orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"depth0": F.sum("d0").over(so_far), "depth1": F.sum("d1").over(so_far)})
 
-    ranges = rows.groupBy(*_AT).agg(
-        *[F.sum(c).alias(c) for c in ("quotes", "d0", "d1", "octets")], F.count("*").alias("n"), F.max("_id").alias("last_id"),
-        F.min_by("head", "_id").alias("head"), F.max_by("tail", "_id").alias("tail"), F.max("_source_bytes").alias("bytes"),
-    )
-    path, whole = ["_source_path"], Window.partitionBy("_source_path")
-    ordered = whole.orderBy("_block")
-    ranges = ranges.withColumn("turned", _sum("quotes", _before(path, "_block")) % 2)
-    ranges = ranges.withColumn("d", F.when(F.col("turned") == 0, F.col("d0")).otherwise(F.col("d1")))
+def _states(chunks: DataFrame) -> DataFrame:
+    """Of each chunk what it begins in: ``odd`` inside a string, ``depth``; whether its file is an array; ``last``, ``braced``."""
+    rows = chunks.select("file_path", "file_size", "block", "id", "quotes", "outside", "inside", "octets", "open_end", "head")
+    rows = rows.withColumn("odd", _sum_before("quotes") % 2)
+    rows = rows.withColumn("d", F.when(F.col("odd") == 0, F.col("outside")).otherwise(F.col("inside")))
+    every = _in_file().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # The last fragment has no brace behind it unless the bytes say so; of a compressed file they do not.
-    full = F.when(
-        F.col("_source_path").rlike(COMPRESSED_NAME), ~F.last("tail").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).isin("", "]")
-    ).otherwise(F.sum("octets").over(whole) + F.sum("n").over(whole) == F.col("bytes"))
-    ranges = ranges.select(
-        *_AT, "turned", _sum("d", _before(path, "_block")).alias("base"), (F.first("head").over(ordered) == "[").alias("is_array"),
-        F.when(F.max("_block").over(whole) == F.col("_block"), F.col("last_id")).alias("last_id"), full.alias("full"),
+    full = F.when(F.col("file_path").rlike(COMPRESSED_NAME), ~F.last("open_end").over(every)).otherwise(
+        F.sum("octets").over(every) == F.col("file_size")
     )
-    begun_outside = F.col("turned") == 0
-    states = rows.join(ranges, _AT).withColumn("last", F.coalesce(F.col("_id") == F.col("last_id"), F.lit(False)))
-    states = states.withColumn("braced", ~F.col("last") | F.col("full"))
-    depth = F.col("base") + F.when(begun_outside, F.col("depth0")).otherwise(F.col("depth1"))
-    ends = F.col("braced") & (F.col("even_end") == begun_outside) & (depth == 1)
-    states = states.select(*_KEY, "is_array", "braced", "last", F.when(F.col("is_array"), ends.cast("long")).otherwise(F.col("breaks")).alias("steps"))
-    counts = states.groupBy(*_AT).agg(F.sum("steps").alias("steps"))
-    first = counts.select(*_AT, _sum("steps", _before(path, "_block")).alias("first"))
-    return states.withColumn("number", _sum("steps", _before(_AT, "_id"))).join(first, _AT).select(
-        *_KEY, "is_array", "braced", "last", (F.col("first") + F.col("number")).alias("number")
+    last = F.lead("id").over(_in_file()).isNull()
+    return rows.select(
+        "id", "odd", _sum_before("d").alias("depth"), F.coalesce(F.first("head", True).over(every) == "[", F.lit(False)).alias("is_array"),
+        last.alias("last"), (~last | full).alias("braced"),
     )
 
 
+def _cut(chunks: DataFrame) -> DataFrame:
+    """Chunks at the ends of records, stored: ``inner`` are whole records, ``first`` and ``final`` what lies around them.
+
+    ``steps`` is the number of cuts. Without one there is only ``first``.
+    """
+    begin = F.struct(F.col("odd"), F.col("depth"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def step(a: Column, x: Column) -> Column:
+        odd = (a["odd"] + x["quotes"]) % 2
+        depth = a["depth"] + F.when(a["odd"] == 0, x["outside"]).otherwise(x["inside"])
+        at = a["at"] + 1
+        ended = x["ends"] & (odd == 0) & (depth == 1)
+        return F.struct(
+            odd.alias("odd"), depth.alias("depth"), at.alias("at"), F.when(ended, F.array_append(a["ends"], at)).otherwise(a["ends"]).alias("ends")
+        )
+
+    # The last fragment of a file ends nothing: what follows the last cut is judged together.
+    ends = F.filter(F.aggregate("counts", begin, step, lambda a: a["ends"]), lambda e: ~F.col("last") | (e < F.size("parts")))
+    bounds = F.concat(F.array(F.lit(0)), F.when(F.col("is_array"), ends).otherwise(F.array().cast("array<int>")))
+    rows = chunks.drop("quotes", "outside", "inside", "octets", "open_end", "head").join(_states(chunks), "id").withColumn("bounds", bounds)
+    kept = F.when(F.col("braced"), F.col("parts")).otherwise(F.concat(
+        F.slice("parts", F.lit(1), F.size("parts") - 1), F.array(F.regexp_replace(F.element_at("parts", -1), r"\}\z", ""))
+    ))
+    rows = rows.withColumn("parts", kept)
+    elements = F.transform("bounds", lambda b, i: F.array_join(
+        F.slice("parts", b + 1, F.coalesce(F.get("bounds", i + 1), F.size("parts")) - b), ""
+    ))
+    lines = F.split(F.array_join("parts", ""), "\n", -1)
+    rows = rows.withColumn("pieces", F.when(F.col("is_array"), elements).otherwise(lines)).withColumn("steps", F.size("pieces") - 1)
+    return _stored(rows.select(
+        *_FILE, "block", "id", "is_array", "last", "steps", F.col("pieces")[0].alias("first"),
+        F.slice("pieces", F.lit(2), F.greatest(F.col("steps") - 1, F.lit(0))).alias("inner"),
+        F.when(F.col("steps") > 0, F.element_at("pieces", -1)).alias("final"),
+    ), "pieces")
+
+
 def _elements(text: Column, last: Column) -> Column:
     """The elements in a stretch of an array from the end of one object to the end of the next."""
     body = F.regexp_replace(text, r"^\s*[\[,]", "")
@@ -118,6 +179,13 @@ def _elements(text: Column, last: Column) -> Column:
     )
 
 
+def _records(whole: DataFrame) -> DataFrame:
+    """Records in whole stretches; a null stretch is a null record."""
+    text = F.col("text")
+    raws = F.when(F.col("is_array") & text.isNotNull(), _elements(text, F.col("last"))).otherwise(F.array("text"))
+    return whole.select(*_FILE, F.explode(raws).alias("raw")).where(F.col("raw").isNull() | ~F.col("raw").rlike(r"^\s*$"))
+
+
 def piece_records(text: DataFrame, provenance: list[Column], max_bytes: int) -> DataFrame:
     """One record per array element, or per line of files that do not open with a bracket.
 
@@ -126,21 +194,24 @@ def piece_records(text: DataFrame, provenance: list[Column], max_bytes: int) ->
     rejected; so is, as null, a record of more than ``max_bytes``, which no row can hold. Elements
     that are no objects count to the record of the object behind them.
     """
-    fragments = _fragments(text, provenance)
-    rows = fragments.select(*_SOURCE, "_block", "_id", "value").join(_states(fragments), _KEY)
-    value = F.concat("value", F.when(F.col("braced"), F.lit("}")).otherwise(F.lit("")))
-    lines = F.transform(F.split(value, "\n", -1), lambda x, i: F.struct((F.col("number") + i).alias("record"), x.alias("part")))
-    one = F.array(F.struct(F.col("number").alias("record"), value.alias("part")))
-    parts = rows.select(*_SOURCE, "_block", "_id", "is_array", "last", F.inline(F.when(F.col("is_array"), one).otherwise(lines)))
-    record = ["_source_path", "record"]
+    cut = _cut(_chunks(text))
+    fits = F.octet_length("text") <= max_bytes
+    inner = cut.select(*_FILE, "is_array", F.explode("inner").alias("text")).select(
+        *_FILE, "is_array", F.when(fits, F.col("text")).alias("text"), F.lit(False).alias("last")
+    )
+    begun = cut.select("id", _sum_before("steps").alias("begun"))
+    rows = cut.select(*_FILE, "block", "id", "is_array", "last", "steps", "first", "final").join(begun, "id")
+    none = F.col("steps") == 0
+    edge = F.struct(F.col("begun").alias("record"), F.col("first").alias("part"), (F.col("last") & none).alias("last"))
+    other = F.struct((F.col("begun") + F.col("steps")).alias("record"), F.col("final").alias("part"), F.col("last"))
+    parts = rows.select(*_FILE, "block", "id", "is_array", F.inline(F.when(none, F.array(edge)).otherwise(F.array(edge, other))))
+    record = ["file_path", "record"]
     sizes = parts.groupBy(*record).agg(F.sum(F.octet_length("part").cast("long")).alias("size"))
     huge = sizes.where(F.col("size") > max_bytes)
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_block", "_id", "part"))), lambda x: x["part"])
-    whole = parts.join(huge, record, "left_anti").groupBy(*_SOURCE, "is_array", "record").agg(
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", "id", "part"))), lambda x: x["part"])
+    joined = parts.join(huge, record, "left_anti").groupBy(*_FILE, "is_array", "record").agg(
         F.array_join(ordered, "").alias("text"), F.max("last").alias("last")
     )
-    records = whole.select(*_SOURCE, F.explode(
-        F.when(F.col("is_array"), _elements(F.col("text"), F.col("last"))).otherwise(F.array("text"))
-    ).alias("raw")).where(~F.col("raw").rlike(r"^\s*$"))
-    rejected = parts.join(huge, record, "left_semi").select(*_SOURCE, "record").distinct()
-    return records.unionByName(rejected.select(*_SOURCE, F.lit(None).cast("string").alias("raw")))
+    rejected = parts.join(huge, record, "left_semi").select(*_FILE, "record").distinct()
+    records = _records(inner).unionByName(_records(joined)).unionByName(rejected.select(*_FILE, F.lit(None).cast("string").alias("raw")))
+    return records.withColumn("_metadata", F.struct(*_FILE)).select(*provenance, "raw")
